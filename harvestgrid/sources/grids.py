@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harvestgrid.functions import mesh
-from harvestgrid.functions.numeric import round_even
+from harvestgrid.functions.numeric import nan_to_null, round_even
 from harvestgrid.functions.timegrid import DayRange, HourRange
 from harvestgrid.operators.quality import sentinel_to_null
 
@@ -78,13 +78,6 @@ def write_grid(df: DataFrame, path: str, layout: str, mode: str = "overwrite", s
 # --- scans --------------------------------------------------------------------------------------
 
 
-def _cells(grid: DataFrame, box: mesh.Box, rows, columns, tiles: Sequence[str] | None) -> DataFrame:
-    lat, lon = F.col("lat"), F.col("lon")
-    if tiles is not None:
-        grid = grid.where(F.col("tile").isin(list(tiles)))
-    return grid.where(mesh.cells_between(lat, lon, rows, columns))
-
-
 def _area_tiles(rows: tuple[int, int], columns: tuple[int, int]) -> list[str]:
     side = mesh.CELLS_PER_TILE_SIDE
     return [
@@ -94,20 +87,6 @@ def _area_tiles(rows: tuple[int, int], columns: tuple[int, int]) -> list[str]:
     ]
 
 
-def _in_box(grid: DataFrame, box: mesh.Box, by_area: bool) -> DataFrame:
-    if by_area:
-        rows, columns = box.within(box.find_area())
-        return _cells(grid, box, rows, columns, _area_tiles(rows, columns))
-    return _cells(grid, box, box.rows(), box.columns(), box.tiles())
-
-
-def _finish(df: DataFrame, keep: Sequence[str], elements: DataFrame | None, drop: Sequence[str]) -> DataFrame:
-    df = df.select(*keep)
-    if elements is not None:
-        df = with_names(df, elements)
-    return df.drop(*drop)
-
-
 def _constant_axes(rows, columns, time: str | None, one_step: bool) -> list[str]:
     axes = []
     if rows[0] == rows[1]:
@@ -129,12 +108,17 @@ def _scan(
     elements: DataFrame | None,
     squeeze: bool,
 ) -> DataFrame:
-    rows, columns = box.within(box.find_area()) if by_area else (box.rows(), box.columns())
-    df = _in_box(grid, box, by_area)
-    for condition in filters:
-        df = df.where(condition)
-    keep = ["element", "mesh_code", "lat", "lon", *([time] if time else []), "value"]
-    return _finish(df, keep, elements, _constant_axes(rows, columns, time, one_step) if squeeze else ())
+    if by_area:
+        rows, columns = box.within(box.find_area())
+        tiles = _area_tiles(rows, columns)
+    else:
+        rows, columns, tiles = box.rows(), box.columns(), box.tiles()
+    wanted = [*filters, F.col("tile").isin(tiles), mesh.cells_between(F.col("lat"), F.col("lon"), rows, columns)]
+    df = reduce(lambda frame, condition: frame.where(condition), wanted, grid)
+    df = df.select("element", "mesh_code", "lat", "lon", *([time] if time else []), "value")
+    if elements is not None:
+        df = with_names(df, elements)
+    return df.drop(*_constant_axes(rows, columns, time, one_step)) if squeeze else df
 
 
 def scan_daily(
@@ -241,7 +225,8 @@ def merge_pieces(pieces: Sequence[DataFrame], keys: Sequence[str] = ("element",
     A value fills a missing one; two different values for one key raise. Copies meet in the
     map-side half of the aggregate, so a tile repeated many times does not load one task.
     """
-    low, high = F.min(value).alias("_low"), F.max(value).alias("_high")
+    known = nan_to_null(F.col(value).cast("double"))
+    low, high = F.min(known).alias("_low"), F.max(known).alias("_high")
     merged = union_by_name(*pieces).groupBy(*keys).agg(low, high)
     clash = F.concat_ws(" ", F.lit("conflicting values for"), *[F.col(k).cast("string") for k in keys])
     checked = F.when(F.col("_low") == F.col("_high"), F.col("_low")).when(
