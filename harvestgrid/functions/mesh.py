@@ -23,35 +23,36 @@ WEST_ORIGIN = 100
 # --- digits -------------------------------------------------------------------------------------
 
 
-def _digit_columns(scaled: Column) -> tuple[Column, Column, Column]:
-    tile = F.floor(scaled)
-    in_tile = (scaled - tile) * F.lit(8)
-    block = F.floor(in_tile)
-    return tile, block, F.floor((in_tile - block) * F.lit(10))
+# Nested floors of a position give the digits: tile, then eighths, then tenths. Eight times a double
+# and the fraction of a double are exact, so the cell number below equals the digits read one by one
+# while it holds the position only twice; digits follow from it by integer arithmetic.
 
 
-def _digit_values(scaled: float) -> tuple[int, int, int]:
-    tile = math.floor(scaled)
-    in_tile = (scaled - tile) * 8
-    block = math.floor(in_tile)
-    return tile, block, math.floor((in_tile - block) * 10)
+def _number_column(scaled: Column) -> Column:
+    eighths = scaled * F.lit(8)
+    return F.floor(eighths) * 10 + F.floor(F.pmod(eighths, F.lit(1.0)) * 10)
 
 
-def _lat_digits(lat: Column):
-    return _digit_columns(lat.cast("double") * F.lit(TILE_ROWS_PER_DEGREE))
+def _number_value(scaled: float) -> int:
+    eighths = scaled * 8
+    return math.floor(eighths) * 10 + math.floor(eighths % 1.0 * 10)
 
 
-def _lon_digits(lon: Column):
-    return _digit_columns(lon.cast("double") - F.lit(WEST_ORIGIN))
+def _digits(number: Column) -> tuple[Column, Column, Column]:
+    return F.floor(number / CELLS_PER_TILE_SIDE), F.floor(number / 10) % 8, number % 10
 
 
-def _index(digits):
-    tile, block, cell = digits
-    return tile * CELLS_PER_TILE_SIDE + block * 10 + cell
+def row_value(lat: float) -> int:
+    return _number_value(lat * TILE_ROWS_PER_DEGREE)
 
 
-def _two_digits(lat_tile: Column, lon_tile: Column) -> Column:
-    return lat_tile.between(10, 99) & lon_tile.between(10, 99)
+def column_value(lon: float) -> int:
+    return _number_value(lon - WEST_ORIGIN)
+
+
+def _has_two_digit_tile(row: Column, column: Column) -> Column:
+    low, high = 10 * CELLS_PER_TILE_SIDE, 100 * CELLS_PER_TILE_SIDE - 1
+    return row.between(low, high) & column.between(low, high)
 
 
 def _as_text(*numbers: Column) -> Column:
@@ -61,26 +62,43 @@ def _as_text(*numbers: Column) -> Column:
 # --- points to codes and back -------------------------------------------------------------------
 
 
+def cell_row(lat: Column) -> Column:
+    """Row number of a cell, counted northwards over all tiles."""
+    return _number_column(lat.cast("double") * F.lit(TILE_ROWS_PER_DEGREE))
+
+
+def cell_column(lon: Column) -> Column:
+    """Column number of a cell, counted eastwards from 100 degrees east."""
+    return _number_column(lon.cast("double") - F.lit(WEST_ORIGIN))
+
+
+def code_of_cell(row: Column, column: Column) -> Column:
+    """8-digit code of a cell; NULL where the standard gives no 8-digit code."""
+    (p, q, r), (u, v, w) = _digits(row), _digits(column)
+    return F.when(_has_two_digit_tile(row, column), _as_text(p, u, q, v, r, w))
+
+
 def mesh_code(lat: Column, lon: Column) -> Column:
     """8-digit cell code of a point; NULL where the standard gives no 8-digit code."""
-    (p, q, r), (u, v, w) = _lat_digits(lat), _lon_digits(lon)
-    return F.when(_two_digits(p, u), _as_text(p, u, q, v, r, w))
+    return code_of_cell(cell_row(lat), cell_column(lon))
 
 
 def tile_code(lat: Column, lon: Column) -> Column:
     """4-digit tile code of a point; NULL where ``mesh_code`` is NULL."""
-    p, u = _lat_digits(lat)[0], _lon_digits(lon)[0]
-    return F.when(_two_digits(p, u), _as_text(p, u))
+    row, column = cell_row(lat), cell_column(lon)
+    return F.when(_has_two_digit_tile(row, column), _as_text(_digits(row)[0], _digits(column)[0]))
 
 
-def cell_row(lat: Column) -> Column:
-    """Row number of a cell, counted northwards over all tiles."""
-    return _index(_lat_digits(lat))
+def row_centre(row: Column) -> Column:
+    """Latitude of the centre of a row of cells."""
+    p, q, r = _digits(row)
+    return p / F.lit(1.5) + q / F.lit(12.0) + r / F.lit(120.0) + F.lit(1 / 240.0)
 
 
-def cell_column(lon: Column) -> Column:
-    """Column number of a cell, counted eastwards from 100 degrees east."""
-    return _index(_lon_digits(lon))
+def column_centre(column: Column) -> Column:
+    """Longitude of the centre of a column of cells."""
+    u, v, w = _digits(column)
+    return u + F.lit(WEST_ORIGIN) + v / F.lit(8.0) + w / F.lit(80.0) + F.lit(1 / 160.0)
 
 
 def _code_digits(code: Column, start: int, length: int = 1) -> Column:
@@ -108,14 +126,6 @@ def mesh_longitude(code: Column) -> Column:
     return F.when(F.length(code) == 8, west + F.lit(1 / 160.0))
 
 
-def row_centre(row: Column) -> Column:
-    return (row + F.lit(0.5)) / F.lit(float(ROWS_PER_DEGREE))
-
-
-def column_centre(column: Column) -> Column:
-    return (column + F.lit(0.5)) / F.lit(float(COLUMNS_PER_DEGREE)) + F.lit(float(WEST_ORIGIN))
-
-
 # --- offsets inside a tile or an area -----------------------------------------------------------
 
 
@@ -264,13 +274,13 @@ class Box:
 
     def rows(self) -> tuple[int, int]:
         """First and last cell row: the cells that contain the two bounds, both included."""
-        first = _index(_digit_values(self.south * TILE_ROWS_PER_DEGREE))
-        last = _index(_digit_values(self.north * TILE_ROWS_PER_DEGREE))
+        first = row_value(self.south)
+        last = row_value(self.north)
         return first, min(last, (self.tile_rows[1] + 1) * CELLS_PER_TILE_SIDE - 1)
 
     def columns(self) -> tuple[int, int]:
-        first = _index(_digit_values(self.west - WEST_ORIGIN))
-        last = _index(_digit_values(self.east - WEST_ORIGIN))
+        first = column_value(self.west)
+        last = column_value(self.east)
         return first, min(last, (self.tile_columns[1] + 1) * CELLS_PER_TILE_SIDE - 1)
 
     def within(self, area: Area) -> tuple[tuple[int, int], tuple[int, int]]:
@@ -287,12 +297,12 @@ class Box:
 
         rows = span(
             (self.south, self.north),
-            [_index(_digit_values(v * TILE_ROWS_PER_DEGREE)) for v in (self.south, self.north)],
+            [row_value(v) for v in (self.south, self.north)],
             area.south, area.north, area.first_row, area.last_row_offset,
         )
         columns = span(
             (self.west, self.east),
-            [_index(_digit_values(v - WEST_ORIGIN)) for v in (self.west, self.east)],
+            [column_value(v) for v in (self.west, self.east)],
             area.west, area.east, area.first_column, area.last_column_offset,
         )
         return rows, columns
@@ -334,16 +344,19 @@ def nearest_coordinate(df: DataFrame, name: str, value: float) -> DataFrame:
     )
 
 
+def _axis(low: Column, high: Column, per_degree: int) -> Column:
+    numbers = F.sequence(F.floor(low * per_degree), F.floor(high * per_degree))
+    return F.when(low < high, F.transform(numbers, lambda i: (i + F.lit(0.5)) / F.lit(float(per_degree))))
+
+
 def axis_rows(south: Column, north: Column) -> Column:
     """Centre latitudes of the cells from ``south`` to ``north``; NULL unless south < north."""
-    rows = F.sequence(F.floor(south * ROWS_PER_DEGREE), F.floor(north * ROWS_PER_DEGREE))
-    return F.when(south < north, F.transform(rows, row_centre))
+    return _axis(south, north, ROWS_PER_DEGREE)
 
 
 def axis_columns(west: Column, east: Column) -> Column:
     """Centre longitudes of the cells from ``west`` to ``east``; NULL unless west < east."""
-    columns = F.sequence(F.floor(west * COLUMNS_PER_DEGREE), F.floor(east * COLUMNS_PER_DEGREE))
-    return F.when(west < east, F.transform(columns, lambda i: (i + F.lit(0.5)) / F.lit(float(COLUMNS_PER_DEGREE))))
+    return _axis(west, east, COLUMNS_PER_DEGREE)
 
 
 def tiles_of_box(south: Column, north: Column, west: Column, east: Column) -> Column:

@@ -78,17 +78,16 @@ def training_sequences(
 def holdout_sequences(
     panel: DataFrame,
     scalars: DataFrame,
+    means: DataFrame,
     holdout_year: int,
-    mean_years: Sequence[int],
     sizes: Sequence[int] = GROUP_SIZES,
     keep: Sequence[str] = GROUP_NAMES,
 ) -> DataFrame:
-    """One sequence per location with hold-out rows: the mean years' national means, then its own year.
+    """One sequence per location with hold-out rows: the steps of ``mean_year_steps``, then its own year.
 
     ``y_prev`` holds the raw mean yields of the mean years, missing where a year has no rows. The
     mean steps are one small row read as a scalar subquery; no shuffle of the panel.
     """
-    means = P.mean_year_steps(panel, scalars, mean_years, sum(sizes))
     shared = F.transform("_means", lambda m: _step(m["features"], m["ybar"], sizes, keep))
     ybar = F.try_element_at("_scalars", F.col("year"))["ybar"]
     own = _step(F.col("features"), ybar, sizes, keep)

@@ -45,21 +45,26 @@ def site_cells(sites: DataFrame) -> DataFrame:
 def site_weather(grid: DataFrame, sites: DataFrame, elements: Sequence[str] = tuple(DAILY_ELEMENTS)) -> DataFrame:
     """Observed weather at each site's own cell for its season: place, year, date, one column per element.
 
-    The grid is cut to the cells and seasons that some site needs and pivoted once per cell, so sites
-    that share a cell share the work; only the finished wide rows fan out to the sites. A site year
-    is a season, so the join is an equi-join on (cell, season). The time range of the sites bounds
-    the years read.
+    The sites' tiles (at most 90 x 90 codes exist) and first and last season are looked up first and
+    prune the grid's partitions. The grid is then cut to the cells and seasons that some site needs
+    and pivoted once per cell, so sites that share a cell share the work and only finished rows fan
+    out to them. A site year is a season, so the join is an equi-join on (cell, season).
     """
     wanted = site_cells(sites)
+    tiles, first, last = wanted.agg(
+        F.collect_set(F.substring("mesh_code", 1, 4)), F.min("season_year"), F.max("season_year")
+    ).head()
+    daily = grid.where(
+        F.col("element").isin(list(elements))
+        & (F.col("kind") == "observed")
+        & F.col("tile").isin(tiles)
+        & F.col("year").between(F.lit(first), F.lit(last) + 1)
+    ).withColumn("season_year", season_year(F.col("date")))
     needed = wanted.select("mesh_code", "season_year").distinct()
-    daily = grid.where(F.col("element").isin(list(elements)) & (F.col("kind") == "observed")).withColumn(
-        "season_year", season_year(F.col("date"))
-    )
     per_cell = (
         daily.join(needed, ["mesh_code", "season_year"], "left_semi")
         .groupBy("mesh_code", "season_year", "date")
-        .pivot("element", list(elements))
-        .agg(F.first("value", ignorenulls=True))
+        .agg(*[F.first(F.when(F.col("element") == e, F.col("value")), ignorenulls=True).alias(e) for e in elements])
     )
     return wanted.join(per_cell, ["mesh_code", "season_year"]).select(
         F.col("season_year").alias("year"), "place", "date", *elements

@@ -53,12 +53,12 @@ def read_grid(spark: SparkSession, path: str, layout: str) -> DataFrame:
 
 def with_cell(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Add ``tile`` and ``mesh_code`` and move the point to its cell's centre."""
-    code = mesh.mesh_code(F.col(lat), F.col(lon))
-    return (
-        df.withColumn("mesh_code", code)
-        .withColumn("tile", F.substring("mesh_code", 1, 4))
-        .withColumns({"lat": mesh.mesh_latitude(F.col("mesh_code")), "lon": mesh.mesh_longitude(F.col("mesh_code"))})
+    row, column = F.col("_row"), F.col("_column")
+    numbered = df.withColumns({"_row": mesh.cell_row(F.col(lat)), "_column": mesh.cell_column(F.col(lon))})
+    celled = numbered.withColumns(
+        {"mesh_code": mesh.code_of_cell(row, column), "lat": mesh.row_centre(row), "lon": mesh.column_centre(column)}
     )
+    return celled.withColumn("tile", F.substring("mesh_code", 1, 4)).drop("_row", "_column")
 
 
 def write_grid(df: DataFrame, path: str, layout: str, mode: str = "overwrite", slices: int = 1) -> None:

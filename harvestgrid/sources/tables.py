@@ -119,9 +119,10 @@ def vapour_sheet(df: DataFrame, date_column: str = "年月日", value_column: st
 
 def field_records(df: DataFrame) -> DataFrame:
     """Field records with year, coordinates and yield as numbers; text that is no number is NULL."""
-    return df.withColumns(
-        {
-            "year": F.trim(F.col("year").cast("string")).try_cast("int"),
-            **{c: nan_to_null(F.trim(F.col(c).cast("string")).try_cast("double")) for c in ("lat", "lon", "yield")},
-        }
-    )
+
+    def number(name: str, kind: str) -> Column:
+        return F.trim(F.col(name).cast("string")).try_cast(kind)
+
+    numbers = {"year": number("year", "int")}
+    numbers |= {c: nan_to_null(number(c, "double")) for c in ("lat", "lon", "yield")}
+    return df.withColumns({c: v for c, v in numbers.items() if c in df.columns})
