@@ -160,23 +160,17 @@ class Area:
     north: float
     west: float
     east: float
+    last_row_offset: int
+    last_column_offset: int
 
     @property
     def first_row(self) -> int:
         return round(self.south * ROWS_PER_DEGREE)
 
-    @property
-    def last_row_offset(self) -> int:
-        return round((self.north - self.south) * ROWS_PER_DEGREE) - 1
-
     @property
     def first_column(self) -> int:
         return round((self.west - WEST_ORIGIN) * COLUMNS_PER_DEGREE)
 
-    @property
-    def last_column_offset(self) -> int:
-        return round((self.east - self.west) * COLUMNS_PER_DEGREE) - 1
-
     def holds(self, box: "Box") -> bool:
         return (
             self.south <= box.south
@@ -186,14 +180,15 @@ class Area:
         )
 
 
-# Number, name, south, north, west, east of the six areas.
+# Number, name, south, north, west, east, last row and last column of the six areas.
+# Area 6 has rows beyond its northern bound.
 AREAS = (
-    Area(1, "北海道", 118 / 3, 46.0, 139.0, 146.0),
-    Area(2, "東北", 208 / 6, 42.0, 137.0, 143.0),
-    Area(3, "関東北陸", 32.0, 232 / 6, 135.0, 142.0),
-    Area(4, "西日本", 196 / 6, 220 / 6, 130.0, 138.0),
-    Area(5, "九州", 172 / 6, 106 / 3, 128.0, 133.0),
-    Area(6, "西南諸島", 24.0, 88 / 3, 122.0, 132.0),
+    Area(1, "北海道", 118 / 3, 46.0, 139.0, 146.0, 799, 559),
+    Area(2, "東北", 208 / 6, 42.0, 137.0, 143.0, 879, 479),
+    Area(3, "関東北陸", 32.0, 232 / 6, 135.0, 142.0, 799, 559),
+    Area(4, "西日本", 196 / 6, 220 / 6, 130.0, 138.0, 479, 639),
+    Area(5, "九州", 172 / 6, 106 / 3, 128.0, 133.0, 799, 399),
+    Area(6, "西南諸島", 24.0, 88 / 3, 122.0, 132.0, 799, 799),
 )
 
 

@@ -475,7 +475,7 @@ def backfill_column(spark, sf_dir):
 
 @_query
 def update_merge(spark, sf_dir):
-    """Days moved past 31 March: odd places carry the next season, which has updates; even ones the old season."""
+    """Days moved to March 2024: season 2023 has updates up to 24 March, season 2024 has none yet."""
     season = (F.lit(2023) + F.col("place") % 2).cast("int")
     wide = S.weather(spark, sf_dir).groupBy("place", F.date_add("date", 60).alias("date"), season.alias("year")).agg(
         F.max(F.when(F.col("element") == "click", F.col("value"))).alias("click"), F.max("value").alias("VP")

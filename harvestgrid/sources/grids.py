@@ -61,18 +61,16 @@ def with_cell(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     return celled.withColumn("tile", F.substring("mesh_code", 1, 4)).drop("_row", "_column")
 
 
-def write_grid(df: DataFrame, path: str, layout: str, mode: str = "overwrite", slices: int = 1) -> None:
+def write_grid(df: DataFrame, path: str, layout: str, mode: str = "overwrite") -> None:
     """Write a grid table with rows sorted by place and time inside each file.
 
-    A (tile, year) holds at most 6,400 cells x 366 days. ``slices`` splits each of them over that
-    many tasks and files, by cell, for hourly data or for tables with many copies of a tile.
+    Rows are rebalanced by partition: adaptive execution splits a partition that is too large for
+    one task over several tasks and files, and packs small ones together.
     """
     parts = list(PARTITIONS[layout])
     order = [*parts, "lat", "lon", *TIME_COLUMNS[layout]]
-    slot = F.pmod(F.xxhash64("mesh_code"), F.lit(slices))
-    df = df.select(*[f.name for f in grid_schema(layout)])
-    spread = df.repartition(*parts, slot) if slices > 1 else df.repartition(*parts)
-    spread.sortWithinPartitions(*order).write.mode(mode).partitionBy(*parts).parquet(path)
+    rows = df.select(*[f.name for f in grid_schema(layout)]).hint("rebalance", *parts)
+    rows.sortWithinPartitions(*order).write.mode(mode).partitionBy(*parts).parquet(path)
 
 
 # --- scans --------------------------------------------------------------------------------------

@@ -1,0 +1,106 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from harvestgrid.functions import timegrid as tg
+
+
+def one(spark, value, kind, *columns):
+    df = spark.createDataFrame([(value,)], f"v {kind}")
+    return tuple(df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).head())
+
+
+@pytest.mark.parametrize(
+    "text, day",
+    [
+        ("2020-02-29", dt.date(2020, 2, 29)),
+        ("2020.2.3", dt.date(2020, 2, 3)),
+        ("2020/12/31", dt.date(2020, 12, 31)),
+        ("2020 01 02", dt.date(2020, 1, 2)),
+        ("2020-02-30", None),
+        ("20200102", None),
+        ("junk", None),
+        (None, None),
+    ],
+)
+def test_parse_day(spark, text, day):
+    assert one(spark, text, "string", tg.parse_day(F.col("v")))[0] == day
+
+
+@pytest.mark.parametrize(
+    "text, start, end",
+    [
+        ("2023-05-08", dt.datetime(2023, 5, 8, 1), dt.datetime(2023, 5, 9, 0)),
+        ("2023-05-08T24", dt.datetime(2023, 5, 9, 0), dt.datetime(2023, 5, 9, 0)),
+        ("2023-05-08T13:30", dt.datetime(2023, 5, 8, 13), dt.datetime(2023, 5, 8, 13)),
+        ("2023-05-08T13:31", dt.datetime(2023, 5, 8, 14), dt.datetime(2023, 5, 8, 14)),
+        ("2023/05/08T24:31", dt.datetime(2023, 5, 9, 1), dt.datetime(2023, 5, 9, 1)),
+        ("2023-05-08T25", None, None),
+        ("junkT13", None, None),
+        ("2023-05-08Tx", None, None),
+    ],
+)
+def test_parse_hour(spark, text, start, end):
+    v = F.col("v")
+    assert one(spark, text, "string", tg.parse_hour(v), tg.parse_hour(v, True)) == (start, end)
+    if start is not None:
+        hours = tg.HourRange.of(text, text)
+        assert (hours.first, hours.last) == (start, end)
+    else:
+        with pytest.raises(ValueError):
+            tg.HourRange.of(text, text)
+
+
+def test_equal_days_mean_the_whole_day():
+    hours = tg.HourRange.of("2023-05-08", "2023-05-08")
+    assert (hours.last - hours.first) == dt.timedelta(hours=23)
+
+
+def test_leap_years(spark):
+    df = spark.createDataFrame([(1900,), (2000,), (2016,), (2017,)], "y int")
+    assert [r.l for r in df.orderBy("y").select(tg.is_leap(F.col("y")).alias("l")).collect()] == [False, True, True, False]
+
+
+def test_year_slices(spark):
+    start, end = F.lit(dt.date(2015, 12, 30)), F.lit(dt.date(2017, 1, 2))
+    got = spark.range(1).select(tg.year_slices(start, end).alias("s")).head().s
+    assert [tuple(x) for x in got] == [(2015, 363, 364), (2016, 0, 365), (2017, 0, 1)]
+
+
+def test_hours_belong_to_the_year_they_end_in(spark):
+    df = spark.createDataFrame([("2023-01-01 00:00:00",), ("2023-01-01 01:00:00",), ("2021-01-01 00:00:00",)], "t string")
+    ts = F.col("t").cast("timestamp_ntz")
+    got = {r.t: (r.y, r.h) for r in df.select("t", tg.storage_year(ts).alias("y"), tg.storage_hour(ts).alias("h")).collect()}
+    assert got == {"2023-01-01 00:00:00": (2022, 8759), "2023-01-01 01:00:00": (2023, 0), "2021-01-01 00:00:00": (2020, 8783)}
+
+
+def test_hour_slices_over_new_year(spark):
+    start, end = F.lit("2020-12-31 23:00:00").cast("timestamp_ntz"), F.lit("2021-01-01 02:00:00").cast("timestamp_ntz")
+    got = spark.range(1).select(tg.hour_slices(start, end).alias("s")).head().s
+    assert [tuple(x) for x in got] == [(2020, 8782, 8783), (2021, 0, 1)]
+    assert tg.HourRange.of("2021-01-01T00", "2021-01-01T02").years == [2020, 2021]
+
+
+def test_local_time_round_trip(spark):
+    ts = F.lit("2023-12-31 20:00:00").cast("timestamp_ntz")
+    local = tg.utc_to_local(ts, F.lit("Asia/Tokyo"))
+    r = spark.range(1).select(local.alias("l"), tg.local_to_utc(local, F.lit("Asia/Tokyo")).alias("u"), tg.utc_to_local(ts, F.lit(None).cast("string")).alias("n")).head()
+    assert r.l == dt.datetime(2024, 1, 1, 5) and r.u == r.n == dt.datetime(2023, 12, 31, 20)
+
+
+def test_season_edges(spark):
+    days = [(dt.date(2016, 3, 24), 2015), (dt.date(2016, 3, 25), None), (dt.date(2016, 3, 31), None), (dt.date(2016, 4, 1), 2016)]
+    df = spark.createDataFrame(days, "d date, y int")
+    assert df.where(~tg.season_year(F.col("d")).eqNullSafe(F.col("y"))).count() == 0
+    lengths = spark.createDataFrame([(2015,), (2016,), (2017,), (2018,)], "y int").select(
+        F.datediff(tg.season_end(F.col("y")), tg.season_start(F.col("y"))) + 1
+    )
+    assert sorted(r[0] for r in lengths.collect()) == [358, 358, 358, 359]
+
+
+def test_day_axis_and_range(spark):
+    n = spark.range(1).select(F.size(tg.day_axis(F.lit("2024-01-01"), F.lit("2024-03-01"))).alias("n")).head().n
+    assert n == 61
+    days = tg.DayRange.around(dt.date(2024, 1, 15), 64)
+    assert (days.last - days.first).days + 1 == 129 and days.years == [2023, 2024]
