@@ -367,8 +367,9 @@ def tiles_of_box(south: Column, north: Column, west: Column, east: Column) -> Co
 
 
 def listed_tiles(tiles: DataFrame, listed: DataFrame, column: str = "tile") -> DataFrame:
-    """Keep the tiles that a grid table really has."""
-    return tiles.join(listed.select(column).distinct(), column, "left_semi")
+    """Keep the tiles that a grid table really has. At most 90 x 90 codes exist."""
+    codes = listed.select(column).where(F.col(column).rlike("^[1-9][0-9][1-9][0-9]$")).distinct()
+    return tiles.join(F.broadcast(codes), column, "left_semi")
 
 
 # --- projection ---------------------------------------------------------------------------------

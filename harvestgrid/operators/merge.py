@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from harvestgrid.functions.timegrid import season_year
 from harvestgrid.operators.quality import ensure_columns, require_columns
+from harvestgrid.operators.sizes import broadcast_if_small
 from harvestgrid.sources.sinks import rewrite_partitions
 
 # The column that drifted, where its values went, and the first season affected.
 DRIFTED, DRIFTED_TO, FIRST_DRIFTED_SEASON = "OPR", "OPRori", 2017
 
+# A season holds up to 366 days, some 6 kB.
+SEASON_ROWS = 5_000
+
 
 def backfill_column(
     df: DataFrame, target: str = DRIFTED, source: str = DRIFTED_TO, condition: Column | None = None, season: str = "year"
@@ -46,7 +50,7 @@ def season_updates(sheet: DataFrame, targets: DataFrame, value: str = "VP", on:
     )
     wanted = targets.select(*on, "place", F.col("year").cast("int").alias("year")).distinct()
     return (
-        wanted.join(seasons, [*on, "year"])
+        wanted.join(broadcast_if_small(seasons, SEASON_ROWS), [*on, "year"])
         .select("place", "year", F.explode("_days").alias("_day"))
         .select("place", "year", "_day.date", F.col(f"_day.{value}").alias(value))
     )
@@ -56,13 +60,14 @@ def update_merge(df: DataFrame, updates: DataFrame, value: str = "VP", mark: str
     """Set ``value`` on the rows with an update for (place, year, date); all other rows stay as they are.
 
     A matched row takes a missing value too. The column is added if absent. ``mark`` keeps a boolean
-    column that tells matched rows apart; counting it gives the rows affected.
+    column that tells matched rows apart; counting it gives the rows affected. A few updates are
+    broadcast, so the table itself is not shuffled for them.
     """
     keys = ["place", "year", "date"]
     df = ensure_columns(df, {value: "double"})
     flag = mark or "_matched"
     new = updates.select(*keys, F.col(value).alias("_new"), F.lit(True).alias(flag))
-    joined = df.join(new, keys, "left").withColumns(
+    joined = df.join(broadcast_if_small(new), keys, "left").withColumns(
         {
             value: F.when(F.col(flag), F.col("_new")).otherwise(F.col(value)),
             flag: F.coalesce(flag, F.lit(False)),

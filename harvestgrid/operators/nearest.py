@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from harvestgrid.operators.sizes import BROADCAST_ROWS
 
 EARTH_RADIUS_M = 6371008.8
 
@@ -77,8 +78,8 @@ def _places(gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def _depth(places: DataFrame, per_cell: int) -> int:
-    """Index of the coarsest size at which no cell holds more places than ``per_cell``."""
+def _depth(places: DataFrame, per_cell: int) -> tuple[int, int]:
+    """Index of the coarsest size at which no cell holds more places than ``per_cell``; number of places."""
     cells = F.array(
         *[
             F.struct(F.lit(i).alias("level"), _cell_key(F.col("lat"), F.col("lon"), s).alias("key"))
@@ -90,10 +91,10 @@ def _depth(places: DataFrame, per_cell: int) -> int:
         .groupBy("c.level", "c.key")
         .count()
         .groupBy("level")
-        .agg(F.max("count").alias("fullest"))
+        .agg(F.max("count").alias("fullest"), F.sum("count").alias("places"))
     )
-    fits = fullest.where(F.col("fullest") <= per_cell).agg(F.min("level")).head()[0]
-    return len(CELL_SIZES) - 1 if fits is None else fits
+    fits, count = fullest.agg(F.min(F.when(F.col("fullest") <= per_cell, F.col("level"))), F.max("places")).head()
+    return (len(CELL_SIZES) - 1 if fits is None else fits), count or 0
 
 
 def _cells(places: DataFrame, level: int) -> DataFrame:
@@ -167,29 +168,37 @@ def nearest_place(points: DataFrame, gazetteer: DataFrame, per_cell: int = 64) -
     """``points`` with ``city``, ``prefecture`` and ``distance_m`` of the nearest place.
 
     ``gazetteer`` has place_id, name, admin1, lat, lon. Equal points are searched once. Points
-    without coordinates, and all points if there are no places, get NULLs.
+    without coordinates, and all points if there are no places, get NULLs. Up to a counted limit of
+    places the cells are broadcast, and the search runs without a shuffle once the points are unique.
     """
     places = _places(gazetteer)
-    last = _depth(places, per_cell)
-    spots = points.select("lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct()
+    last, count = _depth(places, per_cell)
+    lookup = F.broadcast if count <= BROADCAST_ROWS else (lambda cells: cells)
+    known = points.select("lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    # Points are few bytes and much work, so their number of tasks is set, not left to their size.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spots = known.distinct().repartition(tasks, "lat", "lon")
 
     no_best = "struct<dist:double,place:struct<place_id:bigint,name:string,admin1:string>,chord:double>"
     own_cell = F.array(_cell_key(F.col("lat"), F.col("lon"), CELL_SIZES[0]))
     found = spots.withColumns({"best": F.lit(None).cast(no_best), "open": own_cell})
     found = _narrow(found, F.broadcast(_starts(spots, places)), 0)
     for level in range(1, last + 1):
-        found = _narrow(found, _cells(places, level), level)
+        found = _narrow(found, lookup(_cells(places, level)), level)
 
     key = _cell_key(F.col("lat"), F.col("lon"), CELL_SIZES[last])
     in_cells = places.select(key.alias("parent"), "place", "place_x", "place_y", "place_z")
     chord = _chord("", "place_")
     answers = (
         _open_rows(found)
-        .join(in_cells, (F.col("node") == F.col("parent")) & _within_reach(chord), "left")
+        .join(lookup(in_cells), (F.col("node") == F.col("parent")) & _within_reach(chord), "left")
         .groupBy("lat", "lon")
         .agg(F.min(F.least("best", _rated(chord, "place"))).alias("best"))
     )
-    return points.join(answers, ["lat", "lon"], "left").select(
+    # A join key of its own makes both sides a shuffle that adaptive execution can split at a hot spot.
+    spot = F.xxhash64("lat", "lon").alias("_spot")
+    answers = answers.select("lat", "lon", spot, "best")
+    return points.select("*", spot).join(answers, ["_spot", "lat", "lon"], "left").select(
         *points.columns,
         F.col("best.place.name").alias("city"),
         F.col("best.place.admin1").alias("prefecture"),

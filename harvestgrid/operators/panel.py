@@ -98,12 +98,18 @@ def fill_missing(panel: DataFrame) -> DataFrame:
 
 def keep_yields(panel: DataFrame, minimum: float = 5.0) -> DataFrame:
     """Rows with at least the minimum yield. A missing or NaN yield is dropped."""
-    return panel.where(nan_to_null(F.col("yield")) >= minimum)
+    return panel.where((F.col("yield") >= minimum) & ~F.isnan("yield"))
 
 
 def prepare_panel(panel: DataFrame, last_training_year: int = 2017, minimum_yield: float = 5.0) -> DataFrame:
-    """Scale by the training years, fill, then drop low yields, in that order."""
+    """Scale by the training years, fill, then drop low yields, in that order.
+
+    A filled yield of 0 never reaches a minimum above 0, so the filter then runs first, on the stored
+    column, where the scan can apply it.
+    """
     scaled = standardise(panel, feature_stats(panel, last_training_year))
+    if minimum_yield > 0:
+        return fill_missing(keep_yields(scaled, minimum_yield))
     return keep_yields(fill_missing(scaled), minimum_yield)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harvestgrid.functions import mesh
 from harvestgrid.functions.timegrid import season_year
 from harvestgrid.operators.quality import drop_rows_without_values, sentinel_to_null
+from harvestgrid.operators.sizes import BROADCAST_ROWS
 
 # The daily elements of the site weather table and their labels.
 DAILY_ELEMENTS = {
@@ -48,12 +49,15 @@ def site_weather(grid: DataFrame, sites: DataFrame, elements: Sequence[str] = tu
     The sites' tiles (at most 90 x 90 codes exist) and first and last season are looked up first and
     prune the grid's partitions. The grid is then cut to the cells and seasons that some site needs
     and pivoted once per cell, so sites that share a cell share the work and only finished rows fan
-    out to them. A site year is a season, so the join is an equi-join on (cell, season).
+    out to them. A site year is a season, so the join is an equi-join on (cell, season). Sites up to
+    a counted limit are broadcast, so only rows at sites are shuffled, for the pivot.
     """
     wanted = site_cells(sites)
-    tiles, first, last = wanted.agg(
-        F.collect_set(F.substring("mesh_code", 1, 4)), F.min("season_year"), F.max("season_year")
+    tiles, first, last, count = wanted.agg(
+        F.collect_set(F.substring("mesh_code", 1, 4)), F.min("season_year"), F.max("season_year"), F.count(F.lit(1))
     ).head()
+    if count <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     daily = grid.where(
         F.col("element").isin(list(elements))
         & (F.col("kind") == "observed")
@@ -61,6 +65,8 @@ def site_weather(grid: DataFrame, sites: DataFrame, elements: Sequence[str] = tu
         & F.col("year").between(F.lit(first), F.lit(last) + 1)
     ).withColumn("season_year", season_year(F.col("date")))
     needed = wanted.select("mesh_code", "season_year").distinct()
+    if count <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
     per_cell = (
         daily.join(needed, ["mesh_code", "season_year"], "left_semi")
         .groupBy("mesh_code", "season_year", "date")

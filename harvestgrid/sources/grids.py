@@ -20,6 +20,7 @@ from harvestgrid.functions import mesh
 from harvestgrid.functions.numeric import nan_to_null, round_even
 from harvestgrid.functions.timegrid import DayRange, HourRange
 from harvestgrid.operators.quality import sentinel_to_null
+from harvestgrid.operators.sizes import broadcast_if_small
 
 PARTITIONS = {
     "daily": ("element", "kind", "year", "tile"),
@@ -205,8 +206,11 @@ def extract_cells(
 
 
 def with_names(df: DataFrame, elements: DataFrame) -> DataFrame:
-    """Add ``long_name`` and ``unit`` of each element."""
-    return df.join(elements.select("element", "long_name", "unit"), "element", "left")
+    """Add ``long_name`` and ``unit`` of each element.
+
+    There are few elements and many rows of each, so a shuffle by element is to be avoided.
+    """
+    return df.join(broadcast_if_small(elements.select("element", "long_name", "unit")), "element", "left")
 
 
 # --- pieces -------------------------------------------------------------------------------------
