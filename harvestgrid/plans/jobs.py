@@ -69,6 +69,13 @@ def weather_table(grid: DataFrame, records: DataFrame, elements: Sequence[str] =
     return site_weather(grid, sites.where(sites["year"].isin(list(years))), elements)
 
 
+def labelled_weather(weather: DataFrame, elements: DataFrame) -> DataFrame:
+    """The weather table with each element column renamed to its label and unit, for an export."""
+    known = elements.where(elements["element"].isin(list(DAILY_ELEMENTS))).select("element", "unit").distinct()
+    units = {r["element"]: r["unit"] for r in known.collect()}
+    return weather.withColumnsRenamed({code: f"{name} ({units.get(code, '')})" for code, name in DAILY_ELEMENTS.items()})
+
+
 def repaired_weather(weather: DataFrame, sheet: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The weather table with the drifted column copied back and vapour pressure merged, and its null profile."""
     table = merge_vapour_pressure(backfill_column(weather), sheet, targets)

@@ -249,6 +249,11 @@ FROM panel a JOIN panel b ON b.loc_id = a.loc_id AND b.year = a.year + 1
 WHERE EXISTS (SELECT 1 FROM panel h WHERE h.loc_id = a.loc_id AND h.year = 2001)
 """
 
+SQL["panel_csv_load"] = f"""
+WITH {PANEL}
+SELECT loc_id, year, yield, f1, f2, f3, f4 FROM raw
+"""
+
 SQL["rows_per_year"] = f"""
 WITH {PANEL}
 SELECT year, count(*) AS rows FROM panel GROUP BY year
@@ -481,14 +486,60 @@ WITH {STATIC}
 WHERE element = 'altitude' AND iy BETWEEN 30 * 120 AND 36 * 120 - 1 AND ix BETWEEN 25 * 80 AND 40 * 80 + 40
 """
 
+SQL["scenario_scan_area"] = f"""
+WITH {GRID}
+{_SCAN}, date, value + 1.5e0 AS value FROM observed
+WHERE element = 'error' AND date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'
+  AND iy BETWEEN 33 * 120 AND 36 * 120 + 60 AND ix BETWEEN 31 * 80 AND 37 * 80
+"""
+
+_POINT = f"(SELECT code8 FROM ({celled(f"SELECT {lat('7')} AS lat, {lon('7')} AS lon")}))"
+
+SQL["scenario_scan_point"] = f"""
+WITH {GRID}
+SELECT element, mesh_code, date, value + 3.0e0 AS value FROM observed
+WHERE element = 'view' AND date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AND mesh_code = {_POINT}
+"""
+
+SQL["geo_scan_area"] = f"""
+WITH {STATIC}
+{_SCAN}, value FROM static
+WHERE element = 'landuse' AND iy BETWEEN 33 * 120 AND 36 * 120 + 60 AND ix BETWEEN 31 * 80 AND 37 * 80
+"""
+
+SQL["geo_scan_point"] = f"""
+WITH {STATIC}
+SELECT element, mesh_code, value FROM static WHERE element = 'altitude' AND mesh_code = {_POINT}
+"""
+
+SQL["extract_cells"] = f"""
+WITH {GRID}
+SELECT element, mesh_code, date, CASE WHEN value <= 200 THEN value END AS value, 'mean ' || element AS long_name, 'unit' AS unit
+FROM observed
+WHERE element = 'click' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND lat BETWEEN 30 AND 36 AND lon BETWEEN 125 AND 140.5
+"""
+
+_HOURLY = """
+    h AS (
+        SELECT user_id AS place, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 10 HOUR AS ts_local, event_type AS element,
+               sum(CAST(round(value * 100) AS BIGINT))::BIGINT / 100e0 / count(*) AS value
+        FROM events GROUP BY 1, 2, 3)
+"""
+
+_TENTH = """CASE WHEN abs(value * 10 - floor(value * 10) - 0.5) < 1e-9 AND floor(value * 10) % 2 = 0
+            THEN floor(value * 10) / 10 ELSE floor(value * 10 + 0.5) / 10 END"""
+
+SQL["hourly_scan_point"] = f"""
+WITH {_HOURLY}
+SELECT element, code8 AS mesh_code, ts_local, {_TENTH} AS value
+FROM ({celled(f"SELECT *, {lat('place')} AS lat, {lon('place')} AS lon FROM h")})
+WHERE element = 'click' AND ts_local BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-02-01 00:00:00' AND code8 = {_POINT}
+"""
+
 SQL["hourly_scan"] = f"""
-WITH h AS (
-    SELECT user_id AS place, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 10 HOUR AS ts_local, event_type AS element,
-           sum(CAST(round(value * 100) AS BIGINT))::BIGINT / 100e0 / count(*) AS value
-    FROM events GROUP BY 1, 2, 3)
+WITH {_HOURLY}
 SELECT element, code8 AS mesh_code, round(clat, 9) AS lat, round(clon, 9) AS lon, ts_local,
-       CASE WHEN abs(value * 10 - floor(value * 10) - 0.5) < 1e-9 AND floor(value * 10) % 2 = 0
-            THEN floor(value * 10) / 10 ELSE floor(value * 10 + 0.5) / 10 END AS value
+       {_TENTH} AS value
 FROM ({celled(f"SELECT *, {lat('place')} AS lat, {lon('place')} AS lon FROM h")})
 WHERE element = 'purchase' AND ts_local BETWEEN TIMESTAMP '2024-01-03 13:00:00' AND TIMESTAMP '2024-01-22 00:00:00'
   AND iy BETWEEN 30 * 120 AND 36 * 120 - 1 AND ix BETWEEN 25 * 80 AND 40 * 80 + 40
@@ -555,6 +606,10 @@ SELECT w.place, w.year::BIGINT AS year, w.date, w.click, CASE WHEN u.place IS NO
 FROM w LEFT JOIN updates u ON u.place = w.place AND u.year = w.year AND u.date = w.date
 """
 
+SQL["rows_updated"] = f"""
+SELECT year, count(*) AS rows FROM ({SQL["update_merge"]}) WHERE matched GROUP BY year
+"""
+
 SQL["table_round_trip"] = f"""
 WITH {WIDE}
 SELECT place, date, click, error, signup, 2023 + place % 2 AS year FROM wide WHERE click > 20
@@ -588,6 +643,8 @@ p AS (
 SELECT * FROM p WHERE d01 IS NOT NULL OR d02 IS NOT NULL OR d03 IS NOT NULL
 """
 
+SQL["mesh_csv"] = SQL["mesh_pivot"]
+
 SQL["extent"] = f"""
 WITH {STATIC}
 SELECT round(min(lat), 9) AS min_lat, round(max(lat), 9) AS max_lat, count(DISTINCT lat) AS count_lat,

@@ -27,7 +27,7 @@ from harvestgrid.plans.jobs import stored
 from harvestgrid.session import new_table_path
 from harvestgrid.sources import grids as G
 from harvestgrid.sources import sinks
-from harvestgrid.sources.tables import read_sheet, read_table
+from harvestgrid.sources.tables import read_panel, read_sheet, read_table
 from harvestgrid.sources.text import decode_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +173,17 @@ def distinct_years(spark, sf_dir):
     return P.distinct_years(S.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")))
 
 
+@_query
+def panel_csv_load(spark, sf_dir):
+    """The raw panel written as a wide CSV and read back; missing features stay missing."""
+    path = new_table_path(spark, "panel_csv")
+    wide = S.panel(spark, sf_dir)
+    features = [F.element_at("features", i).alias(f"f{i}") for i in (1, 2, 3, 4)]
+    sinks.write_csv(wide.select("loc_id", "year", "yield", *features), path)
+    back = P.keep_last(read_panel(spark, path, feature_count=4), "src_order")
+    return back.select("loc_id", "year", "yield", *features)
+
+
 # --- completeness -------------------------------------------------------------------------------
 
 _RECORD = ("record_id", "place", "year", "lat", "lon")
@@ -377,6 +388,12 @@ def area_lookup(spark, sf_dir):
 # --- grid scans ---------------------------------------------------------------------------------
 
 
+def _point_of(key: int) -> mesh.Box:
+    """The point of a customer or user, as in the stand-in tables."""
+    lat, lon = 24.0037 + key * 37 % 2200 / 100, 122.0041 + key * 53 % 2400 / 100
+    return mesh.Box(lat, lat, lon, lon)
+
+
 def _short(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in ("lat", "lon")})
 
@@ -390,9 +407,8 @@ def grid_scan_daily(spark, sf_dir):
 
 @_query
 def grid_scan_point(spark, sf_dir):
-    lat, lon = 24.0037 + 7 * 37 % 2200 / 100, 122.0041 + 7 * 53 % 2400 / 100
     days = tg.DayRange.of("2024-01-01", "2024-01-31")
-    return G.scan_daily(S.grid_daily(spark, sf_dir), "view", days, mesh.Box(lat, lat, lon, lon), squeeze=True)
+    return G.scan_daily(S.grid_daily(spark, sf_dir), "view", days, _point_of(7), squeeze=True)
 
 
 @_query
@@ -414,6 +430,44 @@ def scenario_scan(spark, sf_dir):
     return _short(G.scan_scenario(S.grid_scenario(spark, sf_dir), "click", days, BOX, "MIROC5", "RCP8.5"))
 
 
+@_query
+def scenario_scan_area(spark, sf_dir):
+    box = mesh.Box(33.0, 36.5, 131.0, 137.0)
+    days = tg.DayRange.of("2024-01-01", "2024-01-31")
+    return _short(G.scan_scenario(S.grid_scenario(spark, sf_dir), "error", days, box, "MIROC5", "RCP2.6", by_area=True))
+
+
+@_query
+def scenario_scan_point(spark, sf_dir):
+    grid, days = S.grid_scenario(spark, sf_dir), tg.DayRange.of("2024-01-01", "2024-01-31")
+    return G.scan_scenario(grid, "view", days, _point_of(7), "MIROC5", "RCP8.5", squeeze=True)
+
+
+@_query
+def geo_scan_area(spark, sf_dir):
+    return _short(G.scan_static(S.grid_static(spark, sf_dir), "landuse", mesh.Box(33.0, 36.5, 131.0, 137.0), by_area=True))
+
+
+@_query
+def geo_scan_point(spark, sf_dir):
+    return G.scan_static(S.grid_static(spark, sf_dir), "altitude", _point_of(7), squeeze=True)
+
+
+@_query
+def hourly_scan_point(spark, sf_dir):
+    hours = tg.HourRange.of("2024-01-01", "2024-01-31")
+    return G.scan_hourly(S.grid_hourly(spark, sf_dir), "click", hours, _point_of(7), squeeze=True)
+
+
+@_query
+def extract_cells(spark, sf_dir):
+    """Cells with their centre in a box; values over 200 stand for the fill value."""
+    grid = S.grid_observed(spark, sf_dir).withColumn("value", F.when(F.col("value") > 200, -999.0).otherwise(F.col("value")))
+    box, days = mesh.Box(30.0, 36.0, 125.0, 140.5), tg.DayRange.of("2024-01-05", "2024-01-20")
+    found = G.extract_cells(grid, "click", box, -999.0, days, S.elements(spark, sf_dir))
+    return found.select("element", "mesh_code", "date", "value", "long_name", "unit")
+
+
 @_query
 def geo_scan(spark, sf_dir):
     return _short(G.scan_static(S.grid_static(spark, sf_dir), "altitude", BOX))
@@ -489,6 +543,22 @@ def update_merge(spark, sf_dir):
     return merge.merge_vapour_pressure(wide, sheet, targets, mark="matched")
 
 
+@_query
+def rows_updated(spark, sf_dir):
+    """How many rows an update touched, per season."""
+    merged = QUERIES["update_merge"](spark, sf_dir)
+    return P.rows_per_year(merged.where("matched"))
+
+
+@_query
+def mesh_csv(spark, sf_dir):
+    """The wide cell table written with a tab between fields and read back."""
+    path = new_table_path(spark, "mesh_csv")
+    wide = QUERIES["mesh_pivot"](spark, sf_dir)
+    sinks.write_csv(wide, path, delimiter="\t")
+    return read_table(spark, path, fmt="csv", schema=wide.schema, options={"header": "true", "sep": "\t"})
+
+
 @_query
 def table_round_trip(spark, sf_dir):
     """A table written partitioned by season, read back in part, sent through CSV and read again."""
@@ -514,8 +584,7 @@ def anomaly(spark, sf_dir):
 
 @_query
 def date_table(spark, sf_dir):
-    lat, lon = 24.0037 + 7 * 37 % 2200 / 100, 122.0041 + 7 * 53 % 2400 / 100
-    grid, days, point = S.grid_daily(spark, sf_dir), tg.DayRange.around("2024-01-15"), mesh.Box(lat, lat, lon, lon)
+    grid, days, point = S.grid_daily(spark, sf_dir), tg.DayRange.around("2024-01-15"), _point_of(7)
     observed, normal = (G.scan_daily(grid, "click", days, point, kind=k) for k in ("observed", "normal"))
     return an.date_table(an.observed_and_normal(observed, normal))
 

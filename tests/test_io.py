@@ -3,6 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harvestgrid.operators.spatial import DAILY_ELEMENTS
 from harvestgrid.plans import jobs
 from harvestgrid.session import new_table_path, shared_folder
 from harvestgrid.sources import sinks
@@ -78,3 +79,11 @@ def test_named_places(spark):
     gazetteer = spark.createDataFrame([(1, "Tsukuba", "Ibaraki", 36.1, 140.1)], "place_id long, name string, admin1 string, lat double, lon double")
     got = jobs.named_places(records, gazetteer).collect()
     assert [(r.place, r.city, r.prefecture) for r in got] == [("a", "Tsukuba", "Ibaraki")]
+
+
+def test_labels_and_back(spark):
+    weather = spark.createDataFrame([(2015, "a", 1.0, 2.0)], "year int, place string, TMP_mea double, OPR double")
+    elements = spark.createDataFrame([("TMP_mea", "degC"), ("other", "x")], "element string, unit string")
+    labelled = jobs.labelled_weather(weather, elements)
+    assert labelled.columns == ["year", "place", "日平均気温 (degC)", "1mm以上の降水の有無 ()"]
+    assert sinks.rename_by_prefix(labelled, DAILY_ELEMENTS).columns == weather.columns
