@@ -25,6 +25,9 @@ EARTH_RADIUS_M = 6371008.8
 CELL_SIZES = tuple(16.0 / 4**level for level in range(11))
 KEY_SHIFT = 1 << 26
 
+# Key of a distinct point.
+SPOT = ("spot", "lat", "lon")
+
 # Straight-line margin, in earth radii, that covers rounding and the millimetre rule.
 MARGIN = 1e-9
 
@@ -48,6 +51,10 @@ def _cell_position(key: Column, size: float, prefix: str) -> list[Column]:
     return _position(lat, lon, prefix)
 
 
+def _spot() -> Column:
+    return F.xxhash64("lat", "lon")
+
+
 def _cell_radius(size: float) -> float:
     """No point of a cell is farther from its centre, in earth radii."""
     return math.radians(size) * math.sqrt(0.5)
@@ -136,7 +143,7 @@ def _open_rows(found: DataFrame) -> DataFrame:
     """
     alone = -1 - F.pmod(F.xxhash64("lat", "lon"), F.lit(1 << 40))
     position = _position(F.col("lat"), F.col("lon"))
-    rows = found.select("lat", "lon", *position, "best", F.explode_outer("open").alias("node"))
+    rows = found.select(*SPOT, *position, "best", F.explode_outer("open").alias("node"))
     return rows.withColumn("node", F.coalesce("node", alone))
 
 
@@ -154,14 +161,13 @@ def _narrow(found: DataFrame, cells: DataFrame, level: int) -> DataFrame:
     useful = _within_reach(chord) | ((F.col("n") > 1) & _within_reach(gap))
     joined = _open_rows(found).join(cells, (F.col("node") == F.col("parent")) & useful, "left")
     rated = joined.select(
-        "lat",
-        "lon",
+        *SPOT,
         F.least("best", _rated(chord, "place")).alias("best"),
         F.when(F.col("n") > 1, F.struct("key", gap.alias("gap"))).alias("cell"),
     )
-    merged = rated.groupBy("lat", "lon").agg(F.min("best").alias("best"), F.collect_list("cell").alias("cells"))
+    merged = rated.groupBy(*SPOT).agg(F.min("best").alias("best"), F.collect_list("cell").alias("cells"))
     kept = F.filter("cells", lambda c: c["gap"] <= F.col("best.chord") + MARGIN)
-    return merged.select("lat", "lon", "best", F.transform(kept, lambda c: c["key"]).alias("open"))
+    return merged.select(*SPOT, "best", F.transform(kept, lambda c: c["key"]).alias("open"))
 
 
 def nearest_place(points: DataFrame, gazetteer: DataFrame, per_cell: int = 64) -> DataFrame:
@@ -177,7 +183,7 @@ def nearest_place(points: DataFrame, gazetteer: DataFrame, per_cell: int = 64) -
     known = points.select("lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     # Points are few bytes and much work, so their number of tasks is set, not left to their size.
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spots = known.distinct().repartition(tasks, "lat", "lon")
+    spots = known.distinct().withColumn("spot", _spot()).repartition(tasks, "spot")
 
     no_best = "struct<dist:double,place:struct<place_id:bigint,name:string,admin1:string>,chord:double>"
     own_cell = F.array(_cell_key(F.col("lat"), F.col("lon"), CELL_SIZES[0]))
@@ -192,13 +198,11 @@ def nearest_place(points: DataFrame, gazetteer: DataFrame, per_cell: int = 64) -
     answers = (
         _open_rows(found)
         .join(lookup(in_cells), (F.col("node") == F.col("parent")) & _within_reach(chord), "left")
-        .groupBy("lat", "lon")
+        .groupBy(*SPOT)
         .agg(F.min(F.least("best", _rated(chord, "place"))).alias("best"))
     )
-    # A join key of its own makes both sides a shuffle that adaptive execution can split at a hot spot.
-    spot = F.xxhash64("lat", "lon").alias("_spot")
-    answers = answers.select("lat", "lon", spot, "best")
-    return points.select("*", spot).join(answers, ["_spot", "lat", "lon"], "left").select(
+    # Answers lie by spot alone, so this join shuffles both sides and a hot spot can be split.
+    return points.withColumn("spot", _spot()).join(answers, [*SPOT], "left").select(
         *points.columns,
         F.col("best.place.name").alias("city"),
         F.col("best.place.admin1").alias("prefecture"),

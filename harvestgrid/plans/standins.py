@@ -17,8 +17,20 @@ VECTOR_SIZES = (52, 8, 4)
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
+SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_shipdate timestamp_ntz",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "documents": "doc_id long, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; the stated schema saves the job that would infer it."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cents(value: Column) -> Column:
@@ -79,13 +91,20 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _on_grid(df: DataFrame, key: str) -> DataFrame:
-    return with_cell(df.withColumns({"lat": lat_of(F.col(key)), "lon": lon_of(F.col(key))}))
+def place_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """place, tile, mesh_code, lat, lon: the cell of every customer; users are customers."""
+    key = F.col("c_custkey")
+    places = table(spark, sf_dir, "customer").select(key.alias("place"), lat_of(key).alias("lat"), lon_of(key).alias("lon"))
+    return with_cell(places)
+
+
+def _on_grid(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return df.join(place_cells(spark, sf_dir), "place")
 
 
 def grid_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily grid from ``weather``, each place at its own cell."""
-    daily = _on_grid(weather(spark, sf_dir), "place")
+    daily = _on_grid(weather(spark, sf_dir), spark, sf_dir)
     return daily.select(
         "element", F.lit("observed").alias("kind"), F.year("date").alias("year"), "tile", "mesh_code", "lat", "lon", "date", "value"
     )
@@ -100,7 +119,7 @@ def grid_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("place", "element", (F.col("c") / 100.0 / F.col("n")).alias("value"))
     )
     days = F.sequence(F.to_date(F.lit("2024-01-01")), F.to_date(F.lit("2024-01-20")))
-    daily = _on_grid(means, "place").withColumn("date", F.explode(days))
+    daily = _on_grid(means, spark, sf_dir).withColumn("date", F.explode(days))
     return daily.select(
         "element", F.lit("normal").alias("kind"), F.year("date").alias("year"), "tile", "mesh_code", "lat", "lon", "date", "value"
     )
@@ -130,7 +149,7 @@ def grid_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("place"), "c_acctbal", F.col("c_nationkey").cast("double").alias("use"))
     layers = F.create_map(F.lit("altitude"), F.col("c_acctbal"), F.lit("landuse"), F.col("use"))
     return (
-        _on_grid(customers, "place")
+        _on_grid(customers, spark, sf_dir)
         .select("tile", "mesh_code", "lat", "lon", F.explode(layers).alias("element", "value"))
         .groupBy("element", "tile", "mesh_code", "lat", "lon")
         .agg(F.max("value").alias("value"))
@@ -147,7 +166,7 @@ def grid_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("value", F.col("c") / 100.0 / F.col("n"))
         .withColumn("ts_local", F.convert_timezone(F.lit("UTC"), F.lit("Asia/Tokyo"), F.col("ts_utc")))
     )
-    return _on_grid(hourly, "place").select(
+    return _on_grid(hourly, spark, sf_dir).select(
         "element",
         F.lit("observed").alias("kind"),
         F.year(F.col("ts_local") - F.expr("interval 1 hour")).alias("storage_year"),
