@@ -90,3 +90,13 @@ def test_vapour_sheet(spark):
     got = vapour_sheet(raw)
     assert got.columns == ["date", "VP"]
     assert {r.date: r.VP for r in got.collect()} == {d("2018-04-01"): 7.5, d("2018-04-02"): None}
+
+
+def test_few_updates_do_not_shuffle_the_table(spark, tmp_path):
+    path = str(tmp_path / "w")
+    sinks.write_parquet(weather(spark), path, ["year"])
+    table = spark.read.schema(weather(spark).schema).parquet(path)
+    updates = merge.season_updates(sheet(spark), targets(spark))
+    plan = merge.update_merge(table, updates)._jdf.queryExecution().executedPlan().toString()
+    table_side = plan[:plan.index("BroadcastExchange")]
+    assert "BroadcastHashJoin" in table_side and "Exchange hash" not in table_side

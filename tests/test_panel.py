@@ -138,3 +138,13 @@ def test_read_panel(spark, tmp_path):
     assert P.keep_last(df, "src_order").where("loc_id = 1").head()["yield"] == 8.5
     with pytest.raises(PySparkException):
         read_panel(spark, str(tmp_path / "absent.csv"), 2)
+
+
+def test_a_key_with_many_copies(spark):
+    """A third of all rows share one key: one row is kept, and the copies never meet in a window."""
+    hot = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+    df = spark.range(3000).select(hot.alias("loc_id"), F.lit(2015).alias("year"), F.col("id").cast("double").alias("yield"), F.col("id").alias("src_order"))
+    kept = P.keep_last(df, "src_order")
+    assert kept.count() == 2001 and kept.where("loc_id = 0").head()["yield"] == 2997.0
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_max_by") > plan.index("Exchange") and "Window" not in plan

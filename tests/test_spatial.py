@@ -136,3 +136,33 @@ def test_nearest_place_edges(spark):
     assert got[5][0] == "east"
     empty = nearest.nearest_place(points, gazetteer.limit(0)).collect()
     assert len(empty) == 5 and {r.city for r in empty} == {None}
+
+
+def test_many_points_in_one_spot_and_a_shuffled_lookup(spark, monkeypatch):
+    """Copies of a point are searched once; the same answers come without broadcasts."""
+    monkeypatch.setattr(nearest, "BROADCAST_ROWS", 0)
+    gazetteer = spark.range(300).select(
+        F.col("id").alias("place_id"), F.concat(F.lit("n"), F.col("id")).alias("name"), F.lit("p").alias("admin1"),
+        (F.lit(35.0) + F.col("id") / 3000).alias("lat"), (F.lit(139.0) + (F.col("id") % 17) / 100).alias("lon"),
+    )
+    spot = F.when(F.col("id") % 3 == 0, 35.05).otherwise(F.lit(35.0) + F.col("id") / 9000)
+    points = spark.range(900).select(F.col("id").alias("k"), spot.alias("lat"), F.lit(139.05).alias("lon"))
+    found = nearest.nearest_place(points, gazetteer, per_cell=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    rows = found.orderBy("k").collect()
+    places = np.array([(r.lat, r.lon) for r in gazetteer.orderBy("place_id").collect()])
+    distances = brute_force(np.array([(r.lat, r.lon) for r in rows]), places)
+    for r, row in zip(rows, distances):
+        assert r.distance_m == pytest.approx(row.min(), abs=0.01)
+        assert row[int(r.city[1:])] == pytest.approx(row.min(), abs=0.01)
+
+
+def test_site_weather_with_shuffled_sites(spark, monkeypatch):
+    sites = spark.createDataFrame(
+        [("C01", 2016, 36.0566, 140.125), ("C02", 2016, 36.0567, 140.126)], "place string, year int, lat double, lon double"
+    )
+    few = spatial.site_weather(site_grid(spark), sites, ["TMP_mea", "RH"]).collect()
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 0)
+    many = spatial.site_weather(site_grid(spark), sites, ["TMP_mea", "RH"]).collect()
+    assert sorted(map(str, few)) == sorted(map(str, many)) and len(few) == 4
