@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestgrid.functions.timegrid import season_year
+from harvestgrid.operators.panel import bounded_year
 from harvestgrid.operators.quality import ensure_columns, require_columns
 from harvestgrid.operators.sizes import broadcast_if_small
 from harvestgrid.sources.sinks import rewrite_partitions
@@ -86,5 +87,11 @@ def apply_vapour_pressure(weather: DataFrame, sheet: DataFrame, targets: DataFra
     ``weather`` is the table at ``path``, partitioned by ``year``, and already has a ``VP`` column.
     """
     require_columns(weather, ["VP"])
-    affected = weather.join(targets.select("year").distinct(), "year", "left_semi")
+    years = targets.agg(F.collect_set(bounded_year(F.col("year").cast("int")))).head()[0]
+    affected = weather.where(F.col("year").isin(years))
     rewrite_partitions(merge_vapour_pressure(affected, sheet, targets), path, ["year"])
+
+
+def apply_backfill(weather: DataFrame, path: str, first_season: int = FIRST_DRIFTED_SEASON) -> None:
+    """Backfill the stored table in place, reading and rewriting only the late seasons."""
+    rewrite_partitions(backfill_column(weather.where(F.col("year") >= first_season), condition=F.lit(True)), path, ["year"])

@@ -15,16 +15,21 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = Tru
     return True
 
 
+def _by_partition(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of a partition brought together; adaptive execution splits a large one over several tasks."""
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), skip_empty: bool = False) -> bool:
     if skip_empty and df.isEmpty():
         return False
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    _by_partition(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return True
 
 
 def replace_table(df: DataFrame, name: str, partition_by: Sequence[str] = ("year",), path: str | None = None) -> None:
     """Create or replace a catalog table; earlier repairs of the table are lost with it."""
-    writer = df.write.mode("overwrite").partitionBy(*partition_by)
+    writer = _by_partition(df, partition_by).write.mode("overwrite").partitionBy(*partition_by)
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(name)

@@ -44,7 +44,11 @@ def panel_from_columns(df: DataFrame) -> DataFrame:
 
 
 def read_panel(
-    spark: SparkSession, path: str, feature_count: int = sum(GROUP_SIZES), source_order: bool = True
+    spark: SparkSession,
+    path: str,
+    feature_count: int = sum(GROUP_SIZES),
+    source_order: bool = True,
+    loc_type: T.DataType = T.LongType(),
 ) -> DataFrame:
     """Yield panel from CSV with a header; a missing path raises.
 
@@ -52,7 +56,7 @@ def read_panel(
     """
     schema = T.StructType(
         [
-            T.StructField("loc_id", T.LongType()),
+            T.StructField("loc_id", loc_type),
             T.StructField("year", T.IntegerType()),
             T.StructField("yield", T.DoubleType()),
             *[T.StructField(f"f{i}", T.DoubleType()) for i in range(feature_count)],

@@ -100,3 +100,12 @@ def test_few_updates_do_not_shuffle_the_table(spark, tmp_path):
     plan = merge.update_merge(table, updates)._jdf.queryExecution().executedPlan().toString()
     table_side = plan[:plan.index("BroadcastExchange")]
     assert "BroadcastHashJoin" in table_side and "Exchange hash" not in table_side
+
+
+def test_stored_table_is_backfilled_in_place(spark, tmp_path):
+    path = str(tmp_path / "w")
+    df = spark.createDataFrame([(1.0, 5.0, 2016), (1.0, 5.0, 2017), (1.0, None, 2018)], "OPR double, OPRori double, year int")
+    sinks.write_parquet(df, path, ["year"])
+    merge.apply_backfill(spark.read.schema(df.schema).parquet(path), path)
+    got = spark.read.schema(df.schema).parquet(path).collect()
+    assert {r.year: r.OPR for r in got} == {2016: 1.0, 2017: 5.0, 2018: None}
