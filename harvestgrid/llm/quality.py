@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ TRAINING_DOCUMENTS = 8_000
 BITS = 16
 EPOCHS, RATE, PENALTY = 150, 0.5, 1e-5
 GOOD, BAD, NONE = 1, 0, 2
+# Kinds of characters: classes, then single marks.
+KINDS = ("lower", "upper", "letter", "digit", "space", "mark", *"\n.,;:!?'\"-()|#$%&*@/=+_<>[]")
+LOWER, UPPER, OTHER, DIGIT, SPACE, OTHER_MARK = range(6)
 # A text of fewer words gives the heuristics no ground for a vote against it.
 FEW_WORDS = 8
 # Marks that junk attaches to words, and frequent words of four languages.
@@ -39,23 +43,22 @@ def _between(value: float, good: float, bad: float, low_is_good: bool = True) ->
     return GOOD if value >= good else BAD if value <= bad else NONE
 
 
-def measures(text: str) -> dict[str, float]:
-    """What the heuristics look at, as shares between 0 and 1 (``length``: words)."""
-    tokens = text.split()
-    count = max(1, len(tokens))
-    lower = [t.lower() for t in tokens]
-    letters = [c for c in text if c.isalpha()]
-    edges = sum(a == b for a, b in zip(lower, lower[1:], strict=False))
+def measures(text: str, kinds: np.ndarray) -> dict[str, float]:
+    """What the heuristics look at, as shares (``length``: words); ``kinds`` are the text's character kinds."""
+    lower = text.lower().split()
+    count = max(1, len(lower))
+    of = np.bincount(kinds, minlength=len(KINDS))
+    letters = of[LOWER] + of[UPPER] + of[OTHER]
     return {
-        "length": len(tokens),
+        "length": len(lower),
         "marked": len(_MARKED.findall(text)) / count,
-        "bars": tokens.count("|") / count,
-        "shouted": sum(map(str.isupper, letters)) / max(1, len(letters)),
+        "bars": lower.count("|") / count,
+        "shouted": of[UPPER] / max(1, letters),
         "exclaimed": text.count("!") / count,
-        "repeated": edges / count,
+        "repeated": sum(map(eq, lower, lower[1:])) / count,
         "distinct": len(set(lower)) / count,
-        "stops": sum(t.strip(".,;:!?") in _STOPS for t in lower) / count,
-        "letters": sum(map(str.isalnum, text)) / max(1, len(text)),
+        "stops": sum(map(_STOPS.__contains__, lower)) / count,
+        "letters": (letters + of[DIGIT]) / max(1, len(text)),
     }
 
 
@@ -72,15 +75,28 @@ LABELLERS: dict[str, Callable[[dict[str, float]], int]] = {
 }
 
 
-def votes(text: str | None) -> list[int]:
-    """The vote of each labeller; none has a say on null or empty text, and none against a very short one."""
-    if not text or text.isspace():
-        return [NONE] * len(LABELLERS)
-    m = measures(text)
+def votes(m: dict[str, float]) -> list[int]:
+    """The vote of each labeller; none against a very short text."""
     out = [vote(m) for vote in LABELLERS.values()]
     return [NONE if v == BAD else v for v in out] if m["length"] < FEW_WORDS else out
 
 
+def pattern_of(m: dict[str, float]) -> int:
+    code = 0
+    for vote in votes(m):
+        code = code * 3 + vote
+    return code
+
+
+def describe(text: str | None) -> tuple[int, np.ndarray]:
+    """Vote pattern and features of a text; null and blank ones have no votes and no features."""
+    if not text or text.isspace():
+        return ABSENT, np.empty(0, np.int64)
+    kinds = character_kinds(text)
+    m = measures(text, kinds)
+    return pattern_of(m), features(kinds, m)
+
+
 def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
     """Share of good documents, each labeller's vote probabilities (class x labeller x vote), and the posteriors.
 
@@ -109,41 +125,38 @@ def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200)
     return share, rates, post
 
 
-def features(text: str | None) -> np.ndarray:
-    """Hashed features of a text, sorted and distinct: runs of two and three character kinds, steps of the measures.
+def features(kinds: np.ndarray, m: dict[str, float]) -> np.ndarray:
+    """Hashed features, sorted and distinct: runs of two and three character kinds, and steps of the measures.
 
     Words are left out: what they say is the topic or the language, not the quality.
     """
-    if not text:
-        return np.empty(0, np.int64)
-    kinds = _kinds(code_points(text)).astype(np.uint64)
-    pairs = np.unique(kinds[:-1] << np.uint64(8) | kinds[1:])
-    runs = np.unique(kinds[:-2] << np.uint64(16) | kinds[1:-1] << np.uint64(8) | kinds[2:])
-    steps = [
-        hash_step(k, round(20 * v)) for k, (name, v) in enumerate(measures(text).items()) if name != "length"
-    ]
-    every = mix(np.concatenate([pairs + np.uint64(1 << 40), runs + np.uint64(1 << 41), np.array(steps, np.uint64)]))
+    wide = kinds.astype(np.int32)
+    seen = np.zeros(len(KINDS) ** 2 + len(KINDS) ** 3, bool)
+    seen[wide[:-1] * len(KINDS) + wide[1:]] = True
+    seen[len(KINDS) ** 2 + (wide[:-2] * len(KINDS) + wide[1:-1]) * len(KINDS) + wide[2:]] = True
+    steps = [(k << 20) + round(20 * v) + (1 << 50) for k, (name, v) in enumerate(m.items()) if name != "length"]
+    every = mix(np.concatenate([np.flatnonzero(seen).astype(np.uint64), np.array(steps, np.uint64)]))
     return np.unique(every >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def hash_step(k: int, step: int) -> int:
-    return (k << 20) + step + (1 << 50)
-
-
 _table: list[np.ndarray] = []
 
 
-def _kinds(points: np.ndarray) -> np.ndarray:
-    """A class of each character: lower, upper, other letter, digit, white space, else its own low bits."""
+def character_kinds(text: str) -> np.ndarray:
+    """An index of KINDS for each character."""
     if not _table:
-        table = np.empty(0x10000, np.uint8)
-        for i in range(0x10000):
+        table = np.full(0x110000, OTHER_MARK, np.uint8)
+        for i in range(0x110000):
             c = chr(i)
             table[i] = (
-                1 if c.islower() else 2 if c.isupper() else 3 if c.isalpha() else 4 if c.isdigit() else 5 if c.isspace() else 8 + i % 128
-            )
+                LOWER if c.islower() else UPPER if c.isupper() else OTHER if c.isalpha() else DIGIT if c.isdigit()
+                else SPACE if c.isspace() else OTHER_MARK
+            )
+        for k, c in enumerate(KINDS):
+            if len(c) == 1:
+                table[ord(c)] = k
         _table.append(table)
-    return _table[0][np.minimum(points, 0xFFFF)]
+    return _table[0][code_points(text)]
 
 
 def train_scorer(rows: list[np.ndarray], targets: np.ndarray) -> np.ndarray:
@@ -167,12 +180,13 @@ def _voted(batches):
     for batch in batches:
         codes = []
         for text in batch.column("text"):
-            code = 0
-            for vote in votes(text.as_py()):
-                code = code * 3 + vote
-            codes.append(code)
-        kept = [batch.column(c) for c in ("id", "text")]
-        yield pa.record_batch([*kept, pa.array(codes, pa.int32())], names=["id", "text", "pattern"])
+            text = text.as_py()
+            blank = not text or text.isspace()
+            codes.append(ABSENT if blank else pattern_of(measures(text, character_kinds(text))))
+        yield pa.record_batch([pa.array(codes, pa.int32())], names=["pattern"])
+
+
+ABSENT = 3 ** len(LABELLERS) - 1  # the pattern in which nobody votes
 
 
 def decode(pattern: int) -> list[int]:
@@ -184,7 +198,7 @@ def decode(pattern: int) -> list[int]:
 
 
 def classify_quality(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.5, carry: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.35, carry: bool = False
 ) -> DataFrame:
     """Judge every row: (id, pattern, posterior, score, keep), and with ``carry`` the whole row as a struct ``row``.
 
@@ -201,14 +215,14 @@ def classify_quality(
             F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row")
         )
         kinds += f", row {dict(judged.dtypes)['row']}"
-    voted = rows.mapInArrow(_voted, f"id {kind}, text string, pattern int")
-    patterns = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** labellers
+    # At most 3 ** labellers rows.
+    patterns = rows.select("text").mapInArrow(_voted, "pattern int").groupBy("pattern").count().orderBy("pattern").collect()
     codes = [p["pattern"] for p in patterns]
     votes_of = np.array([decode(c) for c in codes], np.int64).reshape(-1, len(LABELLERS))
     counts = np.array([p["count"] for p in patterns], np.float64)
     _, _, posterior = fit_accuracies(votes_of, counts)
     label = dict(zip(codes, posterior.tolist(), strict=True))
-    weights = _fit(voted, label, counts, posterior)
+    weights = _fit(rows, label, counts, posterior)
     shared = docs.sparkSession.sparkContext.broadcast((label, weights))
 
     def score(batches):
@@ -216,13 +230,9 @@ def classify_quality(
         for batch in batches:
             pattern, post, scores, kept = [], [], [], []
             for text in batch.column("text"):
-                text = text.as_py()
-                code = 0
-                for vote in votes(text):
-                    code = code * 3 + vote
-                row = features(text)
+                code, row = describe(text.as_py())
                 z = weights[row].sum() / np.sqrt(max(1, len(row))) + weights[-1]
-                value = float(1 / (1 + np.exp(-z))) if text and not text.isspace() else 0.0
+                value = float(1 / (1 + np.exp(-z))) if len(row) else 0.0
                 pattern.append(code)
                 post.append(label[code])
                 scores.append(value)
@@ -242,32 +252,37 @@ def classify_quality(
     return judged.mapInArrow(score, f"{kinds}, pattern int, posterior double, score double, keep boolean")
 
 
-def _fit(voted: DataFrame, label: dict[int, float], counts: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-    """Train the scorer on a hashed sample of either side, at most half of ``TRAINING_DOCUMENTS`` each on average."""
-    bad = [c for c, p in label.items() if p < 0.5]
-    sides = [(F.col("pattern").isin(bad) if bad else F.lit(False), counts[posterior < 0.5].sum())]
-    sides.append((~sides[0][0], counts[posterior >= 0.5].sum()))
-    chosen = F.lit(False)
-    for condition, total in sides:
-        share = min(1.0, TRAINING_DOCUMENTS / 2 / max(1.0, total))
-        chosen = chosen | (condition & (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))))
+def _fit(rows: DataFrame, label: dict[int, float], counts: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """Train the scorer on a hashed sample of either side, on average at most half of ``TRAINING_DOCUMENTS`` each."""
+    low = posterior < 0.5
+    bad = {c for c, p in label.items() if p < 0.5}
+    shares = [min(1.0, TRAINING_DOCUMENTS / 2 / max(1.0, counts[side].sum())) for side in (low, ~low)]
+    chance = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / (1 << 30)
 
     def featured(batches):
         for batch in batches:
-            rows = [features(text.as_py()) for text in batch.column("text")]
+            found = []
+            for chance, text in zip(batch.column("chance").to_pylist(), batch.column("text"), strict=True):
+                code, row = describe(text.as_py())
+                if len(row) and chance < shares[code not in bad]:
+                    found.append((code, row))
             yield pa.record_batch(
-                [batch.column("pattern"), pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))],
+                [
+                    pa.array([c for c, _ in found], pa.int32()),
+                    pa.array([r.tolist() for _, r in found], pa.list_(pa.int64())),
+                ],
                 names=["pattern", "features"],
             )
 
-    sample = voted.where(chosen).mapInArrow(featured, "pattern int, features array<long>").toArrow()
+    drawn = rows.select("text", chance.alias("chance")).where(F.col("chance") < max(shares))
+    sample = drawn.mapInArrow(featured, "pattern int, features array<long>").toArrow()
     # The order of arrival must not matter for the sums.
-    rows = sorted(
+    drawn = sorted(
         (label[p], tuple(f)) for p, f in zip(sample["pattern"].to_pylist(), sample["features"].to_pylist(), strict=True)
     )
-    targets = np.array([p for p, _ in rows])
-    weights = train_scorer([np.array(f, np.int64) for _, f in rows], targets)
-    if len(rows):  # the sample holds more bad documents than the corpus does
+    targets = np.array([p for p, _ in drawn])
+    weights = train_scorer([np.array(f, np.int64) for _, f in drawn], targets)
+    if drawn:  # the sample holds more bad documents than the corpus does
         weights[-1] += _odds(posterior @ counts, counts.sum()) - _odds(targets.sum(), len(targets))
     return weights
 
