@@ -192,6 +192,8 @@ def build_model(rows: pa.Table, bits: int) -> Model:
     """A model from (lang, kind, ord, gram, value); where a language lacks a gram, its back-off value is filled in."""
     languages = sorted(set(rows.column("lang").to_pylist()))
     model = Model(languages, bits, {})
+    if not languages:
+        return model
     column = np.array([languages.index(x) for x in rows.column("lang").to_pylist()])
     kind = np.array(rows.column("kind").to_pylist())
     order = rows.column("ord").to_numpy()

@@ -141,7 +141,10 @@ def _alike(least: float):
 
 
 def jaccard_at_least(threshold: float):
-    """Which sets (sorted 64-bit values, as bytes) of a and b have at least this Jaccard similarity."""
+    """Which sets (sorted 64-bit values, as bytes) of a and b have at least this Jaccard similarity.
+
+    What a list compared with itself has on its diagonal says nothing.
+    """
 
     def linked(a: list[bytes], b: list[bytes]) -> np.ndarray:
         sets = [np.frombuffer(x, np.uint64) for x in (a if a is b else [*a, *b])]
@@ -201,7 +204,8 @@ def ngram_jaccard_join(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = cut(rows.mapInArrow(_prints(n), "id long, print string, signature binary"))
-    ids = prints.groupBy("id").agg(F.min("print").alias("print"))
+    named = F.when(F.col("id").isNotNull(), F.col("print"))
+    ids = prints.groupBy("id").agg(F.min(named).alias("print"))
     classes = cut(
         ids.where("id IS NOT NULL AND print IS NOT NULL")
         .groupBy("print")
