@@ -321,6 +321,16 @@ def in_cell_box(lat: Column, lon: Column, box: Box) -> Column:
     return cells_between(lat, lon, box.rows(), box.columns())
 
 
+def in_tiles(df: DataFrame, box: Box) -> DataFrame:
+    """Rows in the tiles that a box touches, a partition filter on a stored grid; all rows of a frame without ``tile``."""
+    return df.where(F.col("tile").isin(box.tiles())) if "tile" in df.columns else df
+
+
+def rows_in_cell_box(df: DataFrame, box: Box, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``in_cell_box`` on a frame, reading only the tiles of the box."""
+    return in_tiles(df, box).where(in_cell_box(F.col(lat), F.col(lon), box))
+
+
 def in_centre_box(df: DataFrame, lat: str, lon: str, box: Box) -> DataFrame:
     """Rows whose centre lies in the box; equal bounds pick the nearest coordinate, the lower on a tie."""
     inside = F.lit(True)

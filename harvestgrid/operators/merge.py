@@ -29,7 +29,7 @@ def backfill_column(
 
 
 def season_updates(sheet: DataFrame, targets: DataFrame, value: str = "VP", on: Sequence[str] = ()) -> DataFrame:
-    """``place, year, date, value`` for every target and every sheet day in its season.
+    """``on, place, year, date, value`` for every target and every sheet day in its season.
 
     Seasons do not overlap, so this is an equi-join on the season. The sheet becomes one row per
     season (and source) of at most 366 days before it meets the targets; a day given twice raises.
@@ -52,22 +52,32 @@ def season_updates(sheet: DataFrame, targets: DataFrame, value: str = "VP", on:
     wanted = targets.select(*on, "place", F.col("year").cast("int").alias("year")).distinct()
     return (
         wanted.join(broadcast_if_small(seasons, SEASON_ROWS), [*on, "year"])
-        .select("place", "year", F.explode("_days").alias("_day"))
-        .select("place", "year", "_day.date", F.col(f"_day.{value}").alias(value))
+        .select(*on, "place", "year", F.explode("_days").alias("_day"))
+        .select(*on, "place", "year", "_day.date", F.col(f"_day.{value}").alias(value))
     )
 
 
-def update_merge(df: DataFrame, updates: DataFrame, value: str = "VP", mark: str | None = None) -> DataFrame:
-    """Set ``value`` on the rows with an update for (place, year, date); all other rows stay as they are.
+def _unique_updates(updates: DataFrame, keys: Sequence[str], value: str, flag: str) -> DataFrame:
+    """One row per key; a key given twice raises, also where only other columns are read."""
+    name = F.concat_ws(" ", F.lit("update given twice:"), *[F.col(k).cast("string") for k in keys])
+    once = updates.groupBy(*keys).agg(F.any_value(value).alias("_new"), F.count(F.lit(1)).alias("_n"))
+    checked = once.where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(name).cast("boolean")))
+    return checked.select(*keys, "_new", F.lit(True).alias(flag))
 
-    A matched row takes a missing value too. The column is added if absent. ``mark`` keeps a boolean
+
+def update_merge(
+    df: DataFrame, updates: DataFrame, value: str = "VP", mark: str | None = None, on: Sequence[str] = ()
+) -> DataFrame:
+    """Set ``value`` on the rows with an update for (on, place, year, date); all other rows stay as they are.
+
+    Two updates for one key raise. A matched row takes a missing value too. The column is added if absent. ``mark`` keeps a boolean
     column that tells matched rows apart; counting it gives the rows affected. A few updates are
     broadcast, so the table itself is not shuffled for them.
     """
-    keys = ["place", "year", "date"]
+    keys = [*on, "place", "year", "date"]
     df = ensure_columns(df, {value: "double"})
     flag = mark or "_matched"
-    new = updates.select(*keys, F.col(value).alias("_new"), F.lit(True).alias(flag))
+    new = _unique_updates(updates, keys, value, flag)
     joined = df.join(broadcast_if_small(new), keys, "left").withColumns(
         {
             value: F.when(F.col(flag), F.col("_new")).otherwise(F.col(value)),

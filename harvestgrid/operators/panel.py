@@ -27,17 +27,28 @@ def bounded_year(year: Column) -> Column:
 
 
 def keep_last(df: DataFrame, order: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per key: the one with the greatest ``order`` value, which must be unique in its key.
+    """One row per key: the one with the greatest ``order`` value.
 
-    Without ``order`` a repeated key raises. Repeats are dropped in the map-side half of the
+    A NULL order, and different rows that share the greatest order, raise. Without ``order`` a repeated
+    key raises. Repeats are dropped in the map-side half of the
     aggregate, so a key with very many copies stays cheap.
     """
     rest = [c for c in df.columns if c not in keys and c != order]
     row = F.struct(*rest)
+    text = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
     if order is not None:
-        kept = df.groupBy(*keys).agg(F.max_by(row, F.col(order)).alias("_row"))
+        # The greatest and the least print among the rows of the greatest order differ only on a tie.
+        mark = F.xxhash64(row)
+        kept = df.groupBy(*keys).agg(
+            F.max_by(row, F.col(order)).alias("_row"),
+            F.max(F.struct(F.col(order).alias("o"), mark.alias("h"))).alias("_high"),
+            F.max(F.struct(F.col(order).alias("o"), F.bitwise_not(mark).alias("h"))).alias("_low"),
+            F.count_if(F.col(order).isNull()).alias("_unordered"),
+        )
+        clear = (F.col("_unordered") == 0) & (F.col("_high.h") == F.bitwise_not("_low.h"))
+        no_order = F.raise_error(F.concat(F.lit("no order among rows of key: "), text))
+        kept = kept.where(F.when(clear, True).otherwise(no_order.cast("boolean")))
     else:
-        text = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
         repeated = F.raise_error(F.concat(F.lit("repeated key: "), text))
         kept = df.groupBy(*keys).agg(F.any_value(row).alias("_row"), F.count(F.lit(1)).alias("_n"))
         kept = kept.where(F.when(F.col("_n") == 1, True).otherwise(repeated.cast("boolean")))

@@ -60,9 +60,10 @@ def nan_columns_to_null(df: DataFrame) -> DataFrame:
 
 
 def sentinel_to_null(df: DataFrame, columns: Sequence[str], sentinel: float = GRID_MISSING) -> DataFrame:
-    """The sentinel and NaN become NULL."""
+    """The sentinel, as a double or as a float, and NaN become NULL."""
+    narrow = F.lit(sentinel).cast("float").cast("double")
     return df.withColumns(
-        {c: F.when((F.col(c) != F.lit(sentinel)) & ~F.isnan(c), F.col(c)) for c in columns}
+        {c: F.when((F.col(c) != F.lit(sentinel)) & (F.col(c) != narrow) & ~F.isnan(c), F.col(c)) for c in columns}
     )
 
 

@@ -45,7 +45,7 @@ def training_sequences(
 
     Years count as consecutive in the list of all years seen in the panel. The last yield is the
     target and the others stand in ``y_prev``. Columns: loc_id, years, steps, y_last, y_prev. With
-    ``keep=('e',)`` the steps hold the environment group and ybar only. Keys must be unique.
+    ``keep=('e',)`` the steps hold the environment group and ybar only. A repeated key raises.
 
     One shuffle, by location; a location has at most one row per year. A run that would hold the
     hold-out year is incomplete once that year's rows are gone, so they never reach the shuffle.
@@ -65,7 +65,10 @@ def training_sequences(
     )
     run = W.partitionBy("loc_id").orderBy("_rank").rangeBetween(1 - length, 0)
     entries = F.collect_list(F.struct("year", "yield", F.col("_step").alias("step"))).over(run)
-    complete = ranked.select("loc_id", entries.alias("_run")).where(F.size("_run") == length)
+    runs = ranked.select("loc_id", entries.alias("_run"))
+    repeated = F.raise_error(F.concat(F.lit("repeated year at location "), F.col("loc_id").cast("string")))
+    single = F.size(F.array_distinct("_run.year")) == F.size("_run")
+    complete = runs.where(F.when(single, F.size("_run") == length).otherwise(repeated.cast("boolean")))
     return complete.select(
         "loc_id",
         F.col("_run.year").alias("years"),

@@ -121,27 +121,57 @@ def extent(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     return out
 
 
-def raster_cells(df: DataFrame, layer: str, lat: str = "lat", lon: str = "lon", value: str = "value") -> DataFrame:
+# Coordinates are told apart to so many digits, and may lie so many steps off a regular axis.
+AXIS_DIGITS, AXIS_SLACK = 9, 0.01
+
+
+def raster_cells(
+    df: DataFrame,
+    layer: str,
+    lat: str = "lat",
+    lon: str = "lon",
+    value: str = "value",
+    steps: tuple[float, float] | None = None,
+) -> DataFrame:
     """Raster table: layer, row (north first), column, value, and the affine metadata on each row.
 
-    Rows and columns follow from the cell numbers of the points, so no layer is sorted or gathered.
-    Pixel size = (last - first) / (n - 1), missing for a single row or column. Coordinates are
-    EPSG:4326 and missing values stay NULL.
+    Rows and columns follow from the axes, which must be regular: a coordinate off the steps raises. ``steps`` names
+    the steps in latitude and longitude; without it they are the smallest gaps between the data's own
+    coordinates. So a row without data keeps its place. Only the distinct
+    coordinates of the axes are gathered. Pixel size = (last - first) / (n - 1), missing for a single row
+    or column. Coordinates are EPSG:4326 and missing values stay NULL.
     """
-    numbered = df.withColumns({"_row": mesh.cell_row(F.col(lat)), "_col": mesh.cell_column(F.col(lon))})
-    bounds = numbered.agg(
+    axes = df.agg(*[F.array_sort(F.collect_set(F.round(F.col(c), AXIS_DIGITS))).alias(c) for c in (lat, lon)])
+
+    def axis(name: str, given: float | None) -> dict[str, Column]:
+        at = F.col(f"`{name}`")
+        gaps = F.zip_with(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), at, lambda b, a: b - a)
+        step = F.array_min(F.filter(gaps, lambda g: g.isNotNull())) if given is None else F.lit(given)
+        first, last = F.element_at(at, 1), F.element_at(at, -1)
+        steps = F.coalesce(F.rint(F.try_divide(last - first, step)), F.lit(0.0))
+        exact = F.try_divide(last - first, steps)
+        off = F.exists(at, lambda x: F.abs((x - first) / exact - F.rint((x - first) / exact)) > AXIS_SLACK)
+        checked = F.when(F.coalesce(off, F.lit(False)), F.raise_error(F.lit(f"no regular axis: {name}")).cast("double")).otherwise(exact)
+        return {"first": first, "last": last, "step": checked, "n": steps + 1}
+
+    of_lat, of_lon = (axis(c, steps[k] if steps else None) for k, c in enumerate((lat, lon)))
+    bounds = axes.select(
+        F.struct(
+            *[v.alias(f"lat_{k}") for k, v in of_lat.items()], *[v.alias(f"lon_{k}") for k, v in of_lon.items()]
+        ).alias("b")
+    ).select(
         F.struct(
-            F.min("_row").alias("row0"), F.max("_row").alias("row1"), F.min("_col").alias("col0"), F.max("_col").alias("col1"),
-            F.min(lat).alias("south"), F.max(lat).alias("north"), F.min(lon).alias("west"), F.max(lon).alias("east"),
+            F.col("b.lat_first").alias("south"), F.col("b.lat_last").alias("north"), F.col("b.lon_first").alias("west"),
+            F.col("b.lon_last").alias("east"), F.col("b.lat_n").alias("height"), F.col("b.lon_n").alias("width"),
+            F.col("b.lat_step").alias("step_y"), F.col("b.lon_step").alias("step_x"),
         ).alias("b")
     )
-    height, width = F.col("b.row1") - F.col("b.row0") + 1, F.col("b.col1") - F.col("b.col0") + 1
-    size_y = F.try_divide(F.col("b.north") - F.col("b.south"), (height - 1).cast("double"))
-    size_x = F.try_divide(F.col("b.east") - F.col("b.west"), (width - 1).cast("double"))
-    return numbered.withColumn("b", bounds.scalar()).select(
+    height, width = F.col("b.height"), F.col("b.width")
+    size_y, size_x = F.col("b.step_y"), F.col("b.step_x")
+    return df.withColumn("b", bounds.scalar()).select(
         F.col(layer).alias("layer"),
-        (F.col("b.row1") - F.col("_row")).cast("int").alias("row"),
-        (F.col("_col") - F.col("b.col0")).cast("int").alias("column"),
+        F.coalesce(F.rint((F.col("b.north") - F.col(lat)) / size_y), F.lit(0.0)).cast("int").alias("row"),
+        F.coalesce(F.rint((F.col(lon) - F.col("b.west")) / size_x), F.lit(0.0)).cast("int").alias("column"),
         F.col(value).alias("value"),
         height.cast("int").alias("height"),
         width.cast("int").alias("width"),
@@ -185,7 +215,7 @@ def map_cells(df: DataFrame, classes: int = 256, limits: tuple | None = None, va
 def with_area(boxes: DataFrame) -> DataFrame:
     """Boxes (south, north, west, east) with the number and name of the first area that holds each.
 
-    A box out of order or in no area raises when its area is read.
+    Both are NULL for a box out of order or in no area; ``require_area`` raises on those.
     """
     number = mesh.area_number(*[F.col(c) for c in ("south", "north", "west", "east")])
     return boxes.withColumn("area_num", number).withColumn("area_name", mesh.area_name(F.col("area_num")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from harvestgrid.operators import panel as P
 from harvestgrid.operators import sequences as Q
@@ -50,13 +51,26 @@ def panel_to_sequences(
     return training, holdout
 
 
-def train_and_score(training: DataFrame, holdout: DataFrame, model_path: str, out_path: str, keep: Sequence[str] = Q.GROUP_NAMES) -> DataFrame | None:
+def train_and_score(
+    training: DataFrame,
+    holdout: DataFrame,
+    model_path: str,
+    out_path: str,
+    keep: Sequence[str] = Q.GROUP_NAMES,
+    validation_year: int | None = None,
+) -> DataFrame | None:
     """Fit, save, reload, score and store the predictions; returns the metrics.
 
-    No training sequences stop the job; without hold-out sequences scoring is skipped.
+    Sequences that end in ``validation_year`` stop the boosted trees and are not trained on; the hold-out never takes
+    part. Without that year, or without sequences of it, the fit is linear. No training sequences stop the job; without hold-out sequences scoring is skipped.
     """
     training = stored(training, "training_sequences")
-    M.save_model(M.fit_linear(training, keep), model_path)
+    last = F.element_at("years", -1)
+    validation = training.where(last == validation_year) if validation_year is not None else None
+    if validation is None or validation.isEmpty():
+        M.save_model(M.fit_linear(training, keep), model_path)
+    else:
+        M.save_model(M.fit_boosted(training.where(last != validation_year), validation, keep), model_path)
     if holdout.isEmpty():
         return None
     write_parquet(M.predictions(M.load_model(model_path), holdout, keep), out_path)

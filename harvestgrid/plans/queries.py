@@ -23,7 +23,7 @@ from harvestgrid.operators.nearest import nearest_place as nearest
 from harvestgrid.operators.rows import first_rows, shuffled
 from harvestgrid.plans import standins as S
 from harvestgrid.plans import yield_model as M
-from harvestgrid.plans.jobs import stored
+from harvestgrid.plans.jobs import stored, train_and_score
 from harvestgrid.session import new_table_path
 from harvestgrid.sources import grids as G
 from harvestgrid.sources import sinks
@@ -578,8 +578,7 @@ def table_round_trip(spark, sf_dir):
 @_query
 def anomaly(spark, sf_dir):
     today = dt.date(2024, 1, 15)
-    grid = S.grid_daily(spark, sf_dir).where(tg.DayRange.around(today, 64).holds(F.col("date")))
-    return an.anomalies(grid.where(F.col("kind") == "observed"), grid.where(F.col("kind") == "normal"), today)
+    return an.anomalies(an.both_kinds(S.grid_daily(spark, sf_dir), tg.DayRange.around(today, 64)), today)
 
 
 @_query
@@ -604,7 +603,7 @@ def extent(spark, sf_dir):
 
 @_query
 def raster_cells(spark, sf_dir):
-    cells = sp.raster_cells(S.grid_static(spark, sf_dir), "element")
+    cells = sp.raster_cells(S.grid_static(spark, sf_dir), "element", steps=(1 / mesh.ROWS_PER_DEGREE, 1 / mesh.COLUMNS_PER_DEGREE))
     return cells.withColumns({c: F.round(c, 9) for c in ("pixel_x", "pixel_y", "west", "south", "east", "north")})
 
 
@@ -649,18 +648,27 @@ def loss_of_outputs(spark, sf_dir):
 
 @_query
 def yield_model_score(spark, sf_dir):
-    """Boosted trees with a validation stop, saved, loaded and scored on the hold-out year."""
+    """The training job: trees that stop on the year before the hold-out, saved, loaded and scored on the hold-out."""
     training, holdout = stored(_training(spark, sf_dir), "training"), stored(_holdout(spark, sf_dir), "holdout")
     path, out = new_table_path(spark, "yield_model"), new_table_path(spark, "predictions")
-    M.save_model(M.fit_boosted(training, holdout, max_iter=10), path)
-    sinks.write_parquet(M.predictions(M.load_model(path), holdout), out)
-    return regression_metrics(spark.read.parquet(out))
+    train_and_score(training, holdout, path, out, validation_year=S.HOLDOUT_YEAR - 1)
+    scored = spark.read.parquet(out)
+    better = regression_metrics(scored).join(_mean_error(training, holdout)).select(F.col("rmse") <= F.col("mean_rmse"))
+    return scored.select("loc_id", "year", "y_true").withColumn("beats_mean", better.scalar())
+
+
+def _mean_error(training: DataFrame, holdout: DataFrame) -> DataFrame:
+    """One row: the hold-out error of predicting the training mean."""
+    mean = training.agg(F.avg("y_last")).scalar()
+    return holdout.withColumn("_mean", mean).agg(F.sqrt(F.avg(F.pow(F.col("y_last") - F.col("_mean"), F.lit(2)))).alias("mean_rmse"))
 
 
 @_query
 def model_compare(spark, sf_dir):
     training, holdout = stored(_training(spark, sf_dir), "training"), stored(_holdout(spark, sf_dir), "holdout")
-    return M.compare_models(training, holdout)
+    compared = M.compare_models(training, holdout)
+    better = F.col("rmse") <= _mean_error(training, holdout).scalar()
+    return compared.select("model", "n", better.alias("beats_mean"))
 
 
 @_query

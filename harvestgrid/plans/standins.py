@@ -102,9 +102,23 @@ def _on_grid(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(place_cells(spark, sf_dir), "place")
 
 
+def _cell_means(spark: SparkSession, sf_dir: str, *times: Column) -> DataFrame:
+    """element, tile, mesh_code, lat, lon, the times, value: mean event value of all users in a cell.
+
+    A user is a customer, and its number gives its cell; many users share a cell once there are some thousands.
+    """
+    key = F.col("user_id")
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("element"), lat_of(key).alias("lat"), lon_of(key).alias("lon"), *times, cents(F.col("value")).alias("c")
+    )
+    cell = [c for c in with_cell(events).columns if c != "c"]
+    means = with_cell(events).groupBy(*cell).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
+    return means.withColumn("value", F.col("c") / 100.0 / F.col("n"))
+
+
 def grid_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily grid from ``weather``, each place at its own cell."""
-    daily = _on_grid(weather(spark, sf_dir), spark, sf_dir)
+    """Daily grid from the events, one value per element, cell and day."""
+    daily = _cell_means(spark, sf_dir, F.col("ts").cast("date").alias("date"))
     return daily.select(
         "element", F.lit("observed").alias("kind"), F.year("date").alias("year"), "tile", "mesh_code", "lat", "lon", "date", "value"
     )
@@ -112,14 +126,8 @@ def grid_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normals of the first 20 days: one mean per cell and element, the same on each of these days."""
-    events = table(spark, sf_dir, "events")
-    means = (
-        events.groupBy(F.col("user_id").alias("place"), F.col("event_type").alias("element"))
-        .agg(F.sum(cents(F.col("value"))).alias("c"), F.count(F.lit(1)).alias("n"))
-        .select("place", "element", (F.col("c") / 100.0 / F.col("n")).alias("value"))
-    )
     days = F.sequence(F.to_date(F.lit("2024-01-01")), F.to_date(F.lit("2024-01-20")))
-    daily = _on_grid(means, spark, sf_dir).withColumn("date", F.explode(days))
+    daily = _cell_means(spark, sf_dir).withColumn("date", F.explode(days))
     return daily.select(
         "element", F.lit("normal").alias("kind"), F.year("date").alias("year"), "tile", "mesh_code", "lat", "lon", "date", "value"
     )
@@ -158,15 +166,11 @@ def grid_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hour-ending means of the events: local time is UTC plus nine hours."""
-    events = table(spark, sf_dir, "events")
     ends = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz") + F.expr("interval 1 hour")
-    hourly = (
-        events.groupBy(F.col("user_id").alias("place"), ends.alias("ts_utc"), F.col("event_type").alias("element"))
-        .agg(F.sum(cents(F.col("value"))).alias("c"), F.count(F.lit(1)).alias("n"))
-        .withColumn("value", F.col("c") / 100.0 / F.col("n"))
-        .withColumn("ts_local", F.convert_timezone(F.lit("UTC"), F.lit("Asia/Tokyo"), F.col("ts_utc")))
+    hourly = _cell_means(spark, sf_dir, ends.alias("ts_utc")).withColumn(
+        "ts_local", F.convert_timezone(F.lit("UTC"), F.lit("Asia/Tokyo"), F.col("ts_utc"))
     )
-    return _on_grid(hourly, spark, sf_dir).select(
+    return hourly.select(
         "element",
         F.lit("observed").alias("kind"),
         F.year(F.col("ts_local") - F.expr("interval 1 hour")).alias("storage_year"),

@@ -195,12 +195,27 @@ def scan_hourly(
 
 
 def extract_cells(
-    grid: DataFrame, element: str, box: mesh.Box, fill: float, days: DayRange | None = None, elements: DataFrame | None = None
+    grid: DataFrame,
+    element: str,
+    box: mesh.Box,
+    fill: float,
+    days: DayRange | None = None,
+    elements: DataFrame | None = None,
+    kind: str | None = None,
 ) -> DataFrame:
-    """Cells with their centre in the box, fill values as NULL, with name and unit if given."""
+    """Cells with their centre in the box, fill values as NULL, with name and unit if given.
+
+    Element, kind, years and, for a box with an area, tiles are partition filters. Equal bounds ask for the nearest
+    coordinate, which may lie in any tile, so it is looked for in all tiles of the element and days.
+    """
     df = grid.where(F.col("element") == element)
+    if kind is not None:
+        df = df.where(F.col("kind") == kind)
     if days is not None:
+        df = df.where(F.col("year").isin(days.years)) if "year" in df.columns else df
         df = df.where(days.holds(F.col("date")))
+    if box.south < box.north and box.west < box.east:
+        df = mesh.in_tiles(df, box)
     df = sentinel_to_null(mesh.in_centre_box(df, "lat", "lon", box), ["value"], fill)
     return with_names(df, elements) if elements is not None else df
 
@@ -208,9 +223,14 @@ def extract_cells(
 def with_names(df: DataFrame, elements: DataFrame) -> DataFrame:
     """Add ``long_name`` and ``unit`` of each element.
 
-    There are few elements and many rows of each, so a shuffle by element is to be avoided.
+    There are few elements and many rows of each, so a shuffle by element is to be avoided. An element
+    may be listed several times with one name and unit; two different ones raise.
     """
-    return df.join(broadcast_if_small(elements.select("element", "long_name", "unit")), "element", "left")
+    label = F.struct("long_name", "unit")
+    once = elements.groupBy("element").agg(F.min(label).alias("_label"), F.max(label).alias("_other"))
+    clash = F.raise_error(F.concat(F.lit("two names or units of element "), F.col("element"))).cast("boolean")
+    once = once.where(F.when(F.col("_label").eqNullSafe(F.col("_other")), True).otherwise(clash))
+    return df.join(broadcast_if_small(once.select("element", "_label.*")), "element", "left")
 
 
 # --- pieces -------------------------------------------------------------------------------------
@@ -231,7 +251,6 @@ def merge_pieces(pieces: Sequence[DataFrame], keys: Sequence[str] = ("element",
     low, high = F.min(known).alias("_low"), F.max(known).alias("_high")
     merged = union_by_name(*pieces).groupBy(*keys).agg(low, high)
     clash = F.concat_ws(" ", F.lit("conflicting values for"), *[F.col(k).cast("string") for k in keys])
-    checked = F.when(F.col("_low") == F.col("_high"), F.col("_low")).when(
-        F.col("_low").isNotNull(), F.raise_error(clash).cast("double")
-    )
-    return merged.select(*keys, checked.alias(value))
+    agree = F.coalesce(F.col("_low") == F.col("_high"), F.lit(True))
+    checked = merged.where(F.when(agree, True).otherwise(F.raise_error(clash).cast("boolean")))
+    return checked.select(*keys, F.col("_low").alias(value))

@@ -87,7 +87,7 @@ def test_anomalies(spark):
     day = [dt.date(2024, 1, i) for i in range(1, 6)]
     obs = spark.createDataFrame([("T", "1", day[0], 5.0), ("T", "1", day[1], 4.0), ("T", "1", day[2], None), ("T", "1", day[3], 1.0)], schema)
     normal = spark.createDataFrame([("T", "1", day[0], 5.0), ("T", "1", day[1], 5.0), ("T", "1", day[2], 5.0), ("T", "1", day[4], 1.0)], schema)
-    got = {r.date: (r.sign, r.is_today) for r in anomaly.anomalies(obs, normal, day[1]).collect()}
+    got = {r.date: (r.sign, r.is_today) for r in anomaly.anomalies(anomaly.observed_and_normal(obs, normal), day[1]).collect()}
     assert got == {day[0]: (0, False), day[1]: (-1, True), day[2]: (None, False)}
     assert anomaly.date_table(anomaly.observed_and_normal(obs, normal)).columns == ["Date", "Normal", "Obs."]
 
