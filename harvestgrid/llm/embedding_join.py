@@ -25,7 +25,8 @@ from harvestgrid.llm.tables import cut
 SAMPLE = 20_000
 CODEWORDS = 64
 ROUNDS = 8
-BLOCK = 512
+# Rows of a block: two blocks of vectors take some megabytes, a table of their distances 32 MB.
+BLOCK = 2_048
 SEED = 20240301
 # Added to the search radius, so that rounding can't lose a pair; the cosine decides in the end.
 MARGIN = 1e-6
