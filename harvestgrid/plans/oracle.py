@@ -726,9 +726,13 @@ SELECT year, count(*) AS n, round(sqrt(avg(pow(y_pred - y_true, 2))), 6) AS rmse
 FROM scored GROUP BY year
 """
 
+def _huber(error: str) -> str:
+    return f"avg(CASE WHEN abs({error}) <= 1 THEN pow({error}, 2) / 2 ELSE abs({error}) - 0.5 END)"
+
+
 SQL["loss_of_outputs"] = f"""
 WITH {_SCORED}
-SELECT round(avg(CASE WHEN abs(y_pred - y_true) <= 1 THEN pow(y_pred - y_true, 2) / 2 ELSE abs(y_pred - y_true) - 0.5 END), 6) AS loss
+SELECT round(0.75 * {_huber("y_pred - y_true")} + 0.25 * ({_huber("y_pred - y_true")} + {_huber("y_pred - y_true / 2")}) / 2, 6) AS loss
 FROM scored
 """
 
@@ -765,3 +769,9 @@ WITH {PANEL}
 SELECT model, count(*) AS n, true AS beats_mean
 FROM panel, (VALUES ('e+s+p+ybar'), ('e+ybar')) AS m(model) WHERE year = 2001 GROUP BY model
 """
+
+SQL["stored_grid_scan"] = f"""
+WITH {STATIC}
+{_SCAN}, value FROM static
+WHERE element = 'altitude' AND iy BETWEEN 30 * 120 AND 36 * 120 - 1 AND ix BETWEEN 25 * 80 AND 40 * 80 + 40
+"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harvestgrid.functions import mesh
 from harvestgrid.sources.grids import with_cell
 
 CUT_YEAR, HOLDOUT_YEAR, MEAN_YEARS = 2000, 2001, (1997, 1998, 1999, 2000)
@@ -109,11 +110,19 @@ def _cell_means(spark: SparkSession, sf_dir: str, *times: Column) -> DataFrame:
     """
     key = F.col("user_id")
     events = table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("element"), lat_of(key).alias("lat"), lon_of(key).alias("lon"), *times, cents(F.col("value")).alias("c")
+        F.col("event_type").alias("element"),
+        mesh.cell_row(lat_of(key)).alias("_row"),
+        mesh.cell_column(lon_of(key)).alias("_column"),
+        *times,
+        cents(F.col("value")).alias("c"),
     )
-    cell = [c for c in with_cell(events).columns if c != "c"]
-    means = with_cell(events).groupBy(*cell).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
-    return means.withColumn("value", F.col("c") / 100.0 / F.col("n"))
+    cell = [c for c in events.columns if c != "c"]
+    means = events.groupBy(*cell).agg((F.sum("c") / 100.0 / F.count(F.lit(1))).alias("value"))
+    row, column = F.col("_row"), F.col("_column")
+    named = means.withColumns(
+        {"mesh_code": mesh.code_of_cell(row, column), "lat": mesh.row_centre(row), "lon": mesh.column_centre(column)}
+    )
+    return named.withColumn("tile", F.substring("mesh_code", 1, 4)).drop("_row", "_column")
 
 
 def grid_observed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ def rewrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str] = (
     Files are swapped at commit, so ``df`` may be computed from the same table.
     """
     (
-        df.write.mode("overwrite")
+        _by_partition(df, partition_by)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)

@@ -15,7 +15,8 @@ ENCODINGS = ("utf-8-sig", "utf-8", "cp932", "euc-jp")
 def decode_text(content: Column, encodings: Sequence[str] = ENCODINGS, strict: bool = True) -> Column:
     """Text of a binary column in the first encoding that fits; none raises, or gives NULL if not strict.
 
-    An Arrow UDF: Spark's own decoder knows neither cp932 nor the byte-order mark.
+    Valid UTF-8, which the first two default encodings read, stays in the JVM, its byte-order mark stripped. Only other rows
+    reach the Arrow UDF; Spark's own decoder does not know cp932.
     """
     names = tuple(encodings)
 
@@ -36,7 +37,12 @@ def decode_text(content: Column, encodings: Sequence[str] = ENCODINGS, strict: b
         for batch in batches:
             yield batch.map(one, na_action=None).astype(object)
 
-    return decode(content)
+    if names[:2] != ENCODINGS[:2]:
+        return decode(content)
+    valid = F.is_valid_utf8(content.cast("string"))
+    marked = F.substring(content, 1, 3) == F.unhex(F.lit("EFBBBF"))
+    plain = F.when(marked, F.substring(content, 4, F.octet_length(content))).otherwise(content)
+    return F.when(valid, plain.cast("string")).otherwise(decode(F.when(~valid, content)))
 
 
 def read_text_files(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, strict: bool = True) -> DataFrame:
