@@ -212,15 +212,14 @@ FROM own o JOIN scalars s ON s.year = 2001
 
 SQL["dedupe_last"] = f"""
 WITH {VECTORS}
-SELECT loc_id, year, yield, features[1] AS first_feature, features[64] AS last_feature FROM last_vec
+SELECT loc_id, year, yield, i - 1 AS entry, features[i] AS feature FROM last_vec, generate_series(1, 64) AS g(i)
 """
 
 SQL["feature_groups"] = f"""
 WITH {VECTORS}
-SELECT src_order, features[1] AS e_first, features[52] AS e_last, features[53] AS s_first, features[60] AS s_last,
-       features[61] AS p_first, features[64] AS p_last,
-       len(features[1:52])::BIGINT AS e_size, len(features[53:60])::BIGINT AS s_size, len(features[61:64])::BIGINT AS p_size
-FROM vec
+SELECT src_order, CASE WHEN i <= 52 THEN 'e' WHEN i <= 60 THEN 's' ELSE 'p' END AS feature_group,
+       i - 1 - CASE WHEN i <= 52 THEN 0 WHEN i <= 60 THEN 52 ELSE 60 END AS entry, features[i] AS feature
+FROM vec, generate_series(1, 64) AS g(i)
 """
 
 SQL["feature_ablation"] = f"""
@@ -241,8 +240,7 @@ WHERE e.n = 5 AND e.last_year <> 2001 AND NOT EXISTS (
 
 SQL["weekly_reshape"] = f"""
 WITH {VECTORS}
-SELECT src_order, b::BIGINT AS variable, features[(b - 1) * 13 + 1] AS first_week, features[(b - 1) * 13 + 13] AS last_week, 13::BIGINT AS weeks
-FROM vec, generate_series(1, 4) AS g(b)
+SELECT src_order, (i - 1) // 13 + 1 AS variable, (i - 1) % 13 AS week, features[i] AS feature FROM vec, generate_series(1, 52) AS g(i)
 """
 
 SQL["keyed_lookup"] = f"""

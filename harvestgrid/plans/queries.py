@@ -119,18 +119,15 @@ def holdout_sequences(spark, sf_dir):
 @_query
 def dedupe_last(spark, sf_dir):
     last = P.keep_last(S.vector_panel(spark, sf_dir), "src_order")
-    return last.select(
-        "loc_id", "year", "yield",
-        F.element_at("features", 1).alias("first_feature"), F.element_at("features", -1).alias("last_feature"),
-    )
+    return last.select("loc_id", "year", "yield", F.posexplode("features").alias("entry", "feature"))
 
 
 @_query
 def feature_groups(spark, sf_dir):
     groups = Q.feature_groups(F.col("features"), S.VECTOR_SIZES)
-    ends = [F.element_at(c, i).alias(f"{n}_{end}") for n, c in groups.items() for end, i in (("first", 1), ("last", -1))]
-    sizes = [F.size(c).alias(f"{n}_size") for n, c in groups.items()]
-    return S.vector_panel(spark, sf_dir).select("src_order", *ends, *sizes)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("entries")) for n, c in groups.items()])).alias("g")
+    rows = S.vector_panel(spark, sf_dir).select("src_order", each)
+    return rows.select("src_order", F.col("g.name").alias("feature_group"), F.posexplode("g.entries").alias("entry", "feature"))
 
 
 @_query
@@ -150,8 +147,7 @@ def weekly_reshape(spark, sf_dir):
     e = Q.feature_groups(F.col("features"), S.VECTOR_SIZES)["e"]
     rows = S.vector_panel(spark, sf_dir).select("src_order", F.posexplode(Q.reshape(e, 4, 13)).alias("pos", "weekly"))
     return rows.select(
-        "src_order", (F.col("pos") + 1).alias("variable"),
-        F.element_at("weekly", 1).alias("first_week"), F.element_at("weekly", -1).alias("last_week"), F.size("weekly").alias("weeks"),
+        "src_order", (F.col("pos") + 1).alias("variable"), F.posexplode("weekly").alias("week", "feature")
     )
 
 
