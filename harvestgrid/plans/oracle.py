@@ -642,15 +642,14 @@ FROM observed o JOIN normal n ON n.element = o.element AND n.mesh_code = o.mesh_
 WHERE o.element = 'click' AND o.mesh_code = (SELECT code8 FROM ({celled(f"SELECT {lat('7')} AS lat, {lon('7')} AS lon")}))
 """
 
+_DAYS = ",\n           ".join(f"max(CASE WHEN date = DATE '2024-01-{d:02}' THEN value END) AS d{d:02}" for d in range(1, 31))
 SQL["mesh_pivot"] = f"""
 WITH {GRID},
 p AS (
     SELECT mesh_code, round(lat, 9) AS lat, round(lon, 9) AS lon,
-           max(CASE WHEN date = DATE '2024-01-01' THEN value END) AS d01,
-           max(CASE WHEN date = DATE '2024-01-02' THEN value END) AS d02,
-           max(CASE WHEN date = DATE '2024-01-03' THEN value END) AS d03
+           {_DAYS}
     FROM observed WHERE element = 'click' GROUP BY 1, 2, 3)
-SELECT * FROM p WHERE d01 IS NOT NULL OR d02 IS NOT NULL OR d03 IS NOT NULL
+SELECT * FROM p WHERE coalesce({", ".join(f"d{d:02}" for d in range(1, 31))}) IS NOT NULL
 """
 
 SQL["mesh_csv"] = SQL["mesh_pivot"]

@@ -595,8 +595,8 @@ def date_table(spark, sf_dir):
 @_query
 def mesh_pivot(spark, sf_dir):
     cells = S.grid_observed(spark, sf_dir).where(F.col("element") == "click")
-    steps = [dt.date(2024, 1, d) for d in (1, 2, 3)]
-    return _short(sp.mesh_pivot(cells, "date", steps, with_centre=True, names=["d01", "d02", "d03"]))
+    steps = [dt.date(2024, 1, d) for d in range(1, 31)]
+    return _short(sp.mesh_pivot(cells, "date", steps, with_centre=True, names=[f"d{s.day:02}" for s in steps]))
 
 
 @_query
