@@ -332,11 +332,26 @@ def rows_in_cell_box(df: DataFrame, box: Box, lat: str = "lat", lon: str = "lon"
 
 
 def in_centre_box(df: DataFrame, lat: str, lon: str, box: Box) -> DataFrame:
-    """Rows whose centre lies in the box; equal bounds pick the nearest coordinate, the lower on a tie."""
+    """Rows whose centre lies in the box; equal bounds pick the nearest coordinate, the lower on a tie.
+
+    On a frame with ``tile`` the nearest coordinate is looked up in the three rows (or columns) of tiles around the
+    bound, and in all of the frame only if none lies within a tile's side of it.
+    """
     inside = F.lit(True)
-    for name, low, high in ((lat, box.south, box.north), (lon, box.west, box.east)):
+    for name, low, high, digit, per_degree, origin in (
+        (lat, box.south, box.north, 1, TILE_ROWS_PER_DEGREE, 0.0),
+        (lon, box.west, box.east, 3, 1.0, WEST_ORIGIN),
+    ):
         if low == high:
-            inside = inside & (F.col(name) == nearest_coordinate(df, name, low).scalar())
+            found, number = None, F.substring("tile", digit, 2).cast("int")
+            if "tile" in df.columns:
+                around = math.floor((low - origin) * per_degree)
+                near = df.where(number.between(around - 1, around + 1))
+                found = nearest_coordinate(near, name, low).head()[0]
+            if found is not None and abs(found - low) * per_degree < 1:
+                inside = inside & (F.col(name) == found) & (number == math.floor((found - origin) * per_degree))
+            else:
+                inside = inside & (F.col(name) == nearest_coordinate(df, name, low).scalar())
         else:
             inside = inside & F.col(name).between(low, high)
     return df.where(inside)
@@ -377,7 +392,7 @@ def tiles_of_box(south: Column, north: Column, west: Column, east: Column) -> Co
 
 
 def listed_tiles(tiles: DataFrame, listed: DataFrame, column: str = "tile") -> DataFrame:
-    """Keep the tiles that a grid table really has. At most 90 x 90 codes exist."""
+    """Keep the tiles that a grid table really has, such as ``sources.grids.read_tiles`` lists. At most 90 x 90 codes exist."""
     codes = listed.select(column).where(F.col(column).rlike("^[1-9][0-9][1-9][0-9]$")).distinct()
     return tiles.join(F.broadcast(codes), column, "left_semi")
 

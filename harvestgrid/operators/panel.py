@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestgrid.functions.numeric import nan_to_null, z_score
+from harvestgrid.operators.sizes import broadcast_if_small
 
 KEYS = ("loc_id", "year")
 
@@ -55,6 +56,28 @@ def keep_last(df: DataFrame, order: str | None = None, keys: Sequence[str] = KEY
     return kept.select(*keys, "_row.*")
 
 
+def drop_repeats(df: DataFrame, order: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """What ``keep_last`` gives, for a stored frame that is read again at little cost.
+
+    A count over the keys alone finds the repeated ones first, so only their rows are shuffled whole.
+    """
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    columns = [*keys, *[c for c in df.columns if c not in keys and c != order]]
+    singles = df
+    if order is not None:
+        text = F.concat_ws(", ", F.lit("no order among rows of key:"), *[F.col(k).cast("string") for k in keys])
+        singles = df.where(F.when(F.col(order).isNotNull(), True).otherwise(F.raise_error(text).cast("boolean")))
+    if repeated.isEmpty():
+        return singles.select(*columns)
+    found = broadcast_if_small(repeated)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return (
+        singles.join(found, same, "left_anti").select(*columns).union(keep_last(df.join(found, same, "left_semi"), order, keys).select(*columns))
+    )
+
+
 def distinct_years(panel: DataFrame) -> DataFrame:
     """Years seen anywhere, ascending."""
     return panel.select("year").distinct().orderBy("year")

@@ -15,19 +15,10 @@ from harvestgrid.operators.nearest import nearest_place
 from harvestgrid.operators.quality import COMPLETE_AFTER_BLANKS, complete_records, null_profile
 from harvestgrid.operators.spatial import DAILY_ELEMENTS, site_weather
 from harvestgrid.plans import yield_model as M
-from harvestgrid.session import new_table_path
-from harvestgrid.sources.sinks import write_parquet
+from harvestgrid.sources.sinks import stored, write_parquet
 from harvestgrid.sources.tables import GROUP_SIZES, field_records
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read back: later steps reuse it, and a lost executor
-    costs a re-read, not the whole lineage."""
-    path = new_table_path(df.sparkSession, name)
-    write_parquet(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def panel_to_sequences(
     panel: DataFrame,
     order: str | None = "src_order",
@@ -40,11 +31,12 @@ def panel_to_sequences(
     """Training and hold-out sequences from a raw panel.
 
     As in the panel's definition, statistics see all rows; repeated keys are dropped after scaling
-    and filtering for the sequences, while yearly means still count every row.
+    and filtering for the sequences, while yearly means still count every row. From the stored panel on, feature
+    rows are shuffled once, by location; only rows of repeated keys are shuffled before that too.
     """
     prepared = stored(P.prepare_panel(panel, last_training_year), "prepared_panel")
     scalars = P.year_scalars(prepared, holdout_year)
-    unique = P.keep_last(prepared, order)
+    unique = P.drop_repeats(prepared, order)
     training = Q.training_sequences(unique, scalars, holdout_year, sizes, keep)
     means = P.mean_year_steps(prepared, scalars, mean_years, sum(sizes))
     holdout = Q.holdout_sequences(unique, scalars, means, holdout_year, sizes, keep)

@@ -95,12 +95,12 @@ def _long_panel_steps(sequences: DataFrame, digits: int | None) -> DataFrame:
 
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared = _prepared(spark, sf_dir)
+    prepared = stored(_prepared(spark, sf_dir), "prepared_panel")
     return Q.training_sequences(prepared, P.year_scalars(prepared, S.HOLDOUT_YEAR), S.HOLDOUT_YEAR, S.PANEL_SIZES)
 
 
 def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared = _prepared(spark, sf_dir)
+    prepared = stored(_prepared(spark, sf_dir), "prepared_panel")
     scalars = P.year_scalars(prepared, S.HOLDOUT_YEAR)
     means = P.mean_year_steps(prepared, scalars, S.MEAN_YEARS, sum(S.PANEL_SIZES))
     return Q.holdout_sequences(prepared, scalars, means, S.HOLDOUT_YEAR, S.PANEL_SIZES)

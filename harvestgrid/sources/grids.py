@@ -66,12 +66,24 @@ def write_grid(df: DataFrame, path: str, layout: str, mode: str = "overwrite") -
     """Write a grid table with rows sorted by place and time inside each file.
 
     Rows are rebalanced by partition: adaptive execution splits a partition that is too large for
-    one task over several tasks and files, and packs small ones together.
+    one task over several tasks and files, and packs small ones together. The codes of the tiles that the table
+    has are written beside it, for ``read_tiles``.
     """
     parts = list(PARTITIONS[layout])
     order = [*parts, "lat", "lon", *TIME_COLUMNS[layout]]
     rows = df.select(*[f.name for f in grid_schema(layout)]).hint("rebalance", *parts)
     rows.sortWithinPartitions(*order).write.mode(mode).partitionBy(*parts).parquet(path)
+    tiles = read_grid(df.sparkSession, path, layout).select("tile").distinct()
+    tiles.coalesce(1).write.mode("overwrite").parquet(_tiles_path(path))
+
+
+def _tiles_path(path: str) -> str:
+    return f"{path.rstrip('/')}-tiles"
+
+
+def read_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """The codes of the tiles of a written grid table, without a look at the table."""
+    return spark.read.schema("tile string").parquet(_tiles_path(path))
 
 
 # --- scans --------------------------------------------------------------------------------------
@@ -205,8 +217,8 @@ def extract_cells(
 ) -> DataFrame:
     """Cells with their centre in the box, fill values as NULL, with name and unit if given.
 
-    Element, kind, years and, for a box with an area, tiles are partition filters. Equal bounds ask for the nearest
-    coordinate, which may lie in any tile, so it is looked for in all tiles of the element and days.
+    Element, kind, years and tiles are partition filters. Equal bounds ask for the nearest coordinate, which is looked
+    for in the tiles around them first.
     """
     df = grid.where(F.col("element") == element)
     if kind is not None:

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
+from harvestgrid.session import new_table_path
+
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = True, skip_empty: bool = False) -> bool:
     """CSV with a header line; False and nothing written if there are no rows and ``skip_empty``."""
@@ -27,6 +29,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), sk
     return True
 
 
+def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """The frame written to the shared folder and read back: later steps reuse it, and a lost executor
+    costs a re-read, not the whole lineage."""
+    path = new_table_path(df.sparkSession, name)
+    write_parquet(df, path, partition_by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replace_table(df: DataFrame, name: str, partition_by: Sequence[str] = ("year",), path: str | None = None) -> None:
     """Create or replace a catalog table; earlier repairs of the table are lost with it."""
     writer = _by_partition(df, partition_by).write.mode("overwrite").partitionBy(*partition_by)

@@ -155,3 +155,25 @@ def test_union_by_name_keeps_duplicates(spark):
     b = spark.createDataFrame([("y", 1), ("y", 1)], "b string, k int")
     got = G.union_by_name(a, b)
     assert got.columns == ["k", "a", "b"] and got.count() == 3
+
+
+def test_tiles_are_listed_beside_the_table(spark, daily, tmp_path):
+    path = str(tmp_path / "grid")
+    G.write_grid(daily.where("tile <> '5440' and element = 'RH'"), path, "daily")
+    assert {r.tile for r in G.read_tiles(spark, path).collect()} == {"5339", "5340", "5439"}
+    G.write_grid(daily.where("tile = '5440' and element = 'RH'"), path, "daily", mode="append")
+    asked = spark.createDataFrame([("5440",), ("5441",)], "tile string")
+    assert [r.tile for r in mesh.listed_tiles(asked, G.read_tiles(spark, path)).collect()] == ["5440"]
+
+
+@pytest.mark.parametrize(("lat", "lon"), [(35.97, 139.97), (36.0, 140.0), (36.4, 139.2), (20.0, 120.0)])
+def test_nearest_coordinate_reads_the_tiles_around_it(daily, lat, lon):
+    """Inside the grid, on a tile corner, beside the grid and far from it: the same cells as without tiles."""
+    days = DayRange.of("2016-01-01", "2016-01-01")
+    got = G.extract_cells(daily, "RH", mesh.Box(lat, lat, lon, lon), -1.0, days, kind="observed")
+    want = G.extract_cells(daily.drop("tile"), "RH", mesh.Box(lat, lat, lon, lon), -1.0, days, kind="observed")
+    assert [r.mesh_code for r in got.collect()] == [r.mesh_code for r in want.collect()]
+    assert got.count() == 1
+    if lat > 30:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "substring(tile" in plan[plan.index("PartitionFilters") :] and "ubquery" not in plan

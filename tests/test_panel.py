@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harvestgrid.operators import panel as P
 from harvestgrid.operators import sequences as Q
+from harvestgrid.sources.sinks import stored
 from harvestgrid.sources.tables import read_panel
 
 PANEL = "loc_id long, year int, `yield` double, features array<double>"
@@ -148,3 +149,23 @@ def test_a_key_with_many_copies(spark):
     assert kept.count() == 2001 and kept.where("loc_id = 0").head()["yield"] == 2997.0
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_max_by") > plan.index("Exchange") and "Window" not in plan
+
+
+def test_repeats_are_dropped_with_one_shuffle_of_feature_rows(spark):
+    years = {loc: [2010, 2011, 2012, 2013, 2014, 2018] for loc in range(6)}
+    df = stored(sequence_panel(spark, years).withColumn("src_order", F.lit(1)), "panel")
+
+    unique = P.drop_repeats(df, "src_order")
+    training = Q.training_sequences(unique, P.year_scalars(df, 2018), 2018, (1, 1, 1))
+    plan = training._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(loc_id") == 1 and training.count() == 6
+    again = df.where("loc_id = 3").withColumns({"src_order": F.lit(2), "yield": F.lit(7.0)})
+    both = stored(df.union(again).union(df.where("loc_id = 4").withColumn("loc_id", F.lit(None).cast("long"))), "panel")
+    both = stored(both.union(both.where("loc_id IS NULL").withColumn("src_order", F.lit(5))), "panel")
+    got, want = P.drop_repeats(both, "src_order"), P.keep_last(both, "src_order")
+    assert got.columns == want.columns and got.count() == 42
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    with pytest.raises(PySparkException, match="repeated key"):
+        P.drop_repeats(both).collect()
+    with pytest.raises(PySparkException, match="no order among"):
+        P.drop_repeats(df.withColumn("src_order", F.lit(None).cast("int")), "src_order").count()

@@ -166,3 +166,22 @@ def test_site_weather_with_shuffled_sites(spark, monkeypatch):
     monkeypatch.setattr(spatial, "BROADCAST_ROWS", 0)
     many = spatial.site_weather(site_grid(spark), sites, ["TMP_mea", "RH"]).collect()
     assert sorted(map(str, few)) == sorted(map(str, many)) and len(few) == 4
+
+
+def test_coarse_levels_are_broadcast_and_equal_distances_stay_open(spark, monkeypatch):
+    """Many places equally far from one point, a point with clashing columns, and no shuffle of the coarse levels."""
+    monkeypatch.setattr(nearest, "BROADCAST_ROWS", 0)
+    angle = F.radians(F.col("id") * 3.0)
+    ring = spark.range(120).select(
+        F.col("id").alias("place_id"), F.concat(F.lit("n"), F.col("id")).alias("name"), F.lit("p").alias("admin1"),
+        (F.sin(angle) * 0.5).alias("lat"), (F.cos(angle) * 0.5).alias("lon"),
+    )
+    points = spark.createDataFrame([(1, 0.0, 0.0, "a"), (2, 0.4, 0.3, "b")], "key int, lat double, lon double, name string")
+    found = nearest.nearest_place(points, ring, per_cell=60)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= nearest.COARSE_LEVELS
+    rows = {r.key: r for r in found.collect()}
+    distances = brute_force(np.array([(0.0, 0.0), (0.4, 0.3)]), np.array([(r.lat, r.lon) for r in ring.orderBy("place_id").collect()]))
+    for key, row in ((1, distances[0]), (2, distances[1])):
+        assert rows[key].distance_m == pytest.approx(row.min(), abs=0.01)
+    assert rows[1].name == "a" and rows[2].city == f"n{int(distances[1].argmin())}"
