@@ -13,6 +13,7 @@ The index (centres and codewords) is fitted on a bounded sample; every vector is
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -97,38 +98,53 @@ def probes(index: Index, x: np.ndarray, radius: float) -> tuple[np.ndarray, list
     return home, [np.flatnonzero(row) for row in near & later]
 
 
-def _units(batches):
-    for batch in batches:
-        rows = []
-        for vector in batch.column("vector"):
-            x = np.array(vector.as_py(), np.float64) + 0.0
-            # The largest component first, so that neither tiny nor huge vectors lose their length.
-            x = x / np.abs(x).max()
-            x = x / np.sqrt(x @ x)
-            rows.append(x.tobytes())
-        yield pa.record_batch(
-            [batch.column("id"), batch.column("label"), pa.array(rows, pa.binary())], names=["id", "label", "unit"]
-        )
+def unit_rows(vectors: list[bytes], kind: type) -> np.ndarray:
+    """Vectors of one size, as they are stored, made unit vectors in double precision."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64) + 0.0
+    # The largest component first, so that neither tiny nor huge vectors lose their length.
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
+
+
+def _units(kind: type):
+    """Each vector in its own precision (``raw``), which is what travels, and a print of its direction and label."""
+
+    def run(batches):
+        for batch in batches:
+            raws, prints = [], []
+            for label, vector in zip(batch.column("label").to_pylist(), batch.column("vector"), strict=True):
+                raw = np.array(vector.as_py(), kind).tobytes()
+                raws.append(raw)
+                prints.append(md5(label.encode() + b"\0" + unit_rows([raw], kind).tobytes()).hexdigest())
+            yield pa.record_batch(
+                [batch.column("id"), batch.column("label"), pa.array(prints, pa.string()), pa.array(raws, pa.binary())],
+                names=["id", "label", "print", "raw"],
+            )
+
+    return run
+
 
+def _dealt(fitted, radius: float, kind: type):
+    width = np.dtype(kind).itemsize
 
-def _dealt(fitted, radius: float):
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            units = batch.column("unit").to_pylist()
-            sizes = np.array([len(u) for u in units])
+            raws = batch.column("raw").to_pylist()
+            sizes = np.array([len(r) for r in raws])
             for size, index in fitted.value.items():
-                rows = np.flatnonzero(sizes == 8 * size)
+                rows = np.flatnonzero(sizes == width * size)
                 if not len(rows):
                     continue
-                x = np.frombuffer(b"".join(units[k] for k in rows), np.float64).reshape(-1, size)
+                x = unit_rows([raws[k] for k in rows], kind)
                 home, visits = probes(index, x, radius)
                 codes, error = encode(index, x - index.centres[home])
                 for k, row in enumerate(rows):
                     head = np.array([home[k], error[k]], np.float64).tobytes()
-                    own = b"\1" + head + codes[k].tobytes() + units[row]
+                    own = b"\1" + head + codes[k].tobytes() + raws[row]
                     out.append((int(row), size, int(home[k]), own))
-                    out.extend((int(row), size, int(c), b"\0" + units[row]) for c in visits[k])
+                    out.extend((int(row), size, int(c), b"\0" + raws[row]) for c in visits[k])
             at, size, cell, payload = zip(*out, strict=True) if out else ((), (), (), ())
             kept = batch.select(["rep", "label", "weight"]).take(pa.array(at, pa.int64()))
             yield pa.record_batch(
@@ -139,8 +155,9 @@ def _dealt(fitted, radius: float):
     return run
 
 
-def _close(fitted, radius: float, threshold: float):
+def _close(fitted, radius: float, threshold: float, kind: type):
     """Links of a list's stored vectors with each other and with visitors; visitors never meet each other."""
+    item = np.dtype(kind).itemsize
 
     def linked(a: list[bytes], b: list[bytes]) -> np.ndarray:
         out = np.zeros((len(a), len(b)), bool)
@@ -149,11 +166,11 @@ def _close(fitted, radius: float, threshold: float):
             if not own:
                 continue
             home, error = np.frombuffer(b"".join(stored[k][1:17] for k in own), np.float64).reshape(-1, 2).T
-            index = _index_of(fitted.value, stored[own[0]])
+            index = _index_of(fitted.value, stored[own[0]], item)
             width, size = len(index.cuts) - 1, index.centres.shape[1]
             codes = np.frombuffer(b"".join(stored[k][17 : 17 + width] for k in own), np.uint8).reshape(-1, width)
-            kept = np.frombuffer(b"".join(stored[k][17 + width :] for k in own), np.float64).reshape(-1, size)
-            asked = np.frombuffer(b"".join(q[-8 * size :] for q in queries), np.float64).reshape(-1, size)
+            kept = unit_rows([stored[k][17 + width :] for k in own], kind)
+            asked = unit_rows([q[-item * size :] for q in queries], kind)
             parts = index.parts(asked - index.centres[int(home[0])])
             about = np.zeros((len(asked), len(own)))
             for k, part in enumerate(parts):
@@ -168,9 +185,9 @@ def _close(fitted, radius: float, threshold: float):
     return linked
 
 
-def _index_of(fitted: dict[int, Index], stored: bytes) -> Index:
+def _index_of(fitted: dict[int, Index], stored: bytes, item: int) -> Index:
     for size, index in fitted.items():
-        if len(stored) == 17 + len(index.cuts) - 1 + 8 * size:
+        if len(stored) == 17 + len(index.cuts) - 1 + item * size:
             return index
     raise ValueError("a stored vector of a size without an index")
 
@@ -189,44 +206,47 @@ def embedding_near_duplicates(
     Result, one row per id: ``vec_id``, ``n_links`` long (other ids linked directly), ``component_id`` long
     (smallest id reachable by links, itself included), ``kept`` boolean (it is its component's smallest).
     Vectors that are null, empty, zero or hold a null or non-finite component, and rows with a null label, link with
-    nothing; so do vectors of different sizes. Rows that repeat an id count once (the vector whose
-    bytes sort first). A null id has one row, with a null component and ``kept`` null. Other columns are not read.
+    nothing; so do vectors of different sizes. Rows that repeat an id count once (the one whose label, then
+    print, sorts first). A null id has one row, with a null component and ``kept`` null. Other columns are not read.
     """
+    single_precision = dict(vectors.dtypes)[vector_col] == "array<float>"
+    kind = np.float32 if single_precision else np.float64
+    width = np.dtype(kind).itemsize
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(label_col).cast("string").alias("label"),
-        F.col(vector_col).cast("array<double>").alias("vector"),
+        F.col(vector_col).cast("array<float>" if single_precision else "array<double>").alias("vector"),
     )
     whole = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0) & whole).where(
         F.exists("vector", lambda x: x != 0.0)
     )
-    units = valid.mapInArrow(_units, "id long, label string, unit binary")
-    units = units.groupBy("id").agg(F.min(F.struct("label", "unit")).alias("_one")).select("id", "_one.*")
-    units = cut(units.withColumn("print", F.md5(F.concat(F.encode("label", "utf-8"), F.lit(b"\0"), "unit"))))
+    units = valid.mapInArrow(_units(kind), "id long, label string, print string, raw binary")
+    one = F.min(F.struct("label", "print", "raw")).alias("_one")
+    units = cut(units.groupBy("id").agg(one).select("id", "_one.*"))
     classes = units.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     single = cut(
         units.withColumnRenamed("id", "rep").join(classes.select("rep", "weight"), "rep").drop("print")
     )
     total = single.count()
-    some = single.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit").toArrow().column("unit").to_pylist()
+    some = single.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("raw").toArrow().column("raw").to_pylist()
     fitted: dict[int, Index] = {}
     for size in sorted({len(u) for u in some}):
-        x = np.frombuffer(b"".join(u for u in some if len(u) == size), np.float64).reshape(-1, size // 8)
+        x = unit_rows([u for u in some if len(u) == size], kind)
         lists = max(1, min(len(x) // 32, int(np.sqrt(total) / 2)))
-        fitted[size // 8] = fit_index(x, lists, subspaces)
-    for (size,) in single.select(F.length("unit").alias("size")).distinct().collect():
-        if size // 8 not in fitted:  # a size that the sample missed: one list, coded without a fit
-            fitted[size // 8] = fit_index(np.zeros((1, size // 8)), 1, subspaces)
+        fitted[size // width] = fit_index(x, lists, subspaces)
+    for (size,) in single.select(F.length("raw").alias("size")).distinct().collect():
+        if size // width not in fitted:  # a size that the sample missed: one list, coded without a fit
+            fitted[size // width] = fit_index(np.zeros((1, size // width)), 1, subspaces)
     shared = single.sparkSession.sparkContext.broadcast(fitted)
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     dealt = cut(
         single.mapInArrow(
-            _dealt(shared, radius), "rep long, label string, weight long, size int, cell int, payload binary"
+            _dealt(shared, radius, kind), "rep long, label string, weight long, size int, cell int, payload binary"
         ).select(F.xxhash64("label", "size", "cell").alias("grp"), F.col("rep").alias("item"), "weight", "payload")
     )
     members = dealt.join(dealt.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "grp")
-    links = cut(compare_blocks(members, _close(shared, radius, threshold), dealt.count(), BLOCK))
+    links = cut(compare_blocks(members, _close(shared, radius, threshold, kind), dealt.count(), BLOCK))
     joined = components(links.where("other IS NOT NULL").select(F.col("item").alias("a"), F.col("other").alias("b")))
     others = links.where("other IS NULL").groupBy("item").agg(F.sum("links").alias("others"))
     by_class = (
