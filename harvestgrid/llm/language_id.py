@@ -1,8 +1,9 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Character four-grams of all training texts are counted per language; the smoothed models follow from the counts by
-aggregates and joins. A model is kept as sorted arrays of hashes, one per order, with a column of log
-probabilities per language. A text gets the language of lowest cross-entropy per character; a text whose
+aggregates and joins. Every gram is kept by its whole 64-bit key. A model that is measured and small is broadcast as sorted
+arrays of keys, one per order, with a column of log probabilities per language; a larger one stays in Spark, where it is
+joined with the documents' grams. A text gets the language of lowest cross-entropy per character; a text whose
 cross-entropy lies far above what training texts of that language and length have is rejected.
 """
 
@@ -16,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestgrid.llm.tables import cut
-from harvestgrid.llm.words import code_points, mix
+from harvestgrid.llm.words import code_points
 
 ORDER = 4
-# Hashes of a model have so many bits: an order has at most 2 ** HASH_BITS entries for a language, at any input.
-HASH_BITS = 22
+# A model of at most so many rows (a language's grams of all orders), and so many bytes as arrays, goes through the driver.
+MODEL_ROWS, MODEL_BYTES = 2_000_000, 128 << 20
 # A text is rejected beyond the 99 % quantile of its language and length, plus so many times the distance
 # from the median to it, plus so many nats per character.
 REJECT_SPREAD, REJECT_NATS = 2.0, 1.0
@@ -149,23 +150,17 @@ def _order_tables(counts: DataFrame) -> DataFrame:
     return found
 
 
-def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(grams) >> np.uint64(64 - bits)).astype(np.uint32)
-
-
 @dataclass
 class Model:
-    """Sorted hashes and, for each, log probabilities (``p``) or back-off weights (``b``) of all languages."""
+    """Sorted grams and, for each, log probabilities (``p``) or back-off weights (``b``) of all languages."""
 
     languages: list[str]
-    bits: int
     tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
 
     def look_up(self, kind: str, order: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, values = self.tables[kind, order]
-        slots = _slots(grams, self.bits)
-        at = np.minimum(np.searchsorted(keys, slots), len(keys) - 1)
-        return keys[at] == slots, values[at]
+        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        return keys[at] == grams, values[at]
 
     def log_probabilities(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Log probability of each gram's last character after the others, a column per language."""
@@ -188,10 +183,10 @@ class Model:
         return below + np.where(known[:, None], weight, 0.0)
 
 
-def build_model(rows: pa.Table, bits: int) -> Model:
+def build_model(rows: pa.Table) -> Model:
     """A model from (lang, kind, ord, gram, value); where a language lacks a gram, its back-off value is filled in."""
     languages = sorted(set(rows.column("lang").to_pylist()))
-    model = Model(languages, bits, {})
+    model = Model(languages, {})
     if not languages:
         return model
     column = np.array([languages.index(x) for x in rows.column("lang").to_pylist()])
@@ -201,65 +196,139 @@ def build_model(rows: pa.Table, bits: int) -> Model:
     values = rows.column("value").to_numpy()
     for k in range(ORDER):
         own = (kind == "b") & (order == k)
-        slots = _slots(grams[own], bits)
-        keys, at = np.unique(slots, return_inverse=True)
+        keys, at = np.unique(grams[own], return_inverse=True)
         weight = np.zeros((len(keys), len(languages)), np.float32)
         weight[at, column[own]] = values[own]
         model.tables["b", k] = keys, weight
     for k in range(1, ORDER + 1):
         own = (kind == "p") & (order == k)
-        keys, first, at = np.unique(_slots(grams[own], bits), return_index=True, return_inverse=True)
-        p = model._below(grams[own][first], k).astype(np.float32)
+        keys, at = np.unique(grams[own], return_inverse=True)
+        p = model._below(keys, k).astype(np.float32)
         p[at, column[own]] = values[own]
         model.tables["p", k] = keys, p
     return model
 
 
+SCORES = "best string, entropy double, score double, size long"
+
+
+def _verdict(languages: list[str], total: np.ndarray, size: int) -> tuple[str, float, float]:
+    """Best language, its cross-entropy and its share, from the log probability of a text of ``size`` grams in each language."""
+    h = -total / size
+    k = int(h.argmin())
+    gaps = np.exp(-np.minimum((np.delete(h, k) - h[k]) * np.sqrt(size), 700.0))
+    return languages[k], float(h[k]), float(1 / (1 + gaps.sum()))
+
+
+def _scored_batch(batch, verdicts, sizes):
+    best, entropy, score = zip(*verdicts, strict=True) if verdicts else ((), (), ())
+    kept = [batch.column(c) for c in ("id", "trains", "lang", "row_hash")]
+    return pa.record_batch(
+        [
+            *kept,
+            pa.array(best, pa.string()),
+            pa.array(entropy, pa.float64()),
+            pa.array(score, pa.float64()),
+            pa.array(sizes, pa.int64()),
+        ],
+        names=["id", "trains", "lang", "row_hash", "best", "entropy", "score", "size"],
+    )
+
+
 def _scores(shared):
     def run(batches):
         model: Model = shared.value
         for batch in batches:
-            best, entropy, second, sizes = [], [], [], []
+            verdicts, sizes = [], []
             for text in batch.column("text"):
                 grams = four_grams(text.as_py())
                 sizes.append(len(grams))
                 if not len(grams) or not model.languages:
-                    best.append(None)
-                    entropy.append(None)
-                    second.append(None)
+                    verdicts.append((None, None, None))
                     continue
                 grams, counts = _runs(np.sort(grams))
-                h = -(counts @ model.log_probabilities(grams)) / counts.sum()
-                k = int(h.argmin())
-                gaps = np.exp(-np.minimum((np.delete(h, k) - h[k]) * np.sqrt(counts.sum()), 700.0))
-                best.append(model.languages[k])
-                entropy.append(float(h[k]))
-                second.append(float(1 / (1 + gaps.sum())))
-            kept = [batch.column(c) for c in ("id", "trains", "lang", "row_hash")]
-            yield pa.record_batch(
-                [
-                    *kept,
-                    pa.array(best, pa.string()),
-                    pa.array(entropy, pa.float64()),
-                    pa.array(second, pa.float64()),
-                    pa.array(sizes, pa.int64()),
-                ],
-                names=["id", "trains", "lang", "row_hash", "best", "entropy", "score", "size"],
-            )
+                verdicts.append(_verdict(model.languages, counts @ model.log_probabilities(grams), int(counts.sum())))
+            yield _scored_batch(batch, verdicts, sizes)
+
+    return run
+
+
+def _row_grams(batches):
+    """Distinct four-grams of each row with their counts."""
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+            grams = four_grams(text.as_py())
+            if len(grams):
+                grams, counts = _runs(np.sort(grams))
+                yield pa.record_batch(
+                    [pa.array(np.full(len(grams), row)), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))],
+                    names=["row", "gram", "n"],
+                )
+
+
+def _verdicts(languages: list[str]):
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column("size").to_pylist()
+            totals = batch.column("totals").to_pylist()
+            verdicts = [_verdict(languages, np.array(t), n) if n else (None, None, None) for t, n in zip(totals, sizes, strict=True)]
+            yield _scored_batch(batch, verdicts, sizes)
 
     return run
 
 
+def _joined_scores(rows: DataFrame, tables: DataFrame, languages: list[str]) -> DataFrame:
+    """What ``_scores`` gives, with the model as joined tables: no part of it is held by one process."""
+    held = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    grams = cut(held.mapInArrow(_row_grams, "row long, gram long, n long"))
+    # One row for each gram, with what each language that has it says.
+    by_language = tables.groupBy("kind", "ord", "gram").agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", "value"))).alias("says")
+    )
+    by_language = cut(by_language)
+    priced = grams.select("gram").distinct()
+    for kind, order, shift in [*(("p", k, 0) for k in range(ORDER, 0, -1)), *(("b", k, 16) for k in range(ORDER - 1, -1, -1))]:
+        part = by_language.where((F.col("kind") == kind) & (F.col("ord") == order)).select(
+            F.col("gram").alias("_key"), F.col("says").alias(f"{kind}{order}")
+        )
+        # Single characters and the empty context have at most 2 ** 16 rows.
+        part = F.broadcast(part) if order < 2 else part
+        mask = (1 << (16 * order)) - 1
+        key = F.shiftrightunsigned("gram", shift) if shift else F.col("gram")
+        key = key if order == ORDER else key.bitwiseAND(F.lit(mask))
+        priced = priced.withColumn("_at", key).join(part, F.col("_at") == F.col("_key"), "left").drop("_at", "_key")
+    says = lambda name, lang: F.try_element_at(F.col(name), F.lit(lang))
+    priced = priced.select("gram", *[_backed_off(says, lang).alias(f"_{k}") for k, lang in enumerate(languages)])
+    totals = (
+        grams.join(priced, "gram")
+        .groupBy("row")
+        .agg(F.sum("n").alias("size"), F.array(*[F.sum(F.col("n") * F.col(f"_{k}")) for k in range(len(languages))]).alias("totals"))
+    )
+    kind = dict(rows.dtypes)["id"]
+    return (
+        held.drop("text")
+        .join(totals, "row", "left")
+        .withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
+        .mapInArrow(_verdicts(languages), f"id {kind}, trains boolean, lang string, row_hash long, {SCORES}")
+    )
+
+
+def _backed_off(says, lang: str):
+    """Log probability of a gram: that of the longest ending the language knows, with the weights of the contexts above it."""
+    value = F.coalesce(says("b0", lang), F.lit(0.0))
+    for order in range(1, ORDER + 1):
+        weight = F.coalesce(says(f"b{order - 1}", lang), F.lit(0.0)) if order > 1 else F.lit(0.0)
+        value = F.coalesce(says(f"p{order}", lang), value + weight)
+    return value
+
+
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     return ordered[starts], np.diff(np.append(starts, len(ordered)))
 
 
-def train_model(training: DataFrame, bits: int = HASH_BITS) -> Model:
-    """Models of all languages from (lang, text); rows with a null language or text say nothing.
-
-    What reaches the driver is one row per language, order and hash, whose number ``bits`` bounds.
-    """
+def _tables(training: DataFrame) -> DataFrame:
+    """The rows of ``_order_tables`` from (lang, text); rows with a null language or text say nothing."""
     counts = cut(
         training.where("lang IS NOT NULL AND text IS NOT NULL")
         .select("lang", "text")
@@ -267,17 +336,12 @@ def train_model(training: DataFrame, bits: int = HASH_BITS) -> Model:
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    tables = _order_tables(counts)
+    return cut(_order_tables(counts))
 
-    def slotted(batches):
-        for batch in batches:
-            slots = _slots(batch.column("gram").to_numpy().view(np.uint64), bits)
-            yield batch.append_column("slot", pa.array(slots.astype(np.int64)))
 
-    rows = tables.mapInArrow(slotted, "lang string, kind string, ord int, gram long, value double, slot long")
-    # Of grams that share a hash, the one with the greatest value stands for the slot.
-    one = rows.groupBy("lang", "kind", "ord", "slot").agg(F.max(F.struct("value", "gram")).alias("_best"))
-    return build_model(one.select("lang", "kind", "ord", "_best.gram", "_best.value").toArrow(), bits)
+def train_model(training: DataFrame) -> Model:
+    """Models of all languages from (lang, text), on the driver; ``identify_languages`` measures the tables before."""
+    return build_model(_tables(training).toArrow())
 
 
 def row_hash(identity, text):
@@ -308,15 +372,17 @@ def identify_languages(
         F.col(text_col).alias("text"),
         row_hash(F.col(id_col), F.col(text_col)).alias("row_hash"),
     )
-    model = train_model(rows.where("trains"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(rows.dtypes)["id"]
-    scored = cut(
-        rows.mapInArrow(
-            _scores(shared),
-            f"id {kind}, trains boolean, lang string, row_hash long, best string, entropy double, score double, size long",
-        ).withColumn("scale", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int"))
-    )
+    tables = _tables(rows.where("trains"))
+    languages = sorted(r["lang"] for r in tables.select("lang").distinct().collect())
+    # A gram takes a row of the arrays for each order and kind, with a value for each language.
+    many = tables.count()
+    if many <= MODEL_ROWS and many * (8 + 4 * len(languages)) <= MODEL_BYTES:
+        shared = docs.sparkSession.sparkContext.broadcast(build_model(tables.toArrow()))
+        kind = dict(rows.dtypes)["id"]
+        found = rows.mapInArrow(_scores(shared), f"id {kind}, trains boolean, lang string, row_hash long, {SCORES}")
+    else:
+        found = _joined_scores(rows, tables, languages)
+    scored = cut(found.withColumn("scale", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int")))
     bound = (
         scored.where("trains AND lang = best")
         .groupBy("best", "scale")
