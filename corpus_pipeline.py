@@ -15,6 +15,7 @@ from harvestgrid.llm.ngram_join import ngram_jaccard_join
 from harvestgrid.llm.packing import pack_best_fit
 from harvestgrid.llm.quality import classify_quality
 from harvestgrid.llm.queries import ship, table
+from harvestgrid.llm.tables import cut, plain_name
 from harvestgrid.session import new_table_path
 
 
@@ -32,23 +33,47 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, row_hash(docs["doc_id"], docs["text"]) == gone["row_hash"], "left_anti")
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their id and text, which is never null, and its name."""
+    key = plain_name(docs, "row_key")
+    return docs.withColumn(key, row_hash(docs["doc_id"], docs["text"])), key
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id; of rows that repeat an id, one."""
+    """One document of each class of near-duplicates, the one with the smallest id; null ids come last.
+
+    A document is a row's id and text: different texts under one id, or under none, are judged each for itself. Of rows
+    that repeat both, one stays; rows without an id and without a word are alike in nothing and all stay.
+    """
     ship(spark)
-    gone = ngram_jaccard_join(docs).where("doc_id <> class_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    keyed, key = _keyed(docs)
+    linked = cut(
+        ngram_jaccard_join(keyed, id_col=key).where("n_links > 0").select(F.col("doc_id").alias(key), "class_id")
+    )
+    first = (
+        keyed.select(key, "doc_id")
+        .distinct()
+        .join(linked, key)
+        .groupBy("class_id")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", key)).alias("_first"))
+        .select(F.col("_first")[key].alias(key))
+    )
+    gone = linked.join(first, key, "left_anti").select(key)
+    kept = keyed.join(gone, key, "left_anti")
+    same = keyed.where(F.col("doc_id").isNotNull() | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    repeated = same.groupBy(key).count().where("count > 1").select(key)
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.union(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, key, "left_anti").select(*docs.columns)
+    return once.union(kept.join(repeated, key, "left_semi").dropDuplicates([key]).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a test item."""
+    """Documents without a test item; each id and text is judged for itself, null ids too."""
     ship(spark)
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    keyed, key = _keyed(docs)
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
