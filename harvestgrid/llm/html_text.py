@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. The first pass decides a block by where it stands (menus,
 headers, footers, adverts, forms, comments are out; an article is in), by link density, and by length and stop-word
-density. Short blocks that this leaves open take, in the second pass, the label of the nearest decided
+density. Stop words count only on pages in a language that has a list here. Short blocks that this leaves open take, in the second pass, the label of the nearest decided
 neighbours.
 """
 
@@ -32,23 +32,33 @@ BLOCK_TAGS = frozenset(
     table tbody td tfoot th thead title tr ul""".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template iframe textarea xmp svg math object canvas".split())
+RAW_TAGS = frozenset("script style noscript template iframe textarea xmp svg object canvas annotation annotation-xml".split())
 OUT_TAGS = frozenset("nav header footer aside form menu dialog head title button select option label".split())
 IN_TAGS = frozenset("article main".split())
-# Words of a class, id or role that name what is not the article.
+# Of these, ``<x/>`` has no content.
+FOREIGN_TAGS = frozenset("svg math".split())
+# Names of a class, id or role that tell what is not the article.
 OUT_WORDS = frozenset(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent
     cookie cookies dialog disqus footer form gdpr header masthead menu menubar modal nav navbar navigation
     newsletter notice notices pagination pager popup promo promotion related search share sharing sidebar
     social sponsor sponsored subscribe subscription toolbar topbar widget contentinfo complementary alert""".split()
 )
+# Words that may stand beside those in one name, as in comment-list; any others (has-sidebar, header-fixed) tell of a state.
+PART_WORDS = frozenset(
+    """area bar block body box container content group inner item items link links list page panel section
+    site slot the thread unit wrap wrapper""".split()
+)
+# Languages with stop words here. A page that names no language has one of them if so many words of its text are stop words.
+LISTED, LEAST_STOPS = frozenset("en de fr es".split()), 0.05
 LINK_DENSITY, LONG, SHORT, HIGH_STOPS, LOW_STOPS = 0.5, 200, 70, 0.32, 0.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.DOTALL,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_LANGUAGE = re.compile(r"""<html\b[^>]*?\slang\s*=\s*["']?\s*([a-zA-Z]+)""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 _SPLIT_NAME = re.compile(r"[^a-z]+")
 
@@ -61,20 +71,37 @@ class Block:
     inside: bool
 
 
-def _is_out(tag: str, attributes: str) -> bool:
-    if tag in OUT_TAGS:
-        return True
+def _named_out(attributes: str) -> bool:
+    """Whether a whole name of a class, id or role tells what is not the article."""
     if "=" not in attributes:
         return False
-    names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower()
-    return not OUT_WORDS.isdisjoint(_SPLIT_NAME.split(names))
+    for attribute, *values in _ATTRIBUTE.findall(attributes):
+        if attribute.lower() not in ("class", "id", "role"):
+            continue
+        for name in "".join(values).lower().split():
+            words = {w for w in _SPLIT_NAME.split(name) if w}
+            if not OUT_WORDS.isdisjoint(words) and words <= OUT_WORDS | PART_WORDS:
+                return True
+    return False
+
+
+def _state(tag: str, attributes: str, out: str, inside: bool) -> str:
+    """Why an element is out, within one that is ``out``: by a ``tag``, by a ``name`` (or a form around it), or not at all.
+
+    An article that a named wrapper or a form holds is open again, unless another article holds it too.
+    """
+    if _named_out(attributes):
+        return out if out == "tag" else "name"
+    if tag in OUT_TAGS:
+        return out or "name" if tag == "form" else "tag"
+    return "" if tag in IN_TAGS and out == "name" and not inside else out
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, white space made plain, character references decoded; empty ones are left out."""
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, out, inside an article
+    stack: list[tuple[str, str, bool]] = []  # tag, why it is out, inside an article
     links, breaks, at, size = 0, 0, 0, len(page)
 
     def end() -> None:
@@ -85,8 +112,8 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = sum(len(" ".join(html.unescape(p).split())) for p, in_link in parts if in_link)
-            _, out, inside = stack[-1] if stack else ("", False, False)
-            found.append(Block(text, linked, out, inside))
+            _, out, inside = stack[-1] if stack else ("", "", False)
+            found.append(Block(text, linked, bool(out), inside))
         parts.clear()
 
     while at < size:
@@ -114,6 +141,9 @@ def blocks(page: str) -> list[Block]:
                     if closed == tag:
                         break
             continue
+        if tag in FOREIGN_TAGS and token[3].endswith("/"):
+            parts.append((" ", links > 0))
+            continue
         if tag in RAW_TAGS:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = close.end() if close else size
@@ -125,23 +155,24 @@ def blocks(page: str) -> list[Block]:
             if breaks > 1:
                 end()
             continue
-        _, out, inside = stack[-1] if stack else ("", False, False)
-        starts_out = not out and tag not in ("html", "body") and _is_out(tag, token[3])
-        if tag in BLOCK_TAGS or starts_out:
+        _, out, inside = stack[-1] if stack else ("", "", False)
+        whole = tag in ("html", "body")
+        state = out if whole else _state(tag, token[3], out, inside)
+        if tag in BLOCK_TAGS or state != out:
             end()
             if tag in BLOCK_TAGS and any(t == "p" for t, _, _ in stack) or tag == "li":
                 _implied_end(stack, "li" if tag == "li" else "p")
                 links = sum(t == "a" for t, _, _ in stack)
-                _, out, inside = stack[-1] if stack else ("", False, False)
-                starts_out = not out and _is_out(tag, token[3])
+                _, out, inside = stack[-1] if stack else ("", "", False)
+                state = out if whole else _state(tag, token[3], out, inside)
         if tag not in VOID_TAGS:
-            stack.append((tag, out or starts_out, inside or tag in IN_TAGS))
+            stack.append((tag, state, inside or tag in IN_TAGS))
             links += tag == "a"
     end()
     return found
 
 
-def _implied_end(stack: list[tuple[str, bool, bool]], tag: str) -> None:
+def _implied_end(stack: list[tuple[str, str, bool]], tag: str) -> None:
     """Close an open paragraph or list item that a new block ends, unless a container stands between."""
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] == tag:
@@ -151,21 +182,38 @@ def _implied_end(stack: list[tuple[str, bool, bool]], tag: str) -> None:
             return
 
 
-def first_pass(block: Block) -> str:
-    """good, bad or short (still open)."""
+def _stops(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def first_pass(block: Block, listed: bool = True) -> str:
+    """good, bad or short (still open). Without a list of the page's stop words only places, links and length count."""
     if block.out or block.linked > LINK_DENSITY * len(block.text):
         return "bad"
     if block.inside:
         return "good"
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if len(block.text) < SHORT:
+    # Scripts with more bytes a letter say as much in fewer letters.
+    size = len(block.text) if listed else len(block.text.encode("utf-8", "replace"))
+    if size < SHORT:
         return "bad" if block.linked else "short"
+    if not listed:
+        return "good" if size >= LONG else "short"
+    stops = _stops(block.text)
     if stops >= HIGH_STOPS or (stops >= LOW_STOPS and len(block.text) >= LONG):
         return "good"
     return "short" if stops >= LOW_STOPS else "bad"
 
 
+def has_stop_words(page: str, found: list[Block]) -> bool:
+    """Whether the page is in a language with stop words here: the one it names, else by the share of stop words."""
+    named = _LANGUAGE.search(page)
+    if named:
+        return named[1].lower() in LISTED
+    text = " ".join(b.text for b in found if not b.out and b.linked <= LINK_DENSITY * len(b.text))
+    return _stops(text) >= LEAST_STOPS
+
+
 def second_pass(labels: list[str]) -> list[bool]:
     """Which blocks stay. An open block is good if a nearest decided neighbour is; without any, it goes."""
     before, last = [], None
@@ -186,7 +234,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    kept = second_pass([first_pass(b) for b in found])
+    listed = all(b.inside or b.out for b in found) or has_stop_words(page, found)
+    kept = second_pass([first_pass(b, listed) for b in found])
     return "\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 
