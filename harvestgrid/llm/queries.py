@@ -14,12 +14,16 @@ import harvestgrid
 from harvestgrid.llm.decontaminate import contaminated
 from harvestgrid.llm.embedding_join import embedding_near_duplicates
 from harvestgrid.llm.html_text import extract_main_text
+from harvestgrid.llm.importance import importance_resample
 from harvestgrid.llm.language_id import identify_languages
 from harvestgrid.llm.ngram_join import ngram_jaccard_join
+from harvestgrid.llm.oracle import SQL as SQL
 from harvestgrid.llm.packing import pack_best_fit
 from harvestgrid.llm.quality import classify_quality
 from harvestgrid.llm.sharding import shard_documents
+from harvestgrid.llm.source_divergence import source_divergence
 from harvestgrid.llm.token_packs import pack_token_ids
+from harvestgrid.llm.toxicity import learn_lexicon, score_toxicity
 from harvestgrid.llm.url_filter import url_verdicts
 
 _shipped: set[str] = set()
@@ -90,6 +94,22 @@ def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    held_out = F.coalesce(remainder == 2, F.lit(False))
+    lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_toxicity(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -103,7 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_ngram_join,
         op10_embedding_join,
+        op11_source_divergence,
+        op12_importance_resampling,
+        op13_toxicity,
     )
 }
-# None of the ten can be said in SQL; tests hold them against brute force.
-SQL: dict[str, str] = {}
