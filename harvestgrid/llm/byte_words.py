@@ -21,12 +21,11 @@ def word_pieces(text: bytes | None, pattern: bytes) -> Iterator[list[bytes]]:
     if not text:
         return
     words, gap = re.compile(pattern), re.compile(pattern.replace(b"[^", b"[", 1)[:-1])
-    at = 0
+    text, at = text.lower(), 0  # of bytes: A-Z alone
     while at < len(text):
         end = len(text)
         if end - at > PIECE:
             found = gap.search(text, at + PIECE)
             end = found.start() if found else end
-        # bytes.lower() knows A-Z alone.
-        yield words.findall(text[at:end].lower())
+        yield words.findall(text[at:end])
         at = end
