@@ -50,11 +50,12 @@ def train_and_score(
     out_path: str,
     keep: Sequence[str] = Q.GROUP_NAMES,
     validation_year: int | None = None,
+    **boosting: float,
 ) -> DataFrame | None:
     """Fit, save, reload, score and store the predictions; returns the metrics.
 
-    Sequences that end in ``validation_year`` stop the boosted trees and are not trained on; the hold-out never takes
-    part. Without that year, or without sequences of it, the fit is linear. No training sequences stop the job; without hold-out sequences scoring is skipped.
+    Sequences that end in ``validation_year`` stop the boosted trees by patience and are not trained on; the hold-out never takes
+    part. ``boosting`` goes to ``fit_boosted``. Without that year, or without sequences of it, the fit is linear. No training sequences stop the job; without hold-out sequences scoring is skipped.
     """
     training = stored(training, "training_sequences")
     last = F.element_at("years", -1)
@@ -62,7 +63,8 @@ def train_and_score(
     if validation is None or validation.isEmpty():
         M.save_model(M.fit_linear(training, keep), model_path)
     else:
-        M.save_model(M.fit_boosted(training.where(last != validation_year), validation, keep), model_path)
+        fit = M.fit_boosted(training.where(last != validation_year), validation, keep, **boosting)
+        M.save_model(fit.model, model_path)
     if holdout.isEmpty():
         return None
     write_parquet(M.predictions(M.load_model(model_path), holdout, keep), out_path)

@@ -756,15 +756,9 @@ WHERE false
 """
 
 # Predictions are the learner's own; what SQL can state is which rows are scored, and that the fit beats the mean.
-SQL["yield_model_score"] = f"""
+SQL["yield_model_keys"] = f"""
 WITH {PANEL}
-SELECT loc_id, year, yield AS y_true, true AS beats_mean FROM panel WHERE year = 2001
-"""
-
-SQL["model_compare"] = f"""
-WITH {PANEL}
-SELECT model, count(*) AS n, true AS beats_mean
-FROM panel, (VALUES ('e+s+p+ybar'), ('e+ybar')) AS m(model) WHERE year = 2001 GROUP BY model
+SELECT loc_id, year, yield AS y_true FROM panel WHERE year = 2001
 """
 
 SQL["stored_grid_scan"] = f"""

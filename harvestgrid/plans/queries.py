@@ -22,6 +22,7 @@ from harvestgrid.operators.metrics import regression_metrics, weighted_loss
 from harvestgrid.operators.nearest import nearest_place as nearest
 from harvestgrid.operators.rows import first_rows, shuffled
 from harvestgrid.plans import standins as S
+from harvestgrid.plans import joint_model as J
 from harvestgrid.plans import yield_model as M
 from harvestgrid.plans.jobs import stored, train_and_score
 from harvestgrid.session import new_table_path
@@ -653,29 +654,46 @@ def loss_of_outputs(spark, sf_dir):
     return weighted_loss(scored, previous=("prev_true", "prev_pred"), weights=(0.75, 0.25)).select(_r("loss").alias("loss"))
 
 
+# Rounds without a gain after which the registered fits stop, and the trees' step.
+PATIENCE, STEP = 5, 0.5
+
+
+def _model_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return stored(_training(spark, sf_dir), "training"), stored(_holdout(spark, sf_dir), "holdout")
+
+
 @_query
 def yield_model_score(spark, sf_dir):
     """The training job: trees that stop on the year before the hold-out, saved, loaded and scored on the hold-out."""
-    training, holdout = stored(_training(spark, sf_dir), "training"), stored(_holdout(spark, sf_dir), "holdout")
+    training, holdout = _model_tables(spark, sf_dir)
     path, out = new_table_path(spark, "yield_model"), new_table_path(spark, "predictions")
-    train_and_score(training, holdout, path, out, validation_year=S.HOLDOUT_YEAR - 1)
-    scored = spark.read.parquet(out)
-    better = regression_metrics(scored).join(_mean_error(training, holdout)).select(F.col("rmse") <= F.col("mean_rmse"))
-    return scored.select("loc_id", "year", "y_true").withColumn("beats_mean", better.scalar())
+    train_and_score(training, holdout, path, out, validation_year=S.HOLDOUT_YEAR - 1, patience=PATIENCE, step=STEP)
+    trees = M.load_model(path).stages[0].getNumTrees
+    return spark.read.parquet(out).withColumn("trees", F.lit(trees))
 
 
-def _mean_error(training: DataFrame, holdout: DataFrame) -> DataFrame:
-    """One row: the hold-out error of predicting the training mean."""
-    mean = training.agg(F.avg("y_last")).scalar()
-    return holdout.withColumn("_mean", mean).agg(F.sqrt(F.avg(F.pow(F.col("y_last") - F.col("_mean"), F.lit(2)))).alias("mean_rmse"))
+@_query
+def yield_model_keys(spark, sf_dir):
+    """The training job without a validation year, on the first group alone: what its stored predictions were made for."""
+    training, holdout = _model_tables(spark, sf_dir)
+    path, out = new_table_path(spark, "yield_model"), new_table_path(spark, "predictions")
+    train_and_score(training, holdout, path, out, keep=("e",))
+    return spark.read.parquet(out).where(F.col("y_pred").isNotNull()).select("loc_id", "year", "y_true")
 
 
 @_query
 def model_compare(spark, sf_dir):
-    training, holdout = stored(_training(spark, sf_dir), "training"), stored(_holdout(spark, sf_dir), "holdout")
-    compared = M.compare_models(training, holdout)
-    better = F.col("rmse") <= _mean_error(training, holdout).scalar()
-    return compared.select("model", "n", better.alias("beats_mean"))
+    """Metrics of the linear fits on all groups and on the first one alone."""
+    return M.compare_models(*_model_tables(spark, sf_dir))
+
+
+@_query
+def joint_outputs(spark, sf_dir):
+    """Last and earlier yields from one joint fit that stops on the year before the hold-out, scored on the hold-out."""
+    training, holdout = _model_tables(spark, sf_dir)
+    last = F.element_at("years", -1) == S.HOLDOUT_YEAR - 1
+    fit = J.fit_joint(training.where(~last), training.where(last), weights=(0.75, 0.25), patience=PATIENCE)
+    return J.joint_predictions(fit, holdout).withColumn("rounds", F.lit(fit.stop.best))
 
 
 @_query

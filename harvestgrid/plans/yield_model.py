@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestgrid.operators.metrics import regression_metrics
@@ -43,24 +45,86 @@ def fit_linear(sequences: DataFrame, keep: Sequence[str] = GROUP_NAMES, reg: flo
     return Pipeline(stages=[learner]).fit(rows)
 
 
+@dataclass(frozen=True)
+class Stop:
+    """Where a fit with patience ends: ``rounds`` were judged, the model of round ``best`` (from 1) is the one to keep.
+
+    ``ended`` tells whether patience ran out; otherwise the losses did.
+    """
+
+    rounds: int
+    best: int
+    ended: bool
+
+
+def patience_stop(losses: Sequence[float], patience: int) -> Stop:
+    """Stop after ``patience`` rounds in a row without a loss below the least one so far; keep that one's round.
+
+    Of equal losses the first is kept. A missing loss (NaN) is no gain.
+    """
+    best, least = 0, math.inf
+    for k, loss in enumerate(losses, 1):
+        if loss < least:
+            best, least = k, loss
+        elif k - best >= patience:
+            return Stop(k, max(best, 1), True)
+    return Stop(len(losses), max(best, 1), False)
+
+
+@dataclass(frozen=True)
+class BoostedFit:
+    """Boosted trees cut back to the best round, and the validation losses of the rounds that were judged."""
+
+    model: PipelineModel
+    losses: tuple[float, ...]
+    stop: Stop
+
+
+def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
+    """The ensemble of the first ``count`` trees."""
+    if count >= model.getNumTrees:
+        return model
+    context = SparkSession.active().sparkContext
+    kinds = context._jvm.org.apache.spark.ml.regression
+    trees = context._gateway.new_array(kinds.DecisionTreeRegressionModel, count)
+    weights = context._gateway.new_array(context._jvm.double, count)
+    for k in range(count):
+        trees[k], weights[k] = model.trees[k]._java_obj, model.treeWeights[k]
+    cut = GBTRegressionModel(kinds.GBTRegressionModel(model.uid, trees, weights, model.numFeatures))
+    return cut.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
 def fit_boosted(
     sequences: DataFrame,
     validation: DataFrame | None = None,
     keep: Sequence[str] = GROUP_NAMES,
-    max_iter: int = 20,
-    tolerance: float = 0.01,
+    max_rounds: int = 200,
+    patience: int = 20,
+    step: float = 0.1,
+    depth: int = 4,
     seed: int = 7,
-) -> PipelineModel:
-    """Boosted trees that stop once the validation loss no longer falls and keep the best number of trees.
+) -> BoostedFit:
+    """Boosted trees, a tree a round, that stop by ``patience`` on the validation loss and keep the best round.
 
-    Without validation rows all iterations run.
+    The loss (mean squared error) of every round comes from one pass over the validation rows. Rounds are built in
+    doubling batches: the same rows and seed give the same first trees, so a longer fit goes on where a shorter one
+    ended, and at most twice the rounds needed are built. The ensemble is then cut back to the best round. ``max_rounds`` holds
+    if patience never runs out. Without validation rows all rounds are built and kept, and no losses are given.
     """
-    rows = _require_rows(model_rows(sequences, keep)).withColumn("is_validation", F.lit(False))
-    learner = GBTRegressor(maxIter=max_iter, maxDepth=4, seed=seed, validationTol=tolerance)
-    if validation is not None and not validation.isEmpty():
-        rows = rows.unionByName(model_rows(validation, keep).withColumn("is_validation", F.lit(True)))
-        learner = learner.setValidationIndicatorCol("is_validation")
-    return Pipeline(stages=[learner]).fit(rows)
+    rows = _require_rows(model_rows(sequences, keep))
+    learner = GBTRegressor(maxDepth=depth, stepSize=step, seed=seed)
+    if validation is None or validation.isEmpty():
+        model = learner.setMaxIter(max_rounds).fit(rows)
+        return BoostedFit(PipelineModel(stages=[model]), (), Stop(max_rounds, max_rounds, False))
+    judged = model_rows(validation, keep)
+    rounds = min(max_rounds, max(8, 4 * patience))
+    while True:
+        model = learner.setMaxIter(rounds).fit(rows)
+        losses = model.evaluateEachIteration(judged, "squared")
+        stop = patience_stop(losses, patience)
+        if stop.ended or rounds >= max_rounds:
+            return BoostedFit(PipelineModel(stages=[first_trees(model, stop.best)]), tuple(losses[: stop.rounds]), stop)
+        rounds = min(max_rounds, 2 * rounds)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

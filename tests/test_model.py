@@ -8,6 +8,7 @@ from harvestgrid.operators import panel as P
 from harvestgrid.operators.metrics import regression_metrics, weighted_loss
 from harvestgrid.operators.rows import first_rows, shuffled
 from harvestgrid.plans import jobs
+from harvestgrid.plans import joint_model as J
 from harvestgrid.plans import yield_model as M
 
 PAIR = "y_true double, y_pred double"
@@ -65,11 +66,120 @@ def test_job_from_panel_to_scores(spark, panel, tmp_path):
     assert jobs.train_and_score(training, holdout.limit(0), str(tmp_path / "m"), str(tmp_path / "q")) is None
 
 
-def test_boosted_trees_stop_on_validation(panel):
+@pytest.mark.parametrize(
+    "losses, patience, found",
+    [
+        ([5, 4, 6, 6, 3, 7, 7, 7, 2], 3, (8, 5, True)),  # dips, rises, dips again: the second dip
+        ([5, 4, 6, 6, 6, 3], 3, (5, 2, True)),  # the second dip comes too late
+        ([5, 4, 3], 2, (3, 3, False)),
+        ([5, 5, 5, 5], 3, (4, 1, True)),  # no gain over an equal loss
+        ([float("nan"), 4, 5, 5], 2, (4, 2, True)),
+        ([], 3, (0, 1, False)),
+    ],
+)
+def test_patience(losses, patience, found):
+    stop = M.patience_stop(losses, patience)
+    assert (stop.rounds, stop.best, stop.ended) == found
+
+
+def test_boosted_trees_keep_the_best_round(panel, tmp_path):
+    training, holdout = jobs.panel_to_sequences(panel.where("loc_id <> 3"), sizes=(3, 2, 1))
+    training, holdout = training.cache(), holdout.cache()
+    full = M.fit_boosted(training, None, max_rounds=12, step=0.8)
+    assert full.model.stages[0].getNumTrees == 12 and full.losses == ()
+    curve = full.model.stages[0].evaluateEachIteration(M.model_rows(holdout), "squared")
+    fit = M.fit_boosted(training, holdout, max_rounds=12, patience=2, step=0.8)
+    want = M.patience_stop(curve, 2)
+    assert fit.stop == want and want.ended and fit.stop.best < 12
+    assert fit.losses == pytest.approx(curve[: want.rounds], rel=1e-6)
+    kept = fit.model.stages[0]
+    assert kept.getNumTrees == want.best and min(fit.losses) == fit.losses[want.best - 1]
+    scored = M.predictions(fit.model, holdout)
+    rmse = regression_metrics(scored).head().rmse
+    assert rmse**2 == pytest.approx(fit.losses[want.best - 1], rel=1e-6)
+    M.save_model(fit.model, str(tmp_path / "m"))
+    again = M.predictions(M.load_model(str(tmp_path / "m")), holdout)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, scored.collect()))
+
+
+def test_stored_predictions_give_the_metrics(spark, panel, tmp_path):
     training, holdout = jobs.panel_to_sequences(panel.where("loc_id <> 3"), sizes=(3, 2, 1))
-    stopped = M.fit_boosted(training, holdout, max_iter=8, tolerance=0.5).stages[0].getNumTrees
-    full = M.fit_boosted(training, None, max_iter=8).stages[0].getNumTrees
-    assert stopped < full == 8
+    out = str(tmp_path / "p")
+    got = jobs.train_and_score(training, holdout, str(tmp_path / "m"), out, validation_year=2017, patience=3, step=0.5, max_rounds=30).head()
+    rows = [(r.y_true, r.y_pred) for r in spark.read.parquet(out).collect()]
+    t, p = np.array(rows).T
+    e = np.abs(p - t)
+    assert got.n == 29 == len(rows)
+    assert (got.rmse, got.mae) == pytest.approx((math.sqrt((e**2).mean()), e.mean()))
+    assert got.pearson == pytest.approx(np.corrcoef(t, p)[0, 1])
+    assert got.huber == pytest.approx(np.where(e <= 1, e * e / 2, e - 0.5).mean())
+    mean = np.sqrt(((t - np.mean([r.y_last for r in training.collect()])) ** 2).mean())
+    assert got.rmse < mean
+
+
+def plain_huber_fit(x, y, share, reg):
+    """Iteratively reweighted least squares of one output: an independent way to the same minimum."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    pull = np.diag([reg] * (x.shape[1] - 1) + [0.0])
+    w = np.zeros(x.shape[1])
+    for _ in range(3000):
+        error = np.abs(x @ w - y)
+        bend = share / np.maximum(1.0, error)
+        new = np.linalg.solve((x * bend[:, None]).T @ x + pull, (x * bend[:, None]).T @ y)
+        if np.abs(new - w).max() < 1e-12:
+            break
+        w = new
+    return w
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    draw = np.random.default_rng(4)
+    rows, x = [], draw.normal(size=(80, 5, 2))
+    y = x.reshape(80, 10) @ draw.normal(size=(10, 5)) + draw.normal(size=(80, 5)) * 2 + 3
+    for k in range(80):
+        steps = [([float(x[k, t, 0])], float(x[k, t, 1])) for t in range(5)]
+        rows.append((k, [2010 + t for t in range(5)], steps, float(y[k, 0]), [float(v) for v in y[k, 1:]]))
+    schema = "loc_id int, years array<int>, steps array<struct<e array<double>, ybar double>>, y_last double, y_prev array<double>"
+    return spark.createDataFrame(rows, schema).repartition(3), x.reshape(80, 10), y
+
+
+@pytest.mark.parametrize("weights", [(1.0, 0.0), (0.75, 0.25)])
+def test_joint_fit_equals_plain_fit(small, weights):
+    sequences, x, y = small
+    fit = J.fit_joint(sequences, weights=weights, keep=("e",), reg=0.01, tolerance=1e-7)
+    want = [plain_huber_fit(x, y[:, 0], weights[0] / 80, 0.01)]
+    for k in range(1, 5):
+        want.append(plain_huber_fit(x, y[:, k], weights[1] / 320, 0.01) if weights[1] else np.zeros(11))
+    assert np.abs(fit.coefficients - np.array(want).T).max() < 1e-5
+    assert all(b <= a for a, b in zip(fit.losses, fit.losses[1:])) and fit.validation == ()
+    scored = J.joint_predictions(fit, sequences, ("e",))
+    guess = np.hstack([x, np.ones((80, 1))]) @ fit.coefficients
+    for r in scored.collect():
+        assert [r.y_pred, *r.prev_pred] == pytest.approx(list(guess[r.loc_id]))
+    pulled = 0.005 * (fit.coefficients[:-1] ** 2).sum()
+    loss = weighted_loss(scored, previous=("prev_true", "prev_pred"), weights=weights).head().loss
+    assert loss + pulled == pytest.approx(fit.losses[-1])
+
+
+def test_joint_fit_stops_by_patience(small):
+    sequences, _, _ = small
+    fit = J.fit_joint(sequences.where("loc_id < 14"), sequences.where("loc_id >= 14"), (0.5, 0.5), ("e",), patience=2)
+    assert fit.stop.ended and len(fit.validation) == fit.stop.rounds
+    assert fit.validation[fit.stop.best - 1] == min(fit.validation)
+    scored = J.joint_predictions(fit, sequences.where("loc_id >= 14"), ("e",))
+    loss = weighted_loss(scored, previous=("prev_true", "prev_pred"), weights=(0.5, 0.5)).head().loss
+    assert loss == pytest.approx(min(fit.validation))
+    with pytest.raises(ValueError, match="no training sequences"):
+        J.fit_joint(sequences.limit(0), keep=("e",))
+
+
+def test_joint_fit_passes_over_missing_outputs(small):
+    sequences, x, y = small
+    gaps = sequences.withColumn("y_prev", F.expr("transform(y_prev, (v, i) -> if(i = 1 AND loc_id < 40, NULL, v))"))
+    fit = J.fit_joint(gaps, weights=(0.5, 0.5), keep=("e",), reg=0.01, tolerance=1e-7)
+    want = plain_huber_fit(x[40:], y[40:, 2], 0.5 / 280, 0.01)
+    assert np.abs(fit.coefficients[:, 2] - want).max() < 1e-5
 
 
 def test_no_training_rows_stop(spark, panel):
