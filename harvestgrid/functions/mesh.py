@@ -8,6 +8,7 @@ digits as the cell code, so a point never falls into two cells.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -321,9 +322,22 @@ def in_cell_box(lat: Column, lon: Column, box: Box) -> Column:
     return cells_between(lat, lon, box.rows(), box.columns())
 
 
+def tile_block(tile: Column) -> Column:
+    """The block of 10 x 10 tiles that a tile lies in: the tens of its two numbers."""
+    return F.concat(F.substring(tile, 1, 1), F.substring(tile, 3, 1))
+
+
+def in_listed_tiles(df: DataFrame, tiles: Sequence[str]) -> DataFrame:
+    """Rows in the given tiles, found by partition (``block``) and row group (``tile``) of a stored grid; a frame
+    without these columns is filtered by what it has."""
+    if "block" in df.columns:
+        df = df.where(F.col("block").isin(sorted({t[0] + t[2] for t in tiles})))
+    return df.where(F.col("tile").isin(list(tiles))) if "tile" in df.columns else df
+
+
 def in_tiles(df: DataFrame, box: Box) -> DataFrame:
-    """Rows in the tiles that a box touches, a partition filter on a stored grid; all rows of a frame without ``tile``."""
-    return df.where(F.col("tile").isin(box.tiles())) if "tile" in df.columns else df
+    """Rows in the tiles that a box touches; all rows of a frame without ``tile``."""
+    return in_listed_tiles(df, box.tiles())
 
 
 def rows_in_cell_box(df: DataFrame, box: Box, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -334,7 +348,7 @@ def rows_in_cell_box(df: DataFrame, box: Box, lat: str = "lat", lon: str = "lon"
 def in_centre_box(df: DataFrame, lat: str, lon: str, box: Box) -> DataFrame:
     """Rows whose centre lies in the box; equal bounds pick the nearest coordinate, the lower on a tie.
 
-    On a frame with ``tile`` the nearest coordinate is looked up in the three rows (or columns) of tiles around the
+    On a frame with ``tile`` (and ``block``) the nearest coordinate is looked up in the three rows (or columns) of tiles around the
     bound, and in all of the frame only if none lies within a tile's side of it.
     """
     inside = F.lit(True)
@@ -343,13 +357,13 @@ def in_centre_box(df: DataFrame, lat: str, lon: str, box: Box) -> DataFrame:
         (lon, box.west, box.east, 3, 1.0, WEST_ORIGIN),
     ):
         if low == high:
-            found, number = None, F.substring("tile", digit, 2).cast("int")
+            found = None
             if "tile" in df.columns:
                 around = math.floor((low - origin) * per_degree)
-                near = df.where(number.between(around - 1, around + 1))
+                near = df.where(_numbered(df, digit, range(around - 1, around + 2)))
                 found = nearest_coordinate(near, name, low).head()[0]
             if found is not None and abs(found - low) * per_degree < 1:
-                inside = inside & (F.col(name) == found) & (number == math.floor((found - origin) * per_degree))
+                inside = inside & (F.col(name) == found) & _numbered(df, digit, [math.floor((found - origin) * per_degree)])
             else:
                 inside = inside & (F.col(name) == nearest_coordinate(df, name, low).scalar())
         else:
@@ -357,6 +371,14 @@ def in_centre_box(df: DataFrame, lat: str, lon: str, box: Box) -> DataFrame:
     return df.where(inside)
 
 
+def _numbered(df: DataFrame, digit: int, numbers: Sequence[int]) -> Column:
+    """Tiles whose number from ``digit`` on is one of ``numbers``; on a stored grid a partition filter on their blocks too."""
+    held = F.substring("tile", digit, 2).cast("int").isin(list(numbers))
+    if "block" in df.columns:
+        held = held & F.substring("block", (digit + 1) // 2, 1).isin(sorted({str(n // 10) for n in numbers}))
+    return held
+
+
 def nearest_coordinate(df: DataFrame, name: str, value: float) -> DataFrame:
     """One row: the coordinate closest to ``value``, the lower one on a tie."""
     return df.agg(F.min(F.struct(F.abs(F.col(name) - F.lit(value)).alias("gap"), F.col(name).alias("at"))).alias("near")).select(

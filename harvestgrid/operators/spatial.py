@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harvestgrid.functions import mesh
 from harvestgrid.functions.timegrid import season_year
-from harvestgrid.operators.quality import drop_rows_without_values, sentinel_to_null
+from harvestgrid.operators.quality import sentinel_to_null
 from harvestgrid.operators.sizes import BROADCAST_ROWS
+from harvestgrid.sources.sinks import stored
 
 # The daily elements of the site weather table and their labels.
 DAILY_ELEMENTS = {
@@ -43,58 +45,117 @@ def site_cells(sites: DataFrame) -> DataFrame:
     )
 
 
-def site_weather(grid: DataFrame, sites: DataFrame, elements: Sequence[str] = tuple(DAILY_ELEMENTS)) -> DataFrame:
+def site_weather(
+    grid: DataFrame, sites: DataFrame, elements: Sequence[str] = tuple(DAILY_ELEMENTS), broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Observed weather at each site's own cell for its season: place, year, date, one column per element.
 
     The sites' tiles (at most 90 x 90 codes exist) and first and last season are looked up first and
     prune the grid's partitions. The grid is then cut to the cells and seasons that some site needs
     and pivoted once per cell, so sites that share a cell share the work and only finished rows fan
     out to them. A site year is a season, so the join is an equi-join on (cell, season). Sites up to
-    a counted limit are broadcast, so only rows at sites are shuffled, for the pivot.
+    ``broadcast_rows`` are broadcast, so only rows at sites are shuffled, for the pivot; more are joined by cell
+    (``_site_weather_by_cell``), without a shuffle of a bucketed grid.
     """
-    wanted = site_cells(sites)
+    wanted = stored(site_cells(sites), "site_cells")
     tiles, first, last, count = wanted.agg(
         F.collect_set(F.substring("mesh_code", 1, 4)), F.min("season_year"), F.max("season_year"), F.count(F.lit(1))
     ).head()
-    if count <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    daily = grid.where(
+    daily = mesh.in_listed_tiles(grid, tiles).where(
         F.col("element").isin(list(elements))
         & (F.col("kind") == "observed")
-        & F.col("tile").isin(tiles)
         & F.col("year").between(F.lit(first), F.lit(last) + 1)
     ).withColumn("season_year", season_year(F.col("date")))
-    needed = wanted.select("mesh_code", "season_year").distinct()
-    if count <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    per_cell = (
-        daily.join(needed, ["mesh_code", "season_year"], "left_semi")
-        .groupBy("mesh_code", "season_year", "date")
-        .agg(*[F.first(F.when(F.col("element") == e, F.col("value")), ignorenulls=True).alias(e) for e in elements])
-    )
+    if count > broadcast_rows:
+        return _site_weather_by_cell(daily, wanted, elements)
+    wanted = F.broadcast(wanted)
+    needed = F.broadcast(wanted.select("mesh_code", "season_year").distinct())
+    per_cell = _pivoted(daily.join(needed, ["mesh_code", "season_year"], "left_semi"), elements)
     return wanted.join(per_cell, ["mesh_code", "season_year"]).select(
         F.col("season_year").alias("year"), "place", "date", *elements
     )
 
 
+def _pivoted(daily: DataFrame, elements: Sequence[str]) -> DataFrame:
+    return daily.groupBy("mesh_code", "season_year", "date").agg(
+        *[F.first(F.when(F.col("element") == e, F.col("value")), ignorenulls=True).alias(e) for e in elements]
+    )
+
+
+def _site_weather_by_cell(daily: DataFrame, wanted: DataFrame, elements: Sequence[str]) -> DataFrame:
+    """Site weather for more sites than a broadcast holds: every step keeps the grid's rows where their cell is.
+
+    The cell code alone is the join key, so rows that are together by cell serve the semi-join, the pivot and the
+    fan-out; a grid from ``sources.grids.write_bucketed`` lies so already and is not shuffled. Seasons are
+    compared by their difference, which Spark does not take for a second key: it would shuffle by both.
+    """
+    same_season = F.col("w.season_year") - F.col("d.season_year") == 0
+    needed = wanted.select("mesh_code", "season_year").distinct()
+    both = [F.col("w.mesh_code") == F.col("d.mesh_code"), same_season]
+    per_cell = _pivoted(daily.alias("d").join(needed.alias("w"), both[0] & both[1], "left_semi"), elements)
+    return wanted.alias("w").join(per_cell.alias("d"), both[0] & both[1]).select(
+        F.col("w.season_year").alias("year"), "place", "date", *elements
+    )
+
+
 # --- wide mesh table ----------------------------------------------------------------------------
 
 
-def mesh_pivot(
-    df: DataFrame, time: str, steps: Sequence, with_centre: bool = False, drop_missing: bool = True, names: Sequence[str] | None = None
+# Steps that one expression of the pivot's aggregate covers.
+SLOTS = 64
+
+
+def mesh_series(
+    df: DataFrame, time: str, steps: Sequence, with_centre: bool = False, drop_missing: bool = True, slots: int = SLOTS
 ) -> DataFrame:
-    """One row per cell, one column per time step; the sentinel is missing.
+    """One row per cell with ``values``, an array with a place for each of any number of steps; the sentinel is missing.
 
-    ``drop_missing`` leaves out cells that are missing at all steps. ``names`` names the columns.
+    Rows are tagged with their step's position by a broadcast of the asked steps, shuffled once by cell, set
+    into blocks of ``slots`` places, and the blocks are strung together. So the plan is the same for a month of days and a year of
+    hours. Of several values for a cell and step the greatest counts. ``drop_missing`` leaves out cells that are
+    missing at all steps; rows of other steps are not read further, so a cell that has only those drops out or stays empty.
     """
     keys = ["mesh_code", *(["lat", "lon"] if with_centre else [])]
+    kind = df.schema[time].dataType
+    asked = df.sparkSession.createDataFrame(
+        [(step, k) for k, step in enumerate(steps)], T.StructType([T.StructField(time, kind), T.StructField("_at", T.IntegerType())])
+    )
+    known = sentinel_to_null(df, ["value"]).select(*keys, time, "value").join(
+        F.broadcast(asked), time, "inner" if drop_missing else "left"
+    )
+    block, place = (F.col("_at") / slots).cast("int"), F.col("_at") % slots
+    blocks = -(-len(steps) // slots)
+    in_blocks = (
+        known.repartition(*keys)
+        .groupBy(*keys, block.alias("_block"))
+        .agg(F.array(*[F.max(F.when(place == k, F.col("value"))) for k in range(min(slots, len(steps)))]).alias("_values"))
+    )
+    by_block = F.map_from_entries(F.collect_list(F.when(F.col("_block").isNotNull(), F.struct("_block", "_values"))))
+    empty = F.array_repeat(F.lit(None).cast("double"), min(slots, len(steps)))
+    strung = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.coalesce(F.try_element_at("_blocks", k), empty)))
+    series = in_blocks.groupBy(*keys).agg(by_block.alias("_blocks"))
+    series = series.select(*keys, F.slice(strung, 1, len(steps)).alias("values"))
+    return series.where(F.exists("values", lambda v: v.isNotNull())) if drop_missing else series
+
+
+def mesh_pivot(
+    df: DataFrame, time: str, steps: Sequence, with_centre: bool = False, drop_missing: bool = True, names: Sequence[str] | None = None
+) -> DataFrame:
+    """``mesh_series`` with one column per step in place of the array. ``names`` names the columns."""
     names = list(names or [str(s) for s in steps])
-    aggregates = [
-        F.first(F.when(F.col(time) == F.lit(step), F.col("value")), ignorenulls=True).alias(name)
-        for step, name in zip(steps, names)
-    ]
-    wide = sentinel_to_null(df, ["value"]).groupBy(*keys).agg(*aggregates)
-    return drop_rows_without_values(wide, names) if drop_missing else wide
+    series = mesh_series(df, time, steps, with_centre, drop_missing)
+    return series.select(*[c for c in series.columns if c != "values"], *[F.col("values")[k].alias(n) for k, n in enumerate(names)])
+
+
+def mesh_lines(series: DataFrame, names: Sequence[str], delimiter: str = ",") -> tuple[str, DataFrame]:
+    """The header and the lines of the wide cell table as text, from ``mesh_series``; a missing value is an empty field.
+
+    A line is one expression, so a table of thousands of steps is written without thousands of columns.
+    """
+    keys = [c for c in series.columns if c != "values"]
+    cells = F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("")))
+    line = F.concat_ws(delimiter, *[F.col(k).cast("string") for k in keys], F.array_join(cells, delimiter))
+    return delimiter.join([*keys, *names]), series.select(line.alias("value"))
 
 
 def south_first(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -766,3 +766,20 @@ WITH {STATIC}
 {_SCAN}, value FROM static
 WHERE element = 'altitude' AND iy BETWEEN 30 * 120 AND 36 * 120 - 1 AND ix BETWEEN 25 * 80 AND 40 * 80 + 40
 """
+
+SQL["stored_daily_scan"] = f"""
+WITH {GRID}
+{_SCAN}, date, value FROM observed
+WHERE element = 'view' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
+  AND iy BETWEEN 30 * 120 AND 36 * 120 - 1 AND ix BETWEEN 25 * 80 AND 40 * 80 + 40
+"""
+
+SQL["stored_hourly_scan"] = SQL["hourly_scan"]
+
+SQL["co_located_weather"] = SQL["site_weather_wide"]
+
+SQL["mesh_hours"] = f"""
+WITH {_HOURLY}
+SELECT code8 AS mesh_code, 8784 AS steps, datediff('hour', TIMESTAMP '2024-01-01 01:00:00', ts_local)::INTEGER AS hour, value
+FROM h WHERE element = 'click' AND ts_local BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2025-01-01 00:00:00'
+"""

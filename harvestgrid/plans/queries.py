@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -404,10 +405,48 @@ def grid_scan_daily(spark, sf_dir):
 
 @_query
 def stored_grid_scan(spark, sf_dir):
-    """The static grid written as a partitioned table, then scanned by element, tile and box."""
-    path = new_table_path(spark, "grid_static")
-    G.write_grid(S.grid_static(spark, sf_dir), path, "static")
-    return _short(G.scan_static(G.read_grid(spark, path, "static"), "altitude", BOX))
+    """The static grid written as a partitioned table, then scanned by element, block, tile and box."""
+    return _short(G.scan_static(_stored_grid(spark, S.grid_static(spark, sf_dir), "static"), "altitude", BOX))
+
+
+def _stored_grid(spark: SparkSession, grid: DataFrame, layout: str) -> DataFrame:
+    path = new_table_path(spark, f"grid_{layout}")
+    G.write_grid(grid, path, layout)
+    return G.read_grid(spark, path, layout)
+
+
+@_query
+def stored_daily_scan(spark, sf_dir):
+    """The daily grid, observed and normal, written as a partitioned table, then scanned."""
+    days = tg.DayRange.of("2024-01-05", "2024-01-20")
+    return _short(G.scan_daily(_stored_grid(spark, S.grid_daily(spark, sf_dir), "daily"), "view", days, BOX))
+
+
+@_query
+def stored_hourly_scan(spark, sf_dir):
+    """The hourly grid written as a partitioned table, then scanned."""
+    hours = tg.HourRange.of("2024-01-03T12:31", "2024-01-21")
+    return _short(G.scan_hourly(_stored_grid(spark, S.grid_hourly(spark, sf_dir), "hourly"), "purchase", hours, BOX))
+
+
+@_query
+def co_located_weather(spark, sf_dir):
+    """Site weather past the broadcast limit, on a grid bucketed by cell."""
+    name = f"grid_{uuid.uuid4().hex}"
+    G.write_bucketed(S.grid_observed(spark, sf_dir), name, "daily", 8, new_table_path(spark, name))
+    found = stored(sp.site_weather(spark.table(name), S.sites(spark, sf_dir), S.EVENT_TYPES, broadcast_rows=0), "site_weather")
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+@_query
+def mesh_hours(spark, sf_dir):
+    """All 8,784 hours of 2024 in one row per cell, then the hours with a value by their place in the year."""
+    first = dt.datetime(2024, 1, 1, 1)
+    steps = [first + dt.timedelta(hours=k) for k in range(8784)]
+    series = sp.mesh_series(S.grid_hourly(spark, sf_dir).where(F.col("element") == "click"), "ts_local", steps)
+    placed = series.select("mesh_code", F.size("values").alias("steps"), F.posexplode("values").alias("hour", "value"))
+    return placed.where(F.col("value").isNotNull())
 
 
 @_query

@@ -1,10 +1,11 @@
-"""Gridded weather as long tables, partitioned so that a request reads only its tiles and years.
-
-Layouts (partition columns first):
-daily     element, kind, year, tile | mesh_code, lat, lon, date, value
-scenario  element, model, scenario, year, tile | mesh_code, lat, lon, date, value
-hourly    element, kind, storage_year, tile | mesh_code, lat, lon, ts_utc, ts_local, value
-static    element, tile | mesh_code, lat, lon, value
+"""Gridded weather as long tables, laid out so that a request reads only its blocks of tiles and years.
+
+Layouts (partition columns first). A block is 10 x 10 tiles, so the number of folders is bounded by the earth, not by the
+rows; inside files, rows lie by tile, place and time, and row-group statistics do the rest.
+daily     element, kind, year, block | tile, mesh_code, lat, lon, date, value
+scenario  element, model, scenario, year, block | tile, mesh_code, lat, lon, date, value
+hourly    element, kind, storage_year, block | tile, mesh_code, lat, lon, ts_utc, ts_local, value
+static    element, block | tile, mesh_code, lat, lon, value
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from harvestgrid.operators.quality import sentinel_to_null
 from harvestgrid.operators.sizes import broadcast_if_small
 
 PARTITIONS = {
-    "daily": ("element", "kind", "year", "tile"),
-    "scenario": ("element", "model", "scenario", "year", "tile"),
-    "hourly": ("element", "kind", "storage_year", "tile"),
-    "static": ("element", "tile"),
+    "daily": ("element", "kind", "year", "block"),
+    "scenario": ("element", "model", "scenario", "year", "block"),
+    "hourly": ("element", "kind", "storage_year", "block"),
+    "static": ("element", "block"),
 }
 TIME_COLUMNS = {"daily": ("date",), "scenario": ("date",), "hourly": ("ts_utc", "ts_local"), "static": ()}
 
@@ -43,12 +44,12 @@ _TYPES = {
 
 
 def grid_schema(layout: str) -> T.StructType:
-    names = ("mesh_code", "lat", "lon", *TIME_COLUMNS[layout], "value", *PARTITIONS[layout])
+    names = ("tile", "mesh_code", "lat", "lon", *TIME_COLUMNS[layout], "value", *PARTITIONS[layout])
     return T.StructType([T.StructField(n, _TYPES.get(n, T.StringType())) for n in names])
 
 
 def read_grid(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    """A grid table. The explicit schema keeps ``tile`` a string; inference would make it a number."""
+    """A grid table. The explicit schema keeps ``block`` a string; inference would make it a number."""
     return spark.read.schema(grid_schema(layout)).parquet(path)
 
 
@@ -62,28 +63,39 @@ def with_cell(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     return celled.withColumn("tile", F.substring("mesh_code", 1, 4)).drop("_row", "_column")
 
 
+def _laid_out(df: DataFrame, layout: str) -> DataFrame:
+    return df.withColumn("block", mesh.tile_block(F.col("tile"))).select(*[f.name for f in grid_schema(layout)])
+
+
 def write_grid(df: DataFrame, path: str, layout: str, mode: str = "overwrite") -> None:
-    """Write a grid table with rows sorted by place and time inside each file.
+    """Write a grid table with rows sorted by tile, place and time inside each file.
 
     Rows are rebalanced by partition: adaptive execution splits a partition that is too large for
-    one task over several tasks and files, and packs small ones together. The codes of the tiles that the table
-    has are written beside it, for ``read_tiles``.
+    one task over several tasks and files, and packs small ones together.
     """
     parts = list(PARTITIONS[layout])
-    order = [*parts, "lat", "lon", *TIME_COLUMNS[layout]]
-    rows = df.select(*[f.name for f in grid_schema(layout)]).hint("rebalance", *parts)
+    order = [*parts, "tile", "lat", "lon", *TIME_COLUMNS[layout]]
+    rows = _laid_out(df, layout).hint("rebalance", *parts)
     rows.sortWithinPartitions(*order).write.mode(mode).partitionBy(*parts).parquet(path)
-    tiles = read_grid(df.sparkSession, path, layout).select("tile").distinct()
-    tiles.coalesce(1).write.mode("overwrite").parquet(_tiles_path(path))
 
 
-def _tiles_path(path: str) -> str:
-    return f"{path.rstrip('/')}-tiles"
+def write_bucketed(df: DataFrame, name: str, layout: str, buckets: int, path: str | None = None) -> None:
+    """Write a grid as a catalog table whose files hold buckets of cells; joins by ``mesh_code`` read them without a shuffle.
+
+    A bucket of a partition is one file, written by one task: the rows are dealt by the same hash first.
+    """
+    parts = list(PARTITIONS[layout])
+    rows = _laid_out(df, layout).repartition(buckets, "mesh_code")
+    writer = rows.write.mode("overwrite").partitionBy(*parts)
+    writer = writer.bucketBy(buckets, "mesh_code").sortBy("mesh_code", *TIME_COLUMNS[layout])
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """The codes of the tiles of a written grid table, without a look at the table."""
-    return spark.read.schema("tile string").parquet(_tiles_path(path))
+    """The codes of the tiles of a written grid table. Only that column is read, which sorted files hold in a few bytes a tile."""
+    return spark.read.schema("tile string").parquet(path).select("tile").distinct()
 
 
 # --- scans --------------------------------------------------------------------------------------
@@ -124,8 +136,8 @@ def _scan(
         tiles = _area_tiles(rows, columns)
     else:
         rows, columns, tiles = box.rows(), box.columns(), box.tiles()
-    wanted = [*filters, F.col("tile").isin(tiles), mesh.cells_between(F.col("lat"), F.col("lon"), rows, columns)]
-    df = reduce(lambda frame, condition: frame.where(condition), wanted, grid)
+    wanted = [*filters, mesh.cells_between(F.col("lat"), F.col("lon"), rows, columns)]
+    df = reduce(lambda frame, condition: frame.where(condition), wanted, mesh.in_listed_tiles(grid, tiles))
     df = df.select("element", "mesh_code", "lat", "lon", *([time] if time else []), "value")
     if elements is not None:
         df = with_names(df, elements)
@@ -144,7 +156,7 @@ def scan_daily(
 ) -> DataFrame:
     """Cells of a box on the days of a range, observed or normal.
 
-    Element, kind, years and tiles are partition filters; the box and the days reach the files. With
+    Element, kind, years and blocks of tiles are partition filters; tiles, box and days reach the files. With
     ``by_area`` the box is read inside its area. ``elements`` adds name and unit. ``squeeze`` leaves
     out coordinates that the request makes constant. Nothing found means no rows.
     """
@@ -217,7 +229,7 @@ def extract_cells(
 ) -> DataFrame:
     """Cells with their centre in the box, fill values as NULL, with name and unit if given.
 
-    Element, kind, years and tiles are partition filters. Equal bounds ask for the nearest coordinate, which is looked
+    Element, kind, years and blocks of tiles are partition filters. Equal bounds ask for the nearest coordinate, which is looked
     for in the tiles around them first.
     """
     df = grid.where(F.col("element") == element)

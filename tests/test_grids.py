@@ -76,8 +76,9 @@ def test_partitions_are_pruned(spark, daily):
     box = mesh.Box(POINT[0], POINT[0], POINT[1], POINT[1])
     plan = G.scan_daily(daily, "RH", DayRange.of("2016-01-02", "2016-01-05"), box)._jdf.queryExecution().executedPlan().toString()
     filters = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
-    for column in ("element", "kind", "year", "tile"):
+    for column in ("element", "kind", "year", "block"):
         assert column in filters
+    assert "In(tile, [" in plan[plan.index("PushedFilters"):] or "EqualTo(tile," in plan[plan.index("PushedFilters"):]
     pushed = plan[plan.index("PushedFilters"):]
     assert "GreaterThan(lat" in pushed and "GreaterThanOrEqual(date" in pushed
     assert "Exchange" not in plan and "Python" not in plan
@@ -176,4 +177,4 @@ def test_nearest_coordinate_reads_the_tiles_around_it(daily, lat, lon):
     assert got.count() == 1
     if lat > 30:
         plan = got._jdf.queryExecution().executedPlan().toString()
-        assert "substring(tile" in plan[plan.index("PartitionFilters") :] and "ubquery" not in plan
+        assert "substring(block" in plan[plan.index("PartitionFilters") :] and "ubquery" not in plan

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from harvestgrid.functions import mesh
 from harvestgrid.operators import anomaly, nearest, spatial
-from harvestgrid.sources.grids import with_cell
+from harvestgrid.sources.grids import with_cell, write_bucketed
 
 
 def site_grid(spark):
@@ -41,6 +41,74 @@ def test_mesh_pivot(spark):
     assert full.columns == ["mesh_code", "lat", "lon", "2", "1"]
 
 
+@pytest.mark.parametrize("count, slots", [(1, 64), (30, 7), (64, 64), (65, 64), (8784, 64)])
+def test_series_of_any_number_of_steps(spark, count, slots):
+    cells = spark.range(5).select(F.concat(F.lit("c"), "id").alias("mesh_code"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("t"))
+    df = cells.withColumn("value", F.when(F.pmod(F.xxhash64("mesh_code", "t"), F.lit(3)) > 0, F.col("t") + 0.5))
+    df = df.unionByName(df.where("t = 0").withColumn("t", F.lit(-1))).where("mesh_code <> 'c4' OR t < 0")
+    want = {}
+    for r in df.where("t >= 0").collect():
+        want.setdefault(r.mesh_code, [None] * count)[r.t] = r.value
+    for drop in (True, False):
+        series = spatial.mesh_series(df, "t", list(range(count)), drop_missing=drop, slots=slots)
+        got = {r.mesh_code: r["values"] for r in series.collect()}
+        kept = {k: v for k, v in want.items() if any(x is not None for x in v)}
+        assert got == (kept if drop else {**want, "c4": [None] * count})
+
+
+def test_series_plan_does_not_grow_with_the_steps(spark):
+    df = spark.range(10).selectExpr("cast(id AS string) AS mesh_code", "cast(id AS int) AS t", "1.0D AS value").repartition(2)
+    plans = [spatial.mesh_series(df, "t", list(range(n)))._jdf.queryExecution().optimizedPlan().toString() for n in (128, 8784)]
+    sizes = [len([line for line in p.splitlines() if "LocalRelation" not in line]) for p in plans]
+    assert sizes[0] == sizes[1] and plans[1].count("max(") <= 2 * spatial.SLOTS
+
+
+def test_lines_of_the_wide_table(spark):
+    series = spark.createDataFrame([("a", [1.5, None]), ("b", [None, 2.0])], "mesh_code string, values array<double>")
+    header, lines = spatial.mesh_lines(series, ["x", "y"], ";")
+    assert header == "mesh_code;x;y" and [r.value for r in lines.collect()] == ["a;1.5;", "b;;2.0"]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_bucketed_grid_is_not_shuffled_for_its_sites(spark, tmp_path, hot):
+    cells = spark.range(60).select((F.lit(35.004) + F.col("id") / 100).alias("lat"), F.lit(139.3).alias("lon"))
+    grid = (
+        with_cell(cells)
+        .withColumn("date", F.explode(F.expr("sequence(date'2015-04-01', date'2015-04-05')")))
+        .withColumn("element", F.explode(F.array(F.lit("RH"), F.lit("SD"))))
+        .withColumns({"kind": F.lit("observed"), "year": F.year("date"), "value": F.dayofmonth("date") + F.col("lat")})
+    )
+    name = f"bucketed_{'hot' if hot else 'even'}"
+    write_bucketed(grid, name, "daily", 4, str(tmp_path / name))
+    sites = spark.range(300).select(
+        F.concat(F.lit("s"), "id").alias("place"), (F.lit(2014) + F.col("id") % 2).cast("int").alias("year"),
+        (F.lit(35.004) + (F.lit(7) if hot else F.col("id") % 70) / 100).alias("lat"), F.lit(139.3).alias("lon"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = spatial.site_weather(spark.table(name), sites, ["RH", "SD"], broadcast_rows=0)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(tuple(r) for r in spatial.site_weather(grid, sites, ["RH", "SD"]).collect()) and got
+    plan = plan.split("== Initial Plan ==")[-1]
+    # Each scan of the grid reaches its join without an exchange: those that there are stand above the sites' scans.
+    lines = plan.splitlines()
+    scans = [k for k, line in enumerate(lines) if "Scan parquet" in line and name in line]
+    for k in scans:
+        above = []
+        depth = len(lines[k]) - len(lines[k].lstrip(" :+-"))
+        for line in reversed(lines[:k]):
+            here = len(line) - len(line.lstrip(" :+-"))
+            if here < depth:
+                above.append(line)
+                depth = here
+        assert not any("Exchange" in line for line in above), plan
+    assert scans
+    spark.sql(f"DROP TABLE {name}")
+
+
 def lattice(spark, rows, columns):
     lat = [36 + (i + 0.5) / 120 for i in range(rows)]
     lon = [140 + (i + 0.5) / 80 for i in range(columns)]
