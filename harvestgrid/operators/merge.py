@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harvestgrid.functions.timegrid import season_year
 from harvestgrid.operators.panel import bounded_year
 from harvestgrid.operators.quality import ensure_columns, require_columns
+from harvestgrid.operators.ranges import range_join
 from harvestgrid.operators.sizes import broadcast_if_small
 from harvestgrid.sources.sinks import rewrite_partitions
 
@@ -57,6 +58,18 @@ def season_updates(sheet: DataFrame, targets: DataFrame, value: str = "VP", on:
     )
 
 
+def period_updates(sheet: DataFrame, targets: DataFrame, value: str = "VP", on: Sequence[str] = ()) -> DataFrame:
+    """``on, place, start, end, date, value`` for every target and every sheet day from its ``start`` to its ``end``.
+
+    Unlike seasons, periods may overlap and differ from target to target, so this is a range join. A target given twice counts once; a
+    day given twice comes twice.
+    """
+    wanted = targets.select(*on, "place", "start", "end").distinct()
+    return range_join(sheet.select(*on, "date", value), wanted, "date", "start", "end", on).select(
+        *on, "place", "start", "end", "date", value
+    )
+
+
 def _unique_updates(updates: DataFrame, keys: Sequence[str], value: str, flag: str) -> DataFrame:
     """One row per key; a key given twice raises, also where only other columns are read."""
     name = F.concat_ws(" ", F.lit("update given twice:"), *[F.col(k).cast("string") for k in keys])

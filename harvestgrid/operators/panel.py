@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestgrid.functions.numeric import nan_to_null, z_score
+from harvestgrid.operators.moments import entry_means, entry_moments
 from harvestgrid.operators.sizes import broadcast_if_small
 
 KEYS = ("loc_id", "year")
@@ -100,15 +101,17 @@ def feature_stats(panel: DataFrame, last_training_year: int) -> DataFrame:
     """One row: per feature (pos, mean, std) over the training years, as an array ``stats``.
 
     Sample deviation; missing values are skipped; a deviation of 0 becomes 1. Rows with a low yield
-    count here. The aggregate has one group per feature and is combined on the map side.
+    count here. Partial sums of whole arrays are merged (``operators.moments``); no feature becomes a row.
     """
-    training = panel.where(F.col("year") <= last_training_year)
-    values = training.select(F.posexplode("features").alias("pos", "x")).withColumn("x", nan_to_null(F.col("x")))
-    std = F.stddev_samp("x")
-    by_feature = values.groupBy("pos").agg(
-        F.avg("x").alias("mean"), F.when(std == 0, F.lit(1.0)).otherwise(std).alias("std")
+    moments = entry_moments(panel.where(F.col("year") <= last_training_year))
+    return moments.select(
+        F.transform(
+            "moments",
+            lambda m, k: F.struct(
+                k.alias("pos"), m["mean"].alias("mean"), F.when(m["std"] == 0, F.lit(1.0)).otherwise(m["std"]).alias("std")
+            ),
+        ).alias("stats")
     )
-    return by_feature.agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias("stats"))
 
 
 def standardise(panel: DataFrame, stats: DataFrame) -> DataFrame:
@@ -187,10 +190,8 @@ def year_map(scalars: DataFrame) -> DataFrame:
 
 def mean_vectors(panel: DataFrame, years: Sequence[int]) -> DataFrame:
     """``year, features``: the mean feature vector of each chosen year that has rows."""
-    values = panel.where(F.col("year").isin(list(years))).select("year", F.posexplode("features").alias("pos", "x"))
-    means = values.groupBy("year", "pos").agg(F.avg(nan_to_null(F.col("x"))).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    return means.groupBy("year").agg(F.transform(ordered, lambda e: e["x"]).alias("features"))
+    means = entry_means(panel.where(F.col("year").isin(list(years))), by=["year"])
+    return means.select("year", F.transform("means", lambda m: m["mean"]).alias("features"))
 
 
 def mean_year_steps(panel: DataFrame, scalars: DataFrame, years: Sequence[int], width: int) -> DataFrame:

@@ -186,6 +186,22 @@ def extent(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
 AXIS_DIGITS, AXIS_SLACK = 9, 0.01
 
 
+def regular_axis(name: str, given: float | None) -> dict[str, Column]:
+    """``first``, ``last``, ``step`` and ``n`` of a regular axis, from its sorted coordinates in the array column ``name``.
+
+    Without a given step it is the smallest gap; a coordinate off the steps raises.
+    """
+    at = F.col(f"`{name}`")
+    gaps = F.zip_with(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), at, lambda b, a: b - a)
+    step = F.array_min(F.filter(gaps, lambda g: g.isNotNull())) if given is None else F.lit(given)
+    first, last = F.element_at(at, 1), F.element_at(at, -1)
+    steps = F.coalesce(F.rint(F.try_divide(last - first, step)), F.lit(0.0))
+    exact = F.try_divide(last - first, steps)
+    off = F.exists(at, lambda x: F.abs((x - first) / exact - F.rint((x - first) / exact)) > AXIS_SLACK)
+    checked = F.when(F.coalesce(off, F.lit(False)), F.raise_error(F.lit(f"no regular axis: {name}")).cast("double")).otherwise(exact)
+    return {"first": first, "last": last, "step": checked, "n": steps + 1}
+
+
 def raster_cells(
     df: DataFrame,
     layer: str,
@@ -204,18 +220,7 @@ def raster_cells(
     """
     axes = df.agg(*[F.array_sort(F.collect_set(F.round(F.col(c), AXIS_DIGITS))).alias(c) for c in (lat, lon)])
 
-    def axis(name: str, given: float | None) -> dict[str, Column]:
-        at = F.col(f"`{name}`")
-        gaps = F.zip_with(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), at, lambda b, a: b - a)
-        step = F.array_min(F.filter(gaps, lambda g: g.isNotNull())) if given is None else F.lit(given)
-        first, last = F.element_at(at, 1), F.element_at(at, -1)
-        steps = F.coalesce(F.rint(F.try_divide(last - first, step)), F.lit(0.0))
-        exact = F.try_divide(last - first, steps)
-        off = F.exists(at, lambda x: F.abs((x - first) / exact - F.rint((x - first) / exact)) > AXIS_SLACK)
-        checked = F.when(F.coalesce(off, F.lit(False)), F.raise_error(F.lit(f"no regular axis: {name}")).cast("double")).otherwise(exact)
-        return {"first": first, "last": last, "step": checked, "n": steps + 1}
-
-    of_lat, of_lon = (axis(c, steps[k] if steps else None) for k, c in enumerate((lat, lon)))
+    of_lat, of_lon = (regular_axis(c, steps[k] if steps else None) for k, c in enumerate((lat, lon)))
     bounds = axes.select(
         F.struct(
             *[v.alias(f"lat_{k}") for k, v in of_lat.items()], *[v.alias(f"lon_{k}") for k, v in of_lon.items()]

@@ -783,3 +783,35 @@ WITH {_HOURLY}
 SELECT code8 AS mesh_code, 8784 AS steps, datediff('hour', TIMESTAMP '2024-01-01 01:00:00', ts_local)::INTEGER AS hour, value
 FROM h WHERE element = 'click' AND ts_local BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2025-01-01 00:00:00'
 """
+
+SQL["merge_drifted"] = f"""
+WITH {GRID}
+SELECT element, round(lat, 9) AS lat, round(lon, 9) AS lon, date, value FROM observed
+"""
+
+SQL["period_updates"] = """
+WITH periods AS (
+    SELECT c_custkey AS place, DATE '1995-01-01' + (c_custkey * 13 % 2200)::INTEGER AS start_day,
+        CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 700 ELSE c_custkey % 40 END::INTEGER AS days
+    FROM customer
+),
+sheet AS (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS lines FROM lineitem GROUP BY 1)
+SELECT place, start_day AS start, start_day + days AS "end", date, lines
+FROM periods JOIN sheet ON date BETWEEN start_day AND start_day + days
+"""
+
+SQL["new_column_merge"] = f"""
+WITH {WIDE},
+sheet AS (SELECT CAST(ts AS DATE) AS date, count(*)::DOUBLE AS vp FROM events GROUP BY 1)
+SELECT w.place, w.date, w.year, w.click, CASE WHEN w.place % 3 = 0 AND c.c_custkey IS NOT NULL THEN s.vp END AS "VP"
+FROM wide w LEFT JOIN sheet s USING (date) LEFT JOIN customer c ON c.c_custkey = w.place
+"""
+
+SQL["table_swap"] = f"""
+WITH {WIDE}
+SELECT * REPLACE (click * 2 AS click) FROM wide
+"""
+
+SQL["four_encodings"] = """
+SELECT c_custkey, chr((12449 + c_custkey % 60)::INTEGER) || chr(29681) || c_name AS content FROM customer
+"""

@@ -30,7 +30,7 @@ from harvestgrid.session import new_table_path
 from harvestgrid.sources import grids as G
 from harvestgrid.sources import sinks
 from harvestgrid.sources.tables import read_panel, read_sheet, read_table
-from harvestgrid.sources.text import decode_text
+from harvestgrid.sources.text import decode_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,6 +202,17 @@ def null_profile(spark, sf_dir):
     return ql.null_profile(S.field_records(spark, sf_dir))
 
 
+@_query
+def merge_drifted(spark, sf_dir):
+    """Two overlapping halves of the grid without cell codes, the later one's coordinates off by some 1e-6 degrees."""
+    grid = S.grid_observed(spark, sf_dir).select("element", "lat", "lon", "date", "value")
+    early = grid.where(F.col("date") <= dt.date(2024, 1, 20))
+    drift = {"lat": F.col("lat") + 1e-6, "lon": F.col("lon") - F.lit(1e-6) * (F.dayofmonth("date") % 3)}
+    late = grid.where(F.col("date") >= dt.date(2024, 1, 10)).withColumns(drift)
+    steps = (1 / mesh.ROWS_PER_DEGREE, 1 / mesh.COLUMNS_PER_DEGREE)
+    return _short(G.merge_on_axes([early, late], steps=steps))
+
+
 @_query
 def sentinel_round_trip(spark, sf_dir):
     wide = S.weather_wide(spark, sf_dir).select("place", "date", "click", "error")
@@ -587,6 +598,38 @@ def update_merge(spark, sf_dir):
     return merge.merge_vapour_pressure(wide, sheet, targets, mark="matched")
 
 
+@_query
+def period_updates(spark, sf_dir):
+    """Shipping days in every customer's own period; periods overlap and last from a day to two years."""
+    key = F.col("c_custkey")
+    start = F.date_add(F.lit("1995-01-01").cast("date"), (key * 13 % 2200).cast("int"))
+    length = F.when(key % 5 == 0, key % 700).otherwise(key % 40).cast("int")
+    targets = S.table(spark, sf_dir, "customer").select(key.alias("place"), start.alias("start"), F.date_add(start, length).alias("end"))
+    return merge.period_updates(S.ship_days(spark, sf_dir), targets, "lines")
+
+
+@_query
+def new_column_merge(spark, sf_dir):
+    """Vapour pressure merged into a table that has no such column yet."""
+    wide = S.weather_wide(spark, sf_dir).select("place", "date", "year", "click")
+    counts = S.table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("VP"))
+    key = F.col("c_custkey")
+    targets = S.table(spark, sf_dir, "customer").where(key % 3 == 0).select(key.alias("place"), F.lit(2023).alias("year"))
+    return merge.merge_vapour_pressure(wide, counts, targets)
+
+
+@_query
+def table_swap(spark, sf_dir):
+    """A table replaced by rows that are read from it: the weather table, then the same with clicks doubled."""
+    name = f"weather_{uuid.uuid4().hex}"
+    sinks.swap_table(S.weather_wide(spark, sf_dir), name, ["year"])
+    last = sinks.swap_table(spark.table(name).withColumn("click", F.col("click") * 2), name, ["year"])
+    found = spark.read.schema(spark.table(name).schema).parquet(spark.sql(f"DESCRIBE EXTENDED {last}").where("col_name = 'Location'").first()["data_type"])
+    spark.sql(f"DROP VIEW {name}")
+    sinks.drop_versions(spark, name)
+    return found
+
+
 @_query
 def rows_updated(spark, sf_dir):
     """How many rows an update touched, per season."""
@@ -737,10 +780,34 @@ def joint_outputs(spark, sf_dir):
 
 @_query
 def multi_encoding_load(spark, sf_dir):
-    """Whole document texts as bytes, half of them with a byte-order mark, decoded again."""
+    """Whole document texts as bytes, half of them with a byte-order mark, decoded again: all are UTF-8, so without Python."""
     mark = F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit("")))
     content = F.concat(mark, F.encode("text", "utf-8"))
-    return S.table(spark, sf_dir, "documents").select("doc_id", decode_text(content).alias("content"))
+    return decode_rows(S.table(spark, sf_dir, "documents").select("doc_id", content.alias("content")))
+
+
+@_query
+def four_encodings(spark, sf_dir):
+    """Customers' names behind two Japanese letters, as bytes of four encodings, decoded again.
+
+    The first letter is the katakana at U+30A1 + key mod 60, the second U+73F1, which no longer lets EUC-JP pass for CP932.
+    """
+    key = F.col("c_custkey") % 60
+
+    def letters(lead: str, first: int, second: str) -> Column:
+        return F.concat(F.unhex(F.lit(lead)), F.unhex(F.hex(key + first)), F.unhex(F.lit(second)))
+
+    low = F.unhex(F.hex(F.pmod(key + 0x21, F.lit(64)) + 0x80))
+    utf8 = F.concat(F.unhex(F.lit("E3")), F.unhex(F.hex(F.lit(0x82) + F.floor((key + 0x21) / 64))), low, F.unhex(F.lit("E78FB1")))
+    kind = F.col("c_custkey") % 4
+    content = (
+        F.when(kind == 0, F.concat(F.unhex(F.lit("EFBBBF")), utf8))
+        .when(kind == 1, utf8)
+        .when(kind == 2, letters("83", 0x40, "E0FC"))
+        .otherwise(letters("A5", 0xA1, "E0FE"))
+    )
+    rows = S.table(spark, sf_dir, "customer").select("c_custkey", F.concat(content, F.encode("c_name", "utf-8")).alias("content"))
+    return decode_rows(rows)
 
 
 @_query

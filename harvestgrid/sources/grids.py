@@ -22,6 +22,7 @@ from harvestgrid.functions.numeric import nan_to_null, round_even
 from harvestgrid.functions.timegrid import DayRange, HourRange
 from harvestgrid.operators.quality import sentinel_to_null
 from harvestgrid.operators.sizes import broadcast_if_small
+from harvestgrid.operators.spatial import AXIS_DIGITS, AXIS_SLACK, regular_axis
 
 PARTITIONS = {
     "daily": ("element", "kind", "year", "block"),
@@ -278,3 +279,44 @@ def merge_pieces(pieces: Sequence[DataFrame], keys: Sequence[str] = ("element",
     agree = F.coalesce(F.col("_low") == F.col("_high"), F.lit(True))
     checked = merged.where(F.when(agree, True).otherwise(F.raise_error(clash).cast("boolean")))
     return checked.select(*keys, F.col("_low").alias(value))
+
+
+def align_axes(
+    pieces: Sequence[DataFrame],
+    axes: Sequence[str] = ("lat", "lon"),
+    steps: Sequence[float] | None = None,
+    tolerance: float = AXIS_SLACK,
+) -> list[DataFrame]:
+    """The pieces with their coordinates on the first piece's axes.
+
+    Pieces of other years may hold the same coordinates a little off. Each coordinate goes to the nearest step of the first piece's
+    regular axis, on which it may lie further out; one that is off by more than ``tolerance`` steps raises. ``steps`` names the steps; without it
+    they are the smallest gaps in the first piece, of whose coordinates alone the distinct ones are gathered.
+    """
+    seen = pieces[0].agg(*[F.array_sort(F.collect_set(F.round(F.col(c), AXIS_DIGITS))).alias(c) for c in axes])
+    found = [regular_axis(c, steps[k] if steps else None) for k, c in enumerate(axes)]
+    shape = seen.select(
+        F.struct(*[F.struct(a["first"].alias("first"), a["step"].alias("step")).alias(c) for c, a in zip(axes, found, strict=True)]).alias("a")
+    )
+
+    def snapped(c: str) -> Column:
+        first, step, x = F.col(f"_axes.{c}.first"), F.col(f"_axes.{c}.step"), F.col(c)
+        number = F.coalesce(F.try_divide(x - first, step), F.when(x == first, 0.0))
+        off = F.raise_error(F.concat(F.lit(f"{c} off the axis: "), x.cast("string"))).cast("double")
+        near = F.abs(number - F.rint(number)) <= tolerance
+        return F.when(x.isNull(), x).when(near, first + F.rint(number) * F.coalesce(step, F.lit(0.0))).otherwise(off)
+
+    return [
+        piece.withColumn("_axes", shape.scalar()).withColumns({c: snapped(c) for c in axes}).drop("_axes") for piece in pieces
+    ]
+
+
+def merge_on_axes(
+    pieces: Sequence[DataFrame],
+    keys: Sequence[str] = ("element", "lat", "lon", "date"),
+    axes: Sequence[str] = ("lat", "lon"),
+    steps: Sequence[float] | None = None,
+    value: str = "value",
+) -> DataFrame:
+    """``merge_pieces`` of grids without cell codes: their coordinates are brought onto the first piece's axes before."""
+    return merge_pieces(align_axes(pieces, axes, steps), keys, value)

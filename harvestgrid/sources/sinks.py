@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from harvestgrid.session import new_table_path
 
@@ -45,6 +46,30 @@ def replace_table(df: DataFrame, name: str, partition_by: Sequence[str] = ("year
     writer.saveAsTable(name)
 
 
+def swap_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> str:
+    """Replace what ``name`` shows by ``df`` in one step; gives the name of the table that now holds the rows.
+
+    The rows go to a table of their own on a fresh path; only when all are written is the view ``name`` pointed at it. So ``df`` may
+    read ``name`` itself, readers see the old rows or the new ones and never a mixture, and a write that fails leaves the old
+    rows. Earlier versions stay until ``drop_versions``, for readers that began with them. ``name`` must not be a table.
+    """
+    spark = df.sparkSession
+    version = f"{name}__{uuid.uuid4().hex}"
+    writer = _by_partition(df, partition_by).write.mode("error").option("path", new_table_path(spark, name)).partitionBy(*partition_by)
+    writer.saveAsTable(version)
+    columns = ", ".join(f"`{c}`" for c in df.columns)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {columns} FROM {version}")
+    return version
+
+
+def drop_versions(spark: SparkSession, name: str, keep: str | None = None) -> list[str]:
+    """Forget the versions of a swapped table, all but ``keep``; gives their names. Files stay where they are."""
+    gone = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(f"{name.lower()}__") and t.name != (keep or "").lower())
+    for version in gone:
+        spark.sql(f"DROP TABLE {version}")
+    return gone
+
+
 def rewrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",)) -> None:
     """Replace only the partitions that occur in ``df``; other partitions stay untouched.
 
