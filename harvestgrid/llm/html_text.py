@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -46,8 +47,18 @@ OUT_WORDS = frozenset(
 )
 # Words that may stand beside those in one name, as in comment-list; any others (has-sidebar, header-fixed) tell of a state.
 PART_WORDS = frozenset(
-    """area bar block body box container content group inner item items link links list page panel section
-    site slot the thread unit wrap wrapper""".split()
+    """area bar block body bottom box container content group inner item items left link links list main page panel
+    right section site slot the thread top unit wrap wrapper""".split()
+)
+# Words that decide a name as its first or last word, whatever stands beside them.
+DECIDING_WORDS = frozenset(
+    """ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie newsletter promo
+    sidebar sponsored""".split()
+)
+# Words that make a name tell of a state or a layout, not of a part.
+STATE_WORDS = frozenset(
+    """closed columns disabled enabled fixed free grid has hidden hide is layout no not off on open show sticky template
+    toggle with without""".split()
 )
 # Languages with stop words here. A page that names no language has one of them if so many words of its text are stop words.
 LISTED, LEAST_STOPS = frozenset("en de fr es".split()), 0.05
@@ -61,6 +72,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _LANGUAGE = re.compile(r"""<html\b[^>]*?\slang\s*=\s*["']?\s*([a-zA-Z]+)""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 _SPLIT_NAME = re.compile(r"[^a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 @dataclass
@@ -78,9 +90,13 @@ def _named_out(attributes: str) -> bool:
     for attribute, *values in _ATTRIBUTE.findall(attributes):
         if attribute.lower() not in ("class", "id", "role"):
             continue
-        for name in "".join(values).lower().split():
-            words = {w for w in _SPLIT_NAME.split(name) if w}
-            if not OUT_WORDS.isdisjoint(words) and words <= OUT_WORDS | PART_WORDS:
+        for name in "".join(values).split():
+            words = [w for w in _SPLIT_NAME.split(_CAMEL.sub("-", name).lower()) if w]
+            if not words or not STATE_WORDS.isdisjoint(words):
+                continue
+            if words[0] in DECIDING_WORDS or words[-1] in DECIDING_WORDS:
+                return True
+            if not OUT_WORDS.isdisjoint(words) and OUT_WORDS.union(PART_WORDS).issuperset(words):
                 return True
     return False
 
@@ -97,33 +113,97 @@ def _state(tag: str, attributes: str, out: str, inside: bool) -> str:
     return "" if tag in IN_TAGS and out == "name" and not inside else out
 
 
+@dataclass
+class Part:
+    """A stretch of text: whether it stands in a link, in an element that is out, and in an article."""
+
+    text: str
+    link: bool
+    out: bool
+    inside: bool
+
+
+@dataclass
+class Open:
+    """An open element: why it is out, whether it is in an article, and the place of the nearest block element from it on down."""
+
+    tag: str
+    out: str
+    inside: bool
+    block: int
+
+
+class _Stack:
+    """Open elements, with a count per tag, so that no question takes a walk through them."""
+
+    def __init__(self) -> None:
+        self.elements: list[Open] = []
+        self.count: Counter = Counter()
+
+    def state(self) -> tuple[str, bool]:
+        return (self.elements[-1].out, self.elements[-1].inside) if self.elements else ("", False)
+
+    def push(self, tag: str, out: str, inside: bool) -> None:
+        block = len(self.elements) if tag in BLOCK_TAGS else self.elements[-1].block if self.elements else -1
+        self.elements.append(Open(tag, out, inside, block))
+        self.count[tag] += 1
+
+    def pop(self) -> str:
+        tag = self.elements.pop().tag
+        self.count[tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        while self.pop() != tag:
+            pass
+
+    def end_implied(self, tag: str) -> None:
+        """Close an open paragraph or list item that a new block ends, unless a container stands between."""
+        at = self.elements[-1].block if self.elements else -1
+        if at >= 0 and self.elements[at].tag == tag:
+            while len(self.elements) > at:
+                self.pop()
+
+
+def _block(parts: list[Part]) -> Block | None:
+    """The block that the parts make. What is out inside a block that is not goes without a trace; a block out as a whole stays so."""
+    held = [p for p in parts if not p.out]
+    out = not any(p.text and not p.text.isspace() for p in held)
+    held = parts if out else held
+    text = " ".join(html.unescape("".join(p.text for p in held)).split())
+    if not text:
+        return None
+    linked = sum(len(" ".join(html.unescape(p.text).split())) for p in held if p.link)
+    return Block(text, linked, out, any(p.inside for p in held))
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, white space made plain, character references decoded; empty ones are left out."""
     found: list[Block] = []
-    parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, why it is out, inside an article
-    links, breaks, at, size = 0, 0, 0, len(page)
+    parts: list[Part] = []
+    stack = _Stack()
+    breaks, at, size = 0, 0, len(page)
+
+    def add(text: str) -> None:
+        out, inside = stack.state()
+        parts.append(Part(text, stack.count["a"] > 0, bool(out), inside))
 
     def end() -> None:
         nonlocal breaks
         breaks = 0
-        if not parts:
-            return
-        text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
-        if text:
-            linked = sum(len(" ".join(html.unescape(p).split())) for p, in_link in parts if in_link)
-            _, out, inside = stack[-1] if stack else ("", "", False)
-            found.append(Block(text, linked, bool(out), inside))
+        block = _block(parts) if parts else None
+        if block:
+            found.append(block)
         parts.clear()
 
     while at < size:
         token = _TOKEN.search(page, at)
         if token is None:
-            parts.append((page[at:], links > 0))
+            add(page[at:])
             break
         if token.start() > at:
             text = page[at : token.start()]
-            parts.append((text, links > 0))
+            add(text)
             if not text.isspace():
                 breaks = 0
         at = token.end()
@@ -132,56 +212,37 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if token[1]:
-            if any(t == tag for t, _, _ in stack):
+            if stack.count[tag]:
                 if tag in BLOCK_TAGS:
                     end()
-                while True:
-                    closed = stack.pop()[0]
-                    links -= closed == "a"
-                    if closed == tag:
-                        break
+                stack.close(tag)
             continue
         if tag in FOREIGN_TAGS and token[3].endswith("/"):
-            parts.append((" ", links > 0))
+            add(" ")
             continue
         if tag in RAW_TAGS:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = close.end() if close else size
-            parts.append((" ", False))
+            add(" ")
             continue
         if tag == "br":
-            parts.append((" ", links > 0))
+            add(" ")
             breaks += 1
             if breaks > 1:
                 end()
             continue
-        _, out, inside = stack[-1] if stack else ("", "", False)
-        whole = tag in ("html", "body")
-        state = out if whole else _state(tag, token[3], out, inside)
-        if tag in BLOCK_TAGS or state != out:
+        if tag in BLOCK_TAGS:
             end()
-            if tag in BLOCK_TAGS and any(t == "p" for t, _, _ in stack) or tag == "li":
-                _implied_end(stack, "li" if tag == "li" else "p")
-                links = sum(t == "a" for t, _, _ in stack)
-                _, out, inside = stack[-1] if stack else ("", "", False)
-                state = out if whole else _state(tag, token[3], out, inside)
+            if stack.count["p"] or tag == "li":
+                stack.end_implied("li" if tag == "li" else "p")
         if tag not in VOID_TAGS:
-            stack.append((tag, state, inside or tag in IN_TAGS))
-            links += tag == "a"
+            out, inside = stack.state()
+            state = out if tag in ("html", "body") else _state(tag, token[3], out, inside)
+            stack.push(tag, state, inside or tag in IN_TAGS)
     end()
     return found
 
 
-def _implied_end(stack: list[tuple[str, str, bool]], tag: str) -> None:
-    """Close an open paragraph or list item that a new block ends, unless a container stands between."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == tag:
-            del stack[k:]
-            return
-        if stack[k][0] in BLOCK_TAGS:
-            return
-
-
 def _stops(text: str) -> float:
     words = _WORD.findall(text.lower())
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
@@ -189,10 +250,12 @@ def _stops(text: str) -> float:
 
 def first_pass(block: Block, listed: bool = True) -> str:
     """good, bad or short (still open). Without a list of the page's stop words only places, links and length count."""
-    if block.out or block.linked > LINK_DENSITY * len(block.text):
+    if block.out:
         return "bad"
     if block.inside:
         return "good"
+    if block.linked > LINK_DENSITY * len(block.text):
+        return "bad"
     # Scripts with more bytes a letter say as much in fewer letters.
     size = len(block.text) if listed else len(block.text.encode("utf-8", "replace"))
     if size < SHORT:
