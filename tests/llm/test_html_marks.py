@@ -34,7 +34,7 @@ def test_languages_without_stop_words():
 def test_inline_parts_that_are_out_leave_no_text():
     inside = "Text. <span class='advert'>BUY NOW</span> and <button>CLICK</button>more <select><option>ONE<option>TWO</select>"
     assert main_text(f"<article><p>{inside}</p></article>") == "Text. and more"
-    assert main_text("<article><p>a<span class=ad><p>no</p></span></p><p>b</p></article>") == "a\nb"
+    assert main_text("<article><div>a<span class=ad><p>no</p></span></div><p>b</p></article>") == "a\nb"
     assert main_text("<article><p><label>Name</label></p><p>b</p></article>") == "b"
 
 
