@@ -13,7 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAINING_ROWS = 100_000
+# Labelled urls that train the trees, on average at most; and of each class, if it has them, at least.
+TRAINING_ROWS, LEAST_ROWS = 100_000, 100
 TREES, DEPTH = 20, 4
 FEATURES = (
     "f_length",
@@ -106,6 +107,7 @@ def url_verdicts(
         pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
         .withColumns({"host": host_of(url), "path": path_of(url)})
         .withColumns({"rule": rule, "said": said, "blocked": (said == "block").cast("double")})
+        .withColumn("place", F.monotonically_increasing_id())
         .withColumns(_lexical(url, F.col("host"), F.col("path")))
     )
     labelled = judged.where("said IS NOT NULL")
@@ -114,16 +116,20 @@ def url_verdicts(
         scored = judged.withColumn("score", F.lit(float(total > 0 and blocked == total)))
     else:
         rate = blocked / total
-        suffixes = labelled.groupBy("suffix").agg(
-            ((F.sum("blocked") + rate) / (F.count("*") + 1)).alias("f_suffix_rate"),
-            (F.count("*") / F.lit(float(total))).alias("f_suffix_share"),
+        suffixes = labelled.groupBy("suffix").agg(F.sum("blocked").alias("s_blocked"), F.count("*").alias("s_count"))
+        # A labelled url's own label has no part in the rate of its suffix.
+        own = F.coalesce("blocked", F.lit(0.0)), F.when(F.col("said").isNotNull(), 1).otherwise(0)
+        rows = (
+            judged.join(suffixes, "suffix", "left")
+            .fillna({"s_blocked": 0.0, "s_count": 0})
+            .withColumn("f_suffix_rate", (F.col("s_blocked") - own[0] + rate) / (F.col("s_count") - own[1] + 1))
+            .withColumn("f_suffix_share", F.col("s_count") / F.lit(float(total)))
         )
-        rows = judged.join(suffixes, "suffix", "left").fillna({"f_suffix_rate": rate, "f_suffix_share": 0.0})
         rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-        share = min(1.0, training_rows / total)
-        sample = rows.where("said IS NOT NULL").where(
-            F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < int(share * (1 << 30))
-        )
+        # The place in the input deals repeated rows; a rare class has some rows in any case.
+        drawn = F.pmod(F.xxhash64("page_id", "url", "place"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        shares = [min(1.0, max(training_rows / total, LEAST_ROWS / of)) for of in (blocked, total - blocked)]
+        sample = rows.where("said IS NOT NULL").where(drawn < F.when(F.col("blocked") == 1, shares[0]).otherwise(shares[1]))
         trees = GBTClassifier(labelCol="blocked", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=7)
         scored = trees.fit(sample).transform(rows).withColumn("score", vector_to_array("probability")[1])
     return scored.select(
