@@ -109,6 +109,7 @@ def pack_best_fit(
             cluster.alias("cluster"),
             size.alias("size"),
             pieces.alias("pieces"),
+            F.monotonically_increasing_id().alias("place"),
         )
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         .withColumn("start", F.col("piece") * F.lit(capacity).cast("long"))
@@ -120,7 +121,8 @@ def pack_best_fit(
             "piece",
             "start",
             F.least(F.lit(capacity), F.col("size") - F.col("start")).cast("long").alias("length"),
-            F.pmod(F.xxhash64("id", "cluster", "piece"), F.lit(windows)).alias("window"),
+            # The place in the input deals repeated rows over all windows.
+            F.pmod(F.xxhash64("id", "cluster", "piece", "place"), F.lit(windows)).alias("window"),
         )
     )
     kind = dict(rows.dtypes)["id"]
