@@ -45,10 +45,9 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.col(id_col).alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            F.coalesce(
-                F.md5(text.cast("binary")), F.concat(F.lit("null "), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-            ).alias("grp"),
-        )
+            F.md5(text.cast("binary")).alias("grp"),
+            F.monotonically_increasing_id().alias("place"),
+        ).withColumn("grp", F.coalesce("grp", F.concat(F.lit("null "), F.col("place").cast("string"))))
     )
     groups = cut(rows.groupBy("grp").agg(F.sum("size").alias("size")))
     total = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -67,11 +66,12 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.join(groups.where(large).select("grp", F.lit(True).alias("alone")).hint("broadcast"), "grp", "left")
         .withColumn("unit", F.when(F.col("alone"), F.col("grp")).otherwise(parcel))
         .join(F.broadcast(named), "unit")
-        .select("doc_id", "size", "text_crc32", "shard")
+        .select("doc_id", "size", "text_crc32", "shard", "place")
     )
     ordered = cut(
-        placed.repartitionByRange("shard", "doc_id", "text_crc32")
-        .sortWithinPartitions("shard", "doc_id", "text_crc32")
+        # The place in the input parts rows that are equal, so that a range of them is no bigger than others.
+        placed.repartitionByRange("shard", "doc_id", "text_crc32", "place")
+        .sortWithinPartitions("shard", "doc_id", "text_crc32", "place")
         .withColumn("part", F.spark_partition_id())
         .withColumn("row", F.monotonically_increasing_id())
     )
