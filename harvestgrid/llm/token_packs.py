@@ -8,6 +8,7 @@ Each task packs windows of its own documents, so nothing is shuffled and memory
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ WINDOW_TOKENS = 4_000_000
 REMEMBERED = 300_000
 # The split pattern of the byte-level vocabularies, and their free id, which ends a document.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_RUN = re.compile(r"\s\s")
 END = 50_256
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SCHEMA = (
@@ -43,7 +45,7 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Ids as 16-bit values, little end first."""
-        if "  " in text:  # runs of spaces are split by the pattern in their own way
+        if _RUN.search(text):  # runs of white space are split by the pattern in their own way
             return self._encode(text)
         first, *rest = text.split(" ")
         known, out = self.known, [self._encode(first)]

@@ -1,0 +1,82 @@
+"""Repeated, null and equal rows, and mixed white space."""
+
+import base64
+import collections
+
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from harvestgrid.llm.packing import pack_best_fit
+from harvestgrid.llm.sharding import shard_documents
+from harvestgrid.llm.token_packs import DEFAULT_VOCABULARY, PATTERN, Encoder
+from harvestgrid.llm.url_filter import url_verdicts
+
+PAGES, DOCS = "page_id long, url string", "doc_id long, text string, source string"
+
+
+def test_equal_urls_train_too(spark):
+    rows = [(1, "http://a.com/x")] * 2000 + [(2, "http://b.net/es/1")] * 2 + [(3, "http://c.org/q")]
+    got = url_verdicts(spark.createDataFrame(rows, PAGES).repartition(3), training_rows=100).collect()
+    assert collections.Counter((r["page_id"], r["verdict"]) for r in got if r["page_id"] < 3) == {(1, "allow"): 2000, (2, "block"): 2}
+
+
+def test_trees_agree_with_rules_on_urls_left_out(spark, tables):
+    pages = tables("pages")
+    judged = url_verdicts(pages, training_rows=100)
+    known = judged.where("rule IS NOT NULL").withColumn("hit", ((F.col("score") >= 0.5) == (F.col("verdict") == "block")).cast("int"))
+    share = known.agg(F.avg("hit"), F.count("*")).first()
+    common = known.groupBy("verdict").count().agg(F.max("count")).first()[0] / share[1]
+    assert share[0] >= max(0.9, common)
+
+
+@pytest.mark.parametrize("row", [(1, "one text", "s"), (None, None, None), (None, "", "s")])
+def test_equal_documents_do_not_share_a_window(spark, row):
+    docs = spark.createDataFrame([row] * 20_000, DOCS).repartition(4)
+    got = pack_best_fit(docs, window=100)
+    assert got.count() == 20_000
+    # A bin's name begins with its window; windows hold some hundred rows each.
+    sizes = [r["count"] for r in got.groupBy(F.substring_index("bin", "-", 1)).count().collect()]
+    assert max(sizes) < 250
+
+
+def test_rows_without_a_text_are_spread_over_shards(spark):
+    docs = spark.createDataFrame([(None, None, None)] * 1000 + [(k, "word", "s") for k in range(40)], DOCS).repartition(4)
+    got = shard_documents(docs).collect()
+    loads = collections.Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    assert len(got) == 1040 and max(loads.values()) - min(loads.values()) <= 200
+    for shard in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_equal_documents_have_gapless_slots(spark):
+    got = shard_documents(spark.createDataFrame([(5, "same", "s")] * 20_000, DOCS).repartition(4))
+    assert got.select("shard").distinct().count() == 1
+    assert sorted(r["slot"] for r in got.collect()) == list(range(20_000))
+
+
+@pytest.fixture(scope="module")
+def encoders():
+    with open(DEFAULT_VOCABULARY, "rb") as file:
+        vocabulary = file.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    return Encoder(vocabulary), tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1'.,s \t\n\r\xa0  　é日", max_size=40))
+def test_ids_are_the_tokenizers_own(encoders, text):
+    ours, plain = encoders
+    ids = plain.encode_ordinary(text)
+    assert ours.ids(text) == b"".join(i.to_bytes(2, "little") for i in ids)
+
+
+def test_a_known_case_of_mixed_white_space(encoders):
+    ours, plain = encoders
+    text = "b ab \xa0 \xa0"
+    assert ours.ids(text) == b"".join(i.to_bytes(2, "little") for i in plain.encode_ordinary(text))
