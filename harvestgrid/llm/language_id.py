@@ -40,7 +40,8 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
 def four_grams(text: str | None) -> np.ndarray:
     """Packed four-grams (16 bits a character) of the lower-cased letters of a text.
 
-    Each run of other characters counts as one space, at both ends too. No letter, no grams.
+    Each run of other characters counts as one space, at both ends too. No letter, no grams. Letters beyond U+FFFF
+    share the keys of U+8000 to U+FFFF with others.
     """
     if not text:
         return np.empty(0, np.uint64)
@@ -278,12 +279,15 @@ def _verdicts(languages: list[str]):
 
 
 def _joined_scores(rows: DataFrame, tables: DataFrame, languages: list[str]) -> DataFrame:
-    """What ``_scores`` gives, with the model as joined tables: no part of it is held by one process."""
+    """What ``_scores`` gives, with the model as joined tables: no part of it is held by one process.
+
+    Values are single precision and sums of a text double, as in the arrays, so both ways give the same.
+    """
     held = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     grams = cut(held.mapInArrow(_row_grams, "row long, gram long, n long"))
     # One row for each gram, with what each language that has it says.
     by_language = tables.groupBy("kind", "ord", "gram").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", "value"))).alias("says")
+        F.map_from_entries(F.collect_list(F.struct("lang", F.col("value").cast("float").alias("value")))).alias("says")
     )
     by_language = cut(by_language)
     priced = grams.select("gram").distinct()
@@ -315,11 +319,12 @@ def _joined_scores(rows: DataFrame, tables: DataFrame, languages: list[str]) ->
 
 def _backed_off(says, lang: str):
     """Log probability of a gram: that of the longest ending the language knows, with the weights of the contexts above it."""
-    value = F.coalesce(says("b0", lang), F.lit(0.0))
+    none = F.lit(0.0).cast("float")
+    value = F.coalesce(says("b0", lang), none)
     for order in range(1, ORDER + 1):
-        weight = F.coalesce(says(f"b{order - 1}", lang), F.lit(0.0)) if order > 1 else F.lit(0.0)
+        weight = F.coalesce(says(f"b{order - 1}", lang), none) if order > 1 else none
         value = F.coalesce(says(f"p{order}", lang), value + weight)
-    return value
+    return value.cast("double")
 
 
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -58,3 +58,46 @@ SELECT * FROM (
     FROM apart
 ) WHERE rank <= 200
 """
+
+# Sets of five-word shingles compared wherever two share one; classes by closure over the links.
+SQL["op9_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(
+        CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' ')) END
+    ) AS s
+    FROM words
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+links AS (
+    SELECT x, y FROM common c JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+    WHERE c.n::DOUBLE / (p.n + q.n - c.n) >= 0.8
+),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, (SELECT min(y) FROM reach WHERE x = d.doc_id) AS class_id, (SELECT count(*) FROM links WHERE x = d.doc_id) AS n_links
+FROM documents d
+"""
+
+SQL["op10_embedding_join"] = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+      AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y
+    FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE x = e.vec_id) AS n_links, (SELECT min(y) FROM reach WHERE x = e.vec_id) AS component_id,
+    e.vec_id = (SELECT min(y) FROM reach WHERE x = e.vec_id) AS kept
+FROM embeddings e
+"""

@@ -31,4 +31,4 @@ def test_joined_model_equals_broadcast_model(spark, tables, monkeypatch):
     assert len(got) == len(want) == docs.count()
     for a, b in zip(got, want, strict=True):
         assert (a[0], a[1], a[2], a[4], a[6]) == (b[0], b[1], b[2], b[4], b[6])
-        assert a[3] == pytest.approx(b[3], abs=1e-3) and a[5] == pytest.approx(b[5], abs=1e-4)
+        assert a[3] == pytest.approx(b[3], abs=1e-9) and a[5] == pytest.approx(b[5], abs=1e-9)
