@@ -28,18 +28,14 @@ HELD = 400_000
 
 
 def _count(batches):
-    """Counts per language, source and term, and the texts that hold the term; a row without a term for each group."""
+    """Uses per language, source and term, and the texts that hold the term."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def rows():
         langs, sources, terms, uses, texts = [], [], [], [], []
         for (lang, source), (total, holding) in held.items():
-            size = len(total) + 1
-            langs.extend([lang] * size)
-            sources.extend([source] * size)
-            terms.append(None)
-            uses.append(0)
-            texts.append(0)
+            langs.extend([lang] * len(total))
+            sources.extend([source] * len(total))
             terms.extend(total)
             uses.extend(total.values())
             texts.extend(holding[term] for term in total)
@@ -125,7 +121,7 @@ def _pairs(kept: DataFrame, groups: DataFrame, group_block: int, term_block: int
     sized = groups.select(
         "lang", "source", "total", "size", group_blocks.alias("group_blocks"), term_blocks.alias("term_blocks")
     ).withColumn("block", F.pmod(F.xxhash64("source"), F.col("group_blocks")).cast("int"))
-    slices = kept.join(sized, ["lang", "source"]).select(
+    slices = kept.drop("uses", "first").join(sized, ["lang", "source"]).select(
         "lang",
         "source",
         "term",
@@ -200,34 +196,24 @@ def source_divergence(
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.col(text_col).cast("binary").alias("text"),
     )
-    counts = cut(
+    by_term = Window.partitionBy("lang", "term")
+    first = F.row_number().over(by_term.orderBy("source")) == 1
+    kept = cut(
         rows.mapInArrow(_count, "lang string, source string, term binary, n long, docs long")
         .groupBy("lang", "source", "term")
         .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    )
-    used = counts.where(F.col("term").isNotNull())
-    terms = cut(
-        used.groupBy("lang", "term")
-        .agg(F.sum("n").alias("uses"), F.sum("docs").alias("docs"))
+        .withColumns({"uses": F.sum("n").over(by_term), "docs": F.sum("docs").over(by_term), "first": first})
         .where(F.col("docs") >= least_docs)
         .drop("docs")
     )
-    kept = cut(used.drop("docs").join(terms, ["lang", "term"]))
-    sizes = terms.groupBy("lang").agg(F.count("*").alias("size"), F.sum("uses").alias("lang_total"))
     # A row per group, and per language.
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    named = counts.where(F.col("term").isNull()).select("lang", "source").join(totals, ["lang", "source"], "left")
-    per_lang = named.groupBy("lang").agg(F.count("*").alias("sources")).join(sizes, "lang", "left")
-    groups = cut(
-        named.join(per_lang, "lang").select(
-            "lang",
-            "source",
-            "sources",
-            F.coalesce("total", F.lit(0)).alias("total"),
-            F.coalesce("size", F.lit(0)).alias("size"),
-            F.coalesce("lang_total", F.lit(0)).alias("lang_total"),
-        )
+    named = rows.select("lang", "source").distinct()
+    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("first").alias("size"))
+    counted = named.join(totals, ["lang", "source"], "left").na.fill(0, ["total", "size"])
+    per_lang = counted.groupBy("lang").agg(
+        F.count("*").alias("sources"), F.sum("size").alias("size"), F.sum("total").alias("lang_total")
     )
+    groups = cut(counted.drop("size").join(per_lang, "lang"))
     pairs = _pairs(kept, groups, group_block, term_block)
     by_group = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(by_group)).withColumn("part", F.lit("pair"))
