@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvestgrid.llm.tables import plain_name
+from harvestgrid.llm.tables import cut, plain_name
 
 # Labelled rows per class that the lexicon is learned from, at most; distinct ones, the lowest by hash.
 TRAINING_ROWS = 10_000
@@ -147,21 +147,23 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, sizes: tuple[int, int]) -> np
     return np.log((toxic + 0.5) / (sizes[0] + 1)) - np.log((clean + 0.5) / (sizes[1] + 1))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trains: Column) -> DataFrame:
-    """Text, label and a print of each row that may train; of several labels of an id the greatest counts."""
+def _sample(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trains: Column, bound: int
+) -> tuple[DataFrame, tuple[int, int], tuple[float, float]]:
+    """Distinct labelled rows (text, toxic), at most ``bound`` of a class; how many (toxic, clean), and how many each stands for.
+
+    Labels meet prints of the rows, not texts. Of several labels of an id the greatest counts.
+    """
     marks = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
         .where(F.col("_id").isNotNull() & F.col("toxic").isin(0, 1))
         .groupBy("_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    rows = docs.where(trains).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return rows.join(marks, "_id").select("text", "toxic", F.xxhash64("_id", "text").alias("print"))
-
-
-def _sample(labelled: DataFrame, bound: int) -> tuple[DataFrame, tuple[int, int], tuple[float, float]]:
-    """Distinct labelled rows, at most ``bound`` of a class; how many they are (toxic, clean), and how many each one stands for."""
-    prints = labelled.select("toxic", "print").distinct()
+    rows = docs.where(trains).select(
+        F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("print")
+    )
+    prints = cut(rows.select("_id", "print").distinct().join(marks, "_id").select("toxic", "print"))
     every = {r["toxic"]: r["count"] for r in prints.groupBy("toxic").count().collect()}
     chosen, sizes, stands = F.lit(False), [], []
     for label in (1, 0):
@@ -174,8 +176,9 @@ def _sample(labelled: DataFrame, bound: int) -> tuple[DataFrame, tuple[int, int]
         chosen = chosen | mine
         sizes.append(taken)
         stands.append(every.get(label, 0) / taken if taken else 0.0)
-    drawn = labelled.where(chosen).dropDuplicates(["toxic", "print"]).select("text", "toxic")
-    return drawn, (sizes[0], sizes[1]), (stands[0], stands[1])
+    # At most ``bound`` prints of a class are broadcast, and as many texts are kept.
+    drawn = rows.join(F.broadcast(prints.where(chosen)), "print").groupBy("print", "toxic").agg(F.min("text").alias("text"))
+    return cut(drawn.select("text", "toxic")), (sizes[0], sizes[1]), (stands[0], stands[1])
 
 
 def _entries(sample: DataFrame, sizes: tuple[int, int]) -> dict[str, float]:
@@ -305,8 +308,7 @@ def learn_lexicon(
     ``exceptions`` are phrases inside which no entry counts; more are learned: pairs of words around an entry that stand in clean
     texts at least as often as in toxic ones. Without toxic or without clean rows the lexicon is empty.
     """
-    labelled = _labelled(docs, labels, id_col, text_col, label_col, trains)
-    sample, sizes, stands = _sample(labelled, training_rows)
+    sample, sizes, stands = _sample(docs, labels, id_col, text_col, label_col, trains, training_rows)
     start = np.log((sizes[0] * stands[0] + 0.5) / (sizes[1] * stands[1] + 0.5)) if sum(sizes) else -50.0
     if not all(sizes):
         return Lexicon({}, exceptions, (float(start), 0.0, 0.0, 0.0))
