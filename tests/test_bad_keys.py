@@ -101,8 +101,8 @@ def test_grid_reads_are_pruned(spark, tmp_path):
     grid = grids.read_grid(spark, str(tmp_path / "g"), "daily")
     box, days = Box(36.0, 36.5, 140.0, 140.5), DayRange.of("2016-04-01", "2016-06-01")
     for df, words in (
-        (grids.extract_cells(grid, "e", box, -1.0, days, kind="observed"), ("element", "kind", "year", "tile")),
-        (rows_in_cell_box(grid, box), ("tile",)),
+        (grids.extract_cells(grid, "e", box, -1.0, days, kind="observed"), ("element", "kind", "year", "block")),
+        (rows_in_cell_box(grid, box), ("block",)),
         (anomaly.both_kinds(grid, days), ("kind", "year")),
     ):
         scans = partition_filters(df)
