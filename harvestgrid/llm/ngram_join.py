@@ -2,10 +2,13 @@
 
 Documents are sets of five-word shingles. Equal sets are one class, so copies never meet each other. Each
 class gets a signature of minhash values; every tree of the forest orders the signatures by values of its
-own, and classes that share a prefix in a tree are compared. The prefix is shortened, one value at a time,
-until a pair at the threshold meets in some tree with the target probability. Prefix groups are compared
-by signature in blocks; only clearly dissimilar pairs are put aside there. What is left forms clusters,
-inside which all pairs are verified on the full shingle sets, again in blocks.
+own, and a node of a tree is a prefix that several classes share. Matching begins at the deepest prefixes and
+shortens them step by step. Classes that share a long prefix are joined at once, by an edge to the node's least
+class. A node of the shortest prefix is closed as soon as the classes below it are all in one cluster; only
+classes in open nodes go on to shorter prefixes. The shortest is the longest at which a pair at the
+threshold meets in some tree with the target probability. In nodes still open there, signatures are compared in blocks, and only
+across clusters; only clearly dissimilar pairs are put aside. Inside the clusters that come of it, all pairs are
+verified on the full shingle sets, again in blocks.
 """
 
 from __future__ import annotations
@@ -56,6 +59,12 @@ def prefix_depth(threshold: float, recall: float, trees: int = TREES, pool: int
     return 1
 
 
+def prefix_depths(threshold: float, recall: float) -> list[int]:
+    """The depths at which classes are matched, longest first; the last one reaches the target recall."""
+    last = prefix_depth(threshold, recall)
+    return sorted({DEEPEST, (DEEPEST + last) // 2, last}, reverse=True)
+
+
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(SEED)
     odd = random.integers(0, 1 << 32, POOL, dtype=np.uint32) | np.uint32(1)
@@ -107,34 +116,92 @@ def _prints(n: int):
     return run
 
 
-def _prefixes(depth: int):
+def _at(depth: int) -> str:
+    return f"at{depth}"
+
+
+def _prefixes(depths: list[int]):
+    """For each class and tree the class's prefix at each of the depths, as a hash (``at6`` and so on)."""
+
     def run(batches):
         random = np.random.default_rng(SEED + 1)
-        picks = [random.permutation(POOL)[:depth] for _ in range(TREES)]
+        picks = [random.permutation(POOL)[: max(depths)] for _ in range(TREES)]
         for batch in batches:
             reps = batch.column("rep").to_numpy()
             if not len(reps):
                 continue
             values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, POOL)
-            keys = []
+            keys: dict[int, list[np.ndarray]] = {depth: [] for depth in depths}
             for tree, pick in enumerate(picks):
                 key = np.full(len(reps), tree + 1, np.uint64)
-                for k in pick:
+                for depth, k in enumerate(pick, 1):
                     key = mix(key ^ values[:, k].astype(np.uint64)) + key
-                keys.append(key.view(np.int64))
+                    if depth in keys:
+                        keys[depth].append(key.view(np.int64))
             yield pa.record_batch(
-                [pa.array(np.tile(reps, TREES)), pa.array(np.concatenate(keys))], names=["rep", "prefix"]
+                [pa.array(np.tile(reps, TREES)), *(pa.array(np.concatenate(keys[d])) for d in depths)],
+                names=["rep", *map(_at, depths)],
             )
 
     return run
 
 
+def match_prefixes(signed: DataFrame, depths: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Match classes (``rep`` long, ``signature`` binary) by prefixes of the given depths, longest first.
+
+    Gives the classes in nodes that stay open at the last depth (prefix long, rep long, cluster long), and the
+    edges (a long, b long) found by longer prefixes. Classes that share a prefix of the last depth in some tree are either in one
+    cluster of the edges or together in an open node. Classes that meet nobody are in neither.
+    """
+    last = _at(depths[-1])
+    columns = ", ".join(f"{_at(d)} long" for d in depths)
+    prefixes = signed.mapInArrow(_prefixes(depths), f"rep long, {columns}")
+    nodes = (
+        prefixes.groupBy(last)
+        .agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("whole"))
+        .where("n > 1")
+        # Trees in which the same classes meet are taken once.
+        .groupBy("n", "first", "whole")
+        .agg(F.min(last).alias(last))
+        .select(last)
+    )
+    members = cut(prefixes.join(nodes, last).withColumn("cluster", F.col("rep")))
+    edges = members.sparkSession.createDataFrame([], "a long, b long")
+    for depth in depths[:-1]:
+        least = (
+            members.groupBy(_at(depth))
+            .agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"))
+            .where("least < most")
+            .select(_at(depth), "least")
+        )
+        found = members.join(least, _at(depth)).where("cluster > least").select("cluster", "least")
+        roots = components(found.toDF("a", "b"))
+        roots = roots.where("node <> root").select(F.col("node").alias("cluster"), "root")
+        edges = edges.union(roots)
+        members = members.join(roots, "cluster", "left").withColumn("cluster", F.coalesce("root", "cluster")).drop("root")
+        open_nodes = (
+            members.groupBy(last)
+            .agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"))
+            .where("least < most")
+            .select(last)
+        )
+        members = cut(members.join(open_nodes, last, "left_semi").drop(_at(depth)))
+    return members.withColumnRenamed(last, "prefix"), edges
+
+
 def _alike(least: float):
+    """Which signatures of a and b agree enough; payloads begin with the cluster, and one cluster's are passed over."""
+
+    def split(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        values = np.frombuffer(b"".join(payloads), np.uint32).reshape(-1, POOL + 2)
+        return values[:, :2].copy().view(np.uint64)[:, 0], values[:, 2:]
+
     def linked(a: list[bytes], b: list[bytes]) -> np.ndarray:
-        left, right = (np.frombuffer(b"".join(x), np.uint32).reshape(-1, POOL) for x in (a, b))
-        out = np.empty((len(left), len(right)), bool)
+        (clusters, left), (others, right) = split(a), split(b)
+        out = np.zeros((len(left), len(right)), bool)
         for k, row in enumerate(left):
-            out[k] = (right == row).sum(axis=1) >= least * POOL
+            apart = np.flatnonzero(others != clusters[k])
+            out[k, apart] = (right[apart] == row).sum(axis=1) >= least * POOL
         return out
 
     return linked
@@ -216,26 +283,20 @@ def ngram_jaccard_join(
         .join(classes.select("rep", "print"), ["rep", "print"])
         .select("rep", "signature")
     )
-    prefixes = signed.mapInArrow(_prefixes(prefix_depth(threshold, recall)), "rep long, prefix long")
-    groups = (
-        prefixes.groupBy("prefix")
-        .agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("whole"))
-        .where("n > 1")
-        # Trees in which the same classes meet are compared once.
-        .groupBy("n", "first", "whole")
-        .agg(F.min("prefix").alias("prefix"))
-        .select("prefix", "n")
-    )
-    met = cut(prefixes.join(groups, "prefix"))
-    alike = met.join(signed, "rep").select(
-        F.col("prefix").alias("grp"),
-        "n",
-        F.col("rep").alias("item"),
-        F.lit(1).cast("long").alias("weight"),
-        F.col("signature").alias("payload"),
+    met, edges = match_prefixes(signed, prefix_depths(threshold, recall))
+    alike = (
+        met.join(met.groupBy("prefix").agg(F.count("*").alias("n")), "prefix")
+        .join(signed, "rep")
+        .select(
+            F.col("prefix").alias("grp"),
+            "n",
+            F.col("rep").alias("item"),
+            F.lit(1).cast("long").alias("weight"),
+            F.concat(F.unhex(F.lpad(F.hex("cluster"), 16, "0")), "signature").alias("payload"),
+        )
     )
     maybe = compare_blocks(alike, _alike(threshold - SLACK), met.count(), SIGNATURE_BLOCK).where("other IS NOT NULL")
-    clusters = components(maybe.select(F.col("item").alias("a"), F.col("other").alias("b")))
+    clusters = components(edges.union(maybe.select("item", "other")))
     found = cut(
         clusters.join(clusters.groupBy("root").agg(F.count("*").alias("n")), "root")
         .join(classes.withColumnRenamed("rep", "node"), "node")

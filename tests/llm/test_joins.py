@@ -3,7 +3,17 @@
 import numpy as np
 
 from harvestgrid.llm.embedding_join import embedding_near_duplicates, fit_index, probes
-from harvestgrid.llm.ngram_join import ngram_jaccard_join, shingle_set
+from harvestgrid.llm.ngram_join import (
+    POOL,
+    SEED,
+    TREES,
+    forest_recall,
+    match_prefixes,
+    ngram_jaccard_join,
+    prefix_depths,
+    shingle_set,
+    signature,
+)
 
 DOCS = "doc_id long, text string, class_id int, n int, print string, other string"
 
@@ -58,6 +68,32 @@ def test_many_near_copies_keep_all_links(spark):
     assert got_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == brute_documents(texts)
 
 
+def test_forest_keeps_every_shared_prefix(spark):
+    words = [f"w{k}" for k in range(150)]
+    texts = {k: " ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in range(1, 60)}
+    texts |= {100 + k: " ".join([*words[: 2 * k], *(f"v{j}" for j in range(2 * k, 150))]) for k in range(40)}
+    values = {k: signature(shingle_set(t)) for k, t in texts.items()}
+    signed = spark.createDataFrame([(k, v.tobytes()) for k, v in values.items()], "rep long, signature binary")
+    depths = prefix_depths(0.8, 0.9999)
+    assert depths == sorted(depths, reverse=True) and forest_recall(depths[-1], 0.8) >= 0.9999
+    met, edges = match_prefixes(signed, depths)
+    cluster = classes([(r["a"], r["b"]) for r in edges.collect()], texts)
+    nodes = {}
+    for r in met.collect():
+        nodes.setdefault(r["prefix"], set()).add(r["rep"])
+    together = {(a, b) for node in nodes.values() for a in node for b in node if a < b}
+    random = np.random.default_rng(SEED + 1)
+    picks = [random.permutation(POOL)[: depths[-1]] for _ in range(TREES)]
+    shared = [
+        (a, b) for a in values for b in values
+        if a < b and any((values[a][p] == values[b][p]).all() for p in picks)
+    ]
+    assert shared and all(cluster[a] == cluster[b] or (a, b) in together for a, b in shared)
+    # Longer prefixes join the near copies, so most pairs need no comparison of signatures.
+    assert sum(cluster[a] == cluster[b] for a, b in shared) > len(shared) / 2
+    assert all(len({cluster[k] for k in node}) > 1 for node in nodes.values())
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, links int, unit string"
 
 
