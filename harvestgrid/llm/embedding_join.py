@@ -1,11 +1,17 @@
 """Near-duplicate embeddings by product quantisation.
 
-Vectors of one label are searched in coarse inverted lists. A vector is stored in its nearest list as the codes
-of its residual's subspaces, and visits each further list that a neighbour within the threshold's distance
-can be in: a neighbour in another list lies behind the plane half-way between the two centres, so its
-distance to that plane bounds the search, and these probes are sufficient. In a list, table look-ups give the distance
-to the coded vectors; a code is passed over only if that distance, less the code's own error, is too large.
-The rest is decided by exact cosine in double precision.
+Vectors of one label are searched in inverted lists over subspaces. Two unit vectors within the threshold's distance
+r of each other are within r / sqrt(m) in at least one of m subspaces. A list belongs to one subspace and to a pair of coarse
+centres, one for each half of it. A vector is stored in its own list of each subspace and visits each further list that a
+neighbour can be in: such a neighbour lies behind the plane half-way between two centres of a half, so the distances to the planes
+of both halves bound the search, and these probes are sufficient. The lists grow with the rows of a label, so
+that a list's rows do not, until the sample has no more centres to give.
+
+What travels to the lists are codes: the residual of each half against its centre, as a codeword. In a
+list the distance of a vector's subspace to the coded ones is looked up in tables; what is left is held against the decoded whole vectors. A
+code is passed over only if its distance, less the codes' own errors, is too large. Whole vectors are then fetched only for entries
+with something left in their list, and exact cosine in double precision decides. A pair counts in the first subspace in which it is
+close enough to meet.
 
 The index (centres and codewords) is fitted on a bounded sample; every vector is indexed.
 """
@@ -26,6 +32,8 @@ from harvestgrid.llm.tables import cut
 SAMPLE = 20_000
 CODEWORDS = 64
 ROUNDS = 8
+# Rows that a list should have, and sample rows that a centre of a half should have.
+LIST_ROWS, CENTRE_ROWS = 256, 8
 # Rows of a block: two blocks of vectors take some megabytes, a table of their distances 32 MB.
 BLOCK = 2_048
 SEED = 20240301
@@ -35,14 +43,34 @@ MARGIN = 1e-6
 
 @dataclass
 class Index:
-    """Coarse centres (lists x size) and codewords (subspaces x words x part) of one vector size."""
+    """Of one vector size: an order of the components, the cuts of the halves, and each half's centres and codewords."""
 
-    centres: np.ndarray
-    words: np.ndarray
+    order: np.ndarray
     cuts: list[int]
+    centres: list[np.ndarray]
+    words: list[np.ndarray]
 
-    def parts(self, residual: np.ndarray) -> list[np.ndarray]:
-        return [residual[..., a:b] for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+    @property
+    def subspaces(self) -> int:
+        return len(self.centres) // 2
+
+    def half(self, x: np.ndarray, h: int) -> np.ndarray:
+        return x[:, self.order[self.cuts[h] : self.cuts[h + 1]]]
+
+    def subspace(self, x: np.ndarray, s: int) -> np.ndarray:
+        return x[:, self.order[self.cuts[2 * s] : self.cuts[2 * s + 2]]]
+
+    def code_type(self) -> np.dtype:
+        """What an entry of a list is made of; a subspace shorter than the widest is filled with zeros."""
+        widest = max(self.cuts[2 * s + 2] - self.cuts[2 * s] for s in range(self.subspaces))
+        halves = len(self.centres)
+        return np.dtype(
+            [("own", "u1"), ("subspace", "u1"), ("size", "<u4"), ("centre", "<u2", (halves,)), ("word", "u1", (halves,)),
+             ("error", "<f4"), ("part_error", "<f4"), ("part", "<f4", (widest,))]
+        )
+
+    def decode(self, h: int, centre: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return self.centres[h][centre] + self.words[h][word]
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,49 +81,67 @@ def _k_means(x: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
     centres = x[random.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(ROUNDS):
         nearest = _squared(x, centres).argmin(1)
-        for c in range(len(centres)):
-            if (own := nearest == c).any():
-                centres[c] = x[own].mean(0)
+        rows = np.bincount(nearest, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        for column in range(x.shape[1]):
+            sums[:, column] = np.bincount(nearest, x[:, column], len(centres))
+        centres[rows > 0] = sums[rows > 0] / rows[rows > 0, None]
     return centres
 
 
-def fit_index(sample: np.ndarray, lists: int, subspaces: int) -> Index:
-    """Centres and residual codewords of a sample of unit vectors."""
+def fit_index(sample: np.ndarray, lists: float, subspaces: int) -> Index:
+    """Centres of all halves, ``lists`` pairs of them a subspace, and residual codewords, of a sample of unit vectors."""
     random = np.random.default_rng(SEED)
-    centres = _k_means(sample, lists, random)
-    residual = sample - centres[_squared(sample, centres).argmin(1)]
     size = sample.shape[1]
-    cuts = [round(size * k / min(subspaces, size)) for k in range(min(subspaces, size) + 1)]
-    index = Index(centres, np.empty(0), cuts)
-    width = max(b - a for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-    words = np.zeros((len(cuts) - 1, CODEWORDS, width))
-    for k, part in enumerate(index.parts(residual)):
-        own = _k_means(part, CODEWORDS, random)
-        words[k, :, : part.shape[1]] = np.vstack([own, np.repeat(own[:1], CODEWORDS - len(own), 0)])
-    index.words = words
+    halves = 2 * max(1, min(subspaces, size // 2))
+    index = Index(random.permutation(size), [round(size * k / halves) for k in range(halves + 1)], [], [])
+    for h in range(halves):
+        part = index.half(sample, h)
+        centres = _k_means(part, max(1, round(lists**0.5)), random)
+        index.centres.append(centres)
+        index.words.append(_k_means(part - centres[_squared(part, centres).argmin(1)], CODEWORDS, random))
     return index
 
 
-def encode(index: Index, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of residuals, and how far each code's point is from its vector."""
-    codes, error = [], np.zeros(len(residual))
-    for k, part in enumerate(index.parts(residual)):
-        d = _squared(part, index.words[k, :, : part.shape[1]])
-        codes.append(d.argmin(1))
-        error += d.min(1)
-    return np.stack(codes, 1).astype(np.uint8), np.sqrt(error)
+def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest centre and codeword of each half, and each half's squared distance from what they stand for."""
+    centres, words, errors = [], [], []
+    for h, own in enumerate(index.centres):
+        part = index.half(x, h)
+        centres.append(_squared(part, own).argmin(1))
+        words.append(_squared(part - own[centres[-1]], index.words[h]).argmin(1))
+        errors.append(((part - index.decode(h, centres[-1], words[-1])) ** 2).sum(1))
+    return np.stack(centres, 1), np.stack(words, 1), np.stack(errors, 1)
 
 
-def probes(index: Index, x: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The home list of each vector, and the later lists in which a vector within the radius can be at home."""
-    d = _squared(x, index.centres)
+def _planes(centres: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre, and the least distance of a point of each centre's region."""
+    d = _squared(part, centres)
     home = d.argmin(1)
-    apart = np.sqrt(_squared(index.centres, index.centres))
+    apart = np.sqrt(_squared(centres, centres))
     with np.errstate(divide="ignore", invalid="ignore"):
-        plane = (d - d[np.arange(len(x)), home][:, None]) / (2 * apart[home])
-    near = plane <= radius + MARGIN
-    later = np.arange(len(index.centres))[None, :] > home[:, None]
-    return home, [np.flatnonzero(row) for row in near & later]
+        plane = (d - d[np.arange(len(part)), home][:, None]) / (2 * apart[home])
+    plane[np.arange(len(part)), home] = 0
+    return home, np.nan_to_num(plane, nan=0.0, posinf=0.0)
+
+
+def probes(index: Index, x: np.ndarray, s: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home list of each vector in a subspace; and (vector, list) for each later list in which one within the radius can be at home."""
+    first, second = index.centres[2 * s], index.centres[2 * s + 1]
+    home_a, a = _planes(first, index.half(x, 2 * s))
+    home_b, b = _planes(second, index.half(x, 2 * s + 1))
+    home = home_a * len(second) + home_b
+    reach = radius + MARGIN
+    row_a, at_a = np.nonzero(a <= reach)
+    row_b, at_b = np.nonzero(b <= reach)
+    of_row = np.bincount(row_b, minlength=len(x))
+    times = of_row[row_a]
+    left = np.repeat(np.arange(len(row_a)), times)
+    right = (np.cumsum(of_row) - of_row)[row_a[left]] + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+    row, cell = row_a[left], at_a[left] * len(second) + at_b[right]
+    near = a[row, at_a[left]] ** 2 + b[row, at_b[right]] ** 2 <= reach**2
+    near &= cell > home[row]
+    return home, row[near], cell[near]
 
 
 def unit_rows(vectors: list[bytes], kind: type) -> np.ndarray:
@@ -127,69 +173,112 @@ def _units(kind: type):
 
 def _dealt(fitted, radius: float, kind: type):
     width = np.dtype(kind).itemsize
+    names = ["rep", "label", "size", "subspace", "cell", "code"]
+
+    def entries(index: Index, reps: np.ndarray, labels: pa.Array, x: np.ndarray):
+        centre, word, errors = encode(index, x)
+        for s in range(index.subspaces):
+            home, row, cell = probes(index, x, s, radius / np.sqrt(index.subspaces))
+            rows, cells = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell])
+            codes = np.zeros(len(rows), index.code_type())
+            codes["own"][: len(x)] = 1
+            codes["subspace"], codes["size"] = s, x.shape[1]
+            codes["centre"], codes["word"] = centre[rows], word[rows]
+            codes["error"] = np.sqrt(errors.sum(1))[rows]
+            codes["part_error"] = np.sqrt(errors[:, 2 * s : 2 * s + 2].sum(1))[rows]
+            part = index.subspace(x, s)
+            codes["part"][:, : part.shape[1]] = part[rows]
+            data = pa.FixedSizeBinaryArray.from_buffers(
+                pa.binary(codes.itemsize), len(codes), [None, pa.py_buffer(codes.tobytes())]
+            )
+            yield pa.record_batch(
+                [
+                    pa.array(reps[rows]),
+                    labels.take(pa.array(rows)),
+                    pa.array(np.full(len(rows), x.shape[1], np.int32)),
+                    pa.array(np.full(len(rows), s, np.int32)),
+                    pa.array(cells.astype(np.int32)),
+                    data.cast(pa.binary()),
+                ],
+                names=names,
+            )
 
     def run(batches):
         for batch in batches:
-            out: list[tuple] = []
             raws = batch.column("raw").to_pylist()
             sizes = np.array([len(r) for r in raws])
             for size, index in fitted.value.items():
                 rows = np.flatnonzero(sizes == width * size)
-                if not len(rows):
-                    continue
-                x = unit_rows([raws[k] for k in rows], kind)
-                home, visits = probes(index, x, radius)
-                codes, error = encode(index, x - index.centres[home])
-                for k, row in enumerate(rows):
-                    head = np.array([home[k], error[k]], np.float64).tobytes()
-                    own = b"\1" + head + codes[k].tobytes() + raws[row]
-                    out.append((int(row), size, int(home[k]), own))
-                    out.extend((int(row), size, int(c), b"\0" + raws[row]) for c in visits[k])
-            at, size, cell, payload = zip(*out, strict=True) if out else ((), (), (), ())
-            kept = batch.select(["rep", "label", "weight"]).take(pa.array(at, pa.int64()))
-            yield pa.record_batch(
-                [*kept.columns, pa.array(size, pa.int32()), pa.array(cell, pa.int32()), pa.array(payload, pa.binary())],
-                names=["rep", "label", "weight", "size", "cell", "payload"],
-            )
+                if len(rows):
+                    some = batch.take(pa.array(rows))
+                    x = unit_rows([raws[k] for k in rows], kind)
+                    yield from entries(index, some.column("rep").to_numpy(), some.column("label"), x)
 
     return run
 
 
-def _close(fitted, radius: float, threshold: float, kind: type):
-    """Links of a list's stored vectors with each other and with visitors; visitors never meet each other."""
-    item = np.dtype(kind).itemsize
+def _about(fitted, radius: float):
+    """Entries of a list that their codes do not keep apart; visitors never meet each other."""
 
     def linked(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        index = fitted.value[int.from_bytes(a[0][2:6], "little")]
+        queries, stored = (np.frombuffer(b"".join(side), index.code_type()) for side in (a, b))
         out = np.zeros((len(a), len(b)), bool)
-        for queries, stored, turned in ((a, b, False), (b, a, True)):
-            own = [k for k, p in enumerate(stored) if p[0]]
-            if not own:
+        s = int(queries["subspace"][0])
+        near = radius / np.sqrt(index.subspaces) + MARGIN
+        for one, two, turned in ((queries, stored, False), (stored, queries, True))[: 1 if a is b else 2]:
+            own = np.flatnonzero(two["own"])
+            if not len(own):
+                continue
+            kept = two[own]
+            about = np.zeros((len(one), len(own)), np.float32)
+            at = 0
+            for h in (2 * s, 2 * s + 1):
+                # Codes that occur among the stored ones, and the distance of each vector's half to them.
+                pairs, code = np.unique(kept["centre"][:, h].astype(np.int64) * 256 + kept["word"][:, h], return_inverse=True)
+                points = index.decode(h, pairs // 256, pairs % 256)
+                half = one["part"][:, at : at + points.shape[1]].astype(np.float64)
+                about += _squared(half, points).astype(np.float32)[:, code]
+                at += points.shape[1]
+            row, column = np.nonzero(about <= (near + kept["part_error"]) ** 2)
+            if not len(row):
                 continue
-            home, error = np.frombuffer(b"".join(stored[k][1:17] for k in own), np.float64).reshape(-1, 2).T
-            index = _index_of(fitted.value, stored[own[0]], item)
-            width, size = len(index.cuts) - 1, index.centres.shape[1]
-            codes = np.frombuffer(b"".join(stored[k][17 : 17 + width] for k in own), np.uint8).reshape(-1, width)
-            kept = unit_rows([stored[k][17 + width :] for k in own], kind)
-            asked = unit_rows([q[-item * size :] for q in queries], kind)
-            parts = index.parts(asked - index.centres[int(home[0])])
-            about = np.zeros((len(asked), len(own)))
-            for k, part in enumerate(parts):
-                table = _squared(part, index.words[k, :, : part.shape[1]])
-                about += table[:, codes[:, k]]
-            row, column = np.nonzero(np.sqrt(about) <= radius + error[None, :] + MARGIN)
-            exact = np.einsum("ij,ij->i", asked[row], kept[column]) >= threshold
-            row, column = row[exact], np.array(own)[column[exact]]
+            whole = np.zeros(len(row))
+            for h in range(len(index.centres)):
+                x = index.decode(h, one["centre"][:, h], one["word"][:, h])
+                y = index.decode(h, kept["centre"][:, h], kept["word"][:, h])
+                whole += ((x[row] - y[column]) ** 2).sum(1)
+            close = np.sqrt(whole) <= radius + one["error"][row].astype(np.float64) + kept["error"][column] + MARGIN
+            row, column = row[close], own[column[close]]
             out[(column, row) if turned else (row, column)] = True
-        return out
+        return out | out.T if a is b else out
 
     return linked
 
 
-def _index_of(fitted: dict[int, Index], stored: bytes, item: int) -> Index:
-    for size, index in fitted.items():
-        if len(stored) == 17 + len(index.cuts) - 1 + item * size:
-            return index
-    raise ValueError("a stored vector of a size without an index")
+def _close(fitted, radius: float, threshold: float, kind: type):
+    """Links by exact cosine of a list's stored vectors with each other and with visitors, in their first subspace alone."""
+    item = np.dtype(kind).itemsize
+
+    def linked(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        index = fitted.value[(len(a[0]) - 2) // item]
+        (x, x_own), (y, y_own) = (
+            (unit_rows([p[2:] for p in side], kind), np.array([p[0] for p in side], bool)) for side in (a, b)
+        )
+        row, column = np.nonzero((x @ y.T >= threshold - MARGIN) & (x_own[:, None] | y_own[None, :]))
+        out = np.zeros((len(a), len(b)), bool)
+        least = radius**2 / index.subspaces * (1 + 1e-9) + 1e-12
+        for at in range(0, len(row), BLOCK * 8):
+            r, c = row[at : at + BLOCK * 8], column[at : at + BLOCK * 8]
+            left, right = x[r], y[c]
+            exact = np.einsum("ij,ij->i", left, right) >= threshold
+            apart = (left - right) ** 2
+            meets = np.stack([index.subspace(apart, s).sum(1) <= least for s in range(index.subspaces)], 1)
+            exact &= meets.argmax(1) == a[0][1]
+            out[r[exact], c[exact]] = True
+        return out
+
+    return linked
 
 
 def embedding_near_duplicates(
@@ -228,25 +317,46 @@ def embedding_near_duplicates(
     single = cut(
         units.withColumnRenamed("id", "rep").join(classes.select("rep", "weight"), "rep").drop("print")
     )
-    total = single.count()
+    # Rows of the largest label: lists are kept apart by label, so that one decides how many there should be.
+    largest = single.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     some = single.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("raw").toArrow().column("raw").to_pylist()
     fitted: dict[int, Index] = {}
     for size in sorted({len(u) for u in some}):
         x = unit_rows([u for u in some if len(u) == size], kind)
-        lists = max(1, min(len(x) // 32, int(np.sqrt(total) / 2)))
+        lists = min(largest / LIST_ROWS, (len(x) / CENTRE_ROWS) ** 2)
         fitted[size // width] = fit_index(x, lists, subspaces)
     for (size,) in single.select(F.length("raw").alias("size")).distinct().collect():
         if size // width not in fitted:  # a size that the sample missed: one list, coded without a fit
-            fitted[size // width] = fit_index(np.zeros((1, size // width)), 1, subspaces)
+            fitted[size // width] = fit_index(np.zeros((1, size // width)), 1.0, subspaces)
     shared = single.sparkSession.sparkContext.broadcast(fitted)
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    named = "rep long, label string, size int, subspace int, cell int, code binary"
     dealt = cut(
-        single.mapInArrow(
-            _dealt(shared, radius, kind), "rep long, label string, weight long, size int, cell int, payload binary"
-        ).select(F.xxhash64("label", "size", "cell").alias("grp"), F.col("rep").alias("item"), "weight", "payload")
+        single.mapInArrow(_dealt(shared, radius, kind), named).select(
+            F.monotonically_increasing_id().alias("entry"),
+            F.xxhash64("label", "size", "subspace", "cell").alias("grp"),
+            "rep",
+            "code",
+        )
+    )
+    sizes = dealt.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.substring("code", 1, 1) == F.lit(b"\x01")).alias("held"))
+    members = dealt.join(sizes.where("n > 1 AND held").select("grp", "n"), "grp").select(
+        "grp",
+        "n",
+        F.col("entry").alias("item"),
+        F.lit(1).cast("long").alias("weight"),
+        F.col("code").alias("payload"),
+    )
+    maybe = compare_blocks(members, _about(shared, radius), dealt.count(), BLOCK).where("other IS NULL")
+    left = maybe.select(F.col("item").alias("entry")).distinct()
+    fetched = cut(
+        dealt.join(left, "entry")
+        .select("grp", "rep", F.substring("code", 1, 2).alias("head"))
+        .join(single.select("rep", "weight", "raw"), "rep")
+        .select("grp", F.col("rep").alias("item"), "weight", F.concat("head", "raw").alias("payload"))
     )
-    members = dealt.join(dealt.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "grp")
-    links = cut(compare_blocks(members, _close(shared, radius, threshold, kind), dealt.count(), BLOCK))
+    members = fetched.join(fetched.groupBy("grp").agg(F.count("*").alias("n")), "grp")
+    links = cut(compare_blocks(members, _close(shared, radius, threshold, kind), fetched.count(), BLOCK))
     joined = components(links.where("other IS NOT NULL").select(F.col("item").alias("a"), F.col("other").alias("b")))
     others = links.where("other IS NULL").groupBy("item").agg(F.sum("links").alias("others"))
     by_class = (

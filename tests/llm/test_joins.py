@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from harvestgrid.llm.embedding_join import embedding_near_duplicates, fit_index, probes
+from harvestgrid.llm.embedding_join import embedding_near_duplicates, encode, fit_index, probes
 from harvestgrid.llm.ngram_join import (
     POOL,
     SEED,
@@ -144,9 +144,30 @@ def test_probes_suffice():
     random = np.random.default_rng(5)
     x = random.normal(size=(400, 8))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    index = fit_index(x, 12, 4)
-    home, later = probes(index, x, 0.2)
-    near = np.linalg.norm(x[:, None] - x[None], axis=2) <= 0.2
-    for a, b in zip(*np.nonzero(near), strict=True):
-        if home[a] < home[b]:
-            assert home[b] in later[a]
+    index = fit_index(x, 16.0, 2)
+    assert index.subspaces == 2 and [len(c) for c in index.centres] == [4] * 4
+    met = 0
+    for s in range(2):
+        home, row, cell = probes(index, x, s, 0.2)
+        visits = set(zip(row.tolist(), cell.tolist(), strict=True))
+        part = index.subspace(x, s)
+        near = np.linalg.norm(part[:, None] - part[None], axis=2) <= 0.2
+        for a, b in zip(*np.nonzero(near), strict=True):
+            if home[a] < home[b]:
+                met += 1
+                assert (a, home[b]) in visits
+        assert all(cell > home[row])
+    assert met > 100
+
+
+def test_codes_know_their_error():
+    random = np.random.default_rng(6)
+    x = random.normal(size=(300, 10))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = fit_index(x, 4.0, 8)
+    centre, word, errors = encode(index, x)
+    for h in range(len(index.centres)):
+        gone = ((index.half(x, h) - index.decode(h, centre[:, h], word[:, h])) ** 2).sum(1)
+        assert np.allclose(gone, errors[:, h])
+    back = np.concatenate([index.half(x, h) for h in range(len(index.centres))], axis=1)
+    assert sorted(index.order.tolist()) == list(range(10)) and np.allclose(back, x[:, index.order])
