@@ -142,7 +142,7 @@ def test_odd_vectors(spark):
 
 def test_probes_suffice():
     random = np.random.default_rng(5)
-    x = random.normal(size=(400, 8))
+    x = random.normal(size=(800, 8))
     x /= np.linalg.norm(x, axis=1)[:, None]
     index = fit_index(x, 16.0, 2)
     assert index.subspaces == 2 and [len(c) for c in index.centres] == [4] * 4
