@@ -108,11 +108,28 @@ def compare_blocks(
     return dealt.groupBy("job").applyInArrow(job, FOUND)
 
 
+# A node with more edges than this, and than a part in SHARE of all, is heavy; so there are at most 2 * SHARE heavy nodes.
+HEAVY, SHARE = 64, 5000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, bound: int) -> DataFrame:
+    """The rows (u, v) with ``m`` of their node u from ``least`` (u, m, n); no task holds one heavy node's rows.
+
+    Nodes with more than ``bound`` rows are looked up by broadcast and their rows dealt by v; the others meet by u.
+    """
+    heavy = F.broadcast(least.where(F.col("n") > bound).select("u", F.col("m").alias("_m")))
+    light = least.where(F.col("n") <= bound).select(F.col("u").alias("_u"), F.lit(True).alias("_by_u"), "m")
+    dealt = rows.join(heavy, "u", "left").withColumn("_by_u", F.col("_m").isNull())
+    dealt = dealt.withColumn("_u", F.when(F.col("_by_u"), F.col("u")).otherwise(F.xxhash64("v")))
+    return dealt.join(light, ["_u", "_by_u"], "left").select("u", "v", F.coalesce("_m", "m").alias("m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node that each node of ``edges`` (a long, b long, a <> b) reaches: (node, root).
 
     Alternates large-star and small-star steps until the edges no longer change; each step is joins and
-    aggregates, and its edges go to the shared folder. Nodes without an edge are not in the result.
+    aggregates, and its edges go to the shared folder. The centre of a large star is one of at most 2 * SHARE heavy nodes,
+    whose edges are spread over the tasks. Nodes without an edge are not in the result.
     """
     pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
@@ -123,11 +140,12 @@ def components(edges: DataFrame) -> DataFrame:
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         seen = state
+        bound = max(HEAVY, state[0] // SHARE)
         both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("v > u"), least, bound).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, bound).select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
         )
         pairs = cut(small.distinct())

@@ -77,3 +77,12 @@ def test_components_of_a_chain_a_star_and_nothing(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_with_heavy_nodes(spark):
+    # Stars whose centre is the least, the greatest and a middle node, each with more edges than HEAVY, and a bridge.
+    edges = [(0, k) for k in range(1, 300)] + [(999, k) for k in range(500, 700)] + [(1500, k) for k in range(1400, 1600) if k != 1500]
+    edges += [(-5, k) for k in range(1450, 1550)] + [(299, 699)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    low, high = [*range(300), *range(500, 700), 999], [*range(1400, 1600), -5]
+    assert got == {**dict.fromkeys(low, 0), **dict.fromkeys(high, -5)}
