@@ -107,10 +107,11 @@ def _prints(n: int):
             yield pa.record_batch(
                 [
                     batch.column("id"),
+                    batch.column("mark"),
                     pa.array([_print(x) for x in sets], pa.string()),
                     pa.array(signatures, pa.binary()),
                 ],
-                names=["id", "print", "signature"],
+                names=["id", "mark", "print", "signature"],
             )
 
     return run
@@ -253,6 +254,14 @@ def _sets(n: int):
     return run
 
 
+def _same_id(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of texts that stand under one id."""
+    several = texts.groupBy("id").count().where("count > 1").select("id")
+    nodes = texts.join(several, "id").join(classes.select("print", "node"), "print").select("id", "node")
+    first = nodes.groupBy("id").agg(F.min("node").alias("first"))
+    return nodes.join(first, "id").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+
+
 def ngram_jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -265,24 +274,21 @@ def ngram_jaccard_join(
 
     Result: ``doc_id`` long, ``class_id`` long (the smallest id that links of at least ``threshold`` reach, its own
     included) and ``n_links`` long (other documents linked directly, copies included). A text without a
-    word (null, empty, only marks) has no links. Rows that repeat an id are one document; of different texts
-    under one id the one whose print sorts first counts. A null id has one row with a null class and no
-    links. Ties do not arise: every pair at or above the threshold is a link. Other columns are not read.
+    word (null, empty, only marks) has no links. Rows that repeat an id and a set of shingles are one document. Different texts under one
+    id are all compared: the id has the links of each of them, summed, and they belong to one class. A null id has one row with a null
+    class and no links. Ties do not arise: every pair at or above the threshold is a link. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = cut(rows.mapInArrow(_prints(n), "id long, print string, signature binary"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    prints = cut(rows.mapInArrow(_prints(n), "id long, mark long, print string, signature binary"))
     named = F.when(F.col("id").isNotNull(), F.col("print"))
-    ids = prints.groupBy("id").agg(F.min(named).alias("print"))
+    ids = cut(prints.groupBy("id", named.alias("print")).agg(F.min("mark").alias("mark")))
+    texts = ids.where("print IS NOT NULL")
     classes = cut(
-        ids.where("id IS NOT NULL AND print IS NOT NULL")
-        .groupBy("print")
-        .agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    )
-    signed = cut(
-        prints.select(F.col("id").alias("rep"), "print", "signature")
-        .join(classes.select("rep", "print"), ["rep", "print"])
-        .select("rep", "signature")
+        texts.groupBy("print")
+        .agg(F.min(F.struct("id", "mark")).alias("least"), F.count("*").alias("weight"))
+        .select("print", "least.*", "weight", F.monotonically_increasing_id().alias("node"))
     )
+    signed = cut(prints.join(classes, ["id", "mark", "print"]).select(F.col("node").alias("rep"), "signature"))
     met, edges = match_prefixes(signed, prefix_depths(threshold, recall))
     alike = (
         met.join(met.groupBy("prefix").agg(F.count("*").alias("n")), "prefix")
@@ -299,26 +305,29 @@ def ngram_jaccard_join(
     clusters = components(edges.union(maybe.select("item", "other")))
     found = cut(
         clusters.join(clusters.groupBy("root").agg(F.count("*").alias("n")), "root")
-        .join(classes.withColumnRenamed("rep", "node"), "node")
-        .select(F.col("root").alias("grp"), "n", F.col("node").alias("item"), "weight", "print")
+        .join(classes, "node")
+        .select(F.col("root").alias("grp"), "n", F.col("node").alias("item"), "weight", "print", "id", "mark")
     )
-    wanted = found.withColumn("id", F.col("item"))
-    sets = rows.join(broadcast_if_small(wanted, BROADCAST_IDS), "id").mapInArrow(_sets(n), MEMBERS)
+    sets = rows.join(broadcast_if_small(found, BROADCAST_IDS), ["id", "mark"]).mapInArrow(_sets(n), MEMBERS)
     links = cut(compare_blocks(sets, jaccard_at_least(threshold), found.count(), SET_BLOCK))
-    joined = components(links.where("other IS NOT NULL").select(F.col("item").alias("a"), F.col("other").alias("b")))
+    linked = links.where("other IS NOT NULL").select(F.col("item").alias("a"), F.col("other").alias("b"))
+    joined = components(linked.union(_same_id(texts, classes))).join(classes.select("node", "id"), "node")
+    least = joined.groupBy("root").agg(F.min("id").alias("class_id"))
     others = links.where("other IS NULL").groupBy("item").agg(F.sum("links").alias("others"))
     by_print = (
-        classes.withColumnRenamed("rep", "item")
-        .join(others, "item", "left")
-        .join(joined.select(F.col("node").alias("item"), "root"), "item", "left")
+        classes.join(others.withColumnRenamed("item", "node"), "node", "left")
+        .join(joined.join(least, "root").select("node", "class_id"), "node", "left")
         .select(
             "print",
-            F.coalesce("root", "item").alias("class_id"),
+            F.coalesce("class_id", "id").alias("class_id"),
             (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
         )
     )
-    return ids.join(by_print, "print", "left").select(
-        F.col("id").alias("doc_id"),
-        F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    return (
+        ids.join(by_print, "print", "left")
+        .groupBy(F.col("id").alias("doc_id"))
+        .agg(
+            F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"),
+            F.coalesce(F.sum("n_links"), F.lit(0)).cast("long").alias("n_links"),
+        )
     )

@@ -68,6 +68,20 @@ def test_many_near_copies_keep_all_links(spark):
     assert got_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == brute_documents(texts)
 
 
+def test_texts_under_one_id_are_all_compared(spark):
+    a, b, c = (" ".join(f"{name}{k}" for k in range(60)) for name in "uvw")
+    near_a, near_b = a.replace("u30 ", "other "), b.replace("v30 ", "other ")
+    rows = [(1, a), (1, c), (3, near_a), (4, c), (5, a + "!"), (5, b), (7, near_b), (8, "alone"), (8, "else"), (9, None), (9, a), (None, a), (1, a)]
+    got = got_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    # The texts a, near_a, c, b and near_b hang together over the ids 1 and 5; (a, 1), (a, 5) and (a, 9) are copies.
+    assert got == {1: (1, 4), 3: (1, 3), 4: (1, 1), 5: (1, 4), 7: (1, 1), 8: (8, 0), 9: (1, 3), None: (None, 0)}
+
+
+def test_hot_id_with_many_texts(spark):
+    rows = [(0, f"text{k} " * 6 + f"end{k}") for k in range(3000)] + [(1, "text7 " * 6 + "end7"), (2, "lone")]
+    assert got_documents(spark.createDataFrame(rows, "doc_id long, text string")) == {0: (0, 1), 1: (0, 1), 2: (2, 0)}
+
+
 def test_forest_keeps_every_shared_prefix(spark):
     words = [f"w{k}" for k in range(150)]
     texts = {k: " ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in range(1, 60)}
