@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ DRIFTED, DRIFTED_TO, FIRST_DRIFTED_SEASON = "OPR", "OPRori", 2017
 
 # A season holds up to 366 days, some 6 kB.
 SEASON_ROWS = 5_000
+SEASON_DAYS = 366
+# Updates that a task makes and holds by key at a time, some 150 bytes each.
+TASK_UPDATES = 2_000_000
 
 
 def backfill_column(
@@ -34,7 +38,8 @@ def season_updates(sheet: DataFrame, targets: DataFrame, value: str = "VP", on:
 
     Seasons do not overlap, so this is an equi-join on the season. The sheet becomes one row per
     season (and source) of at most 366 days before it meets the targets; a day given twice raises.
-    ``on`` names further key columns, such as a station, that both inputs carry.
+    ``on`` names further key columns, such as a station, that both inputs carry. Targets are few bytes for the days they
+    become, so they are dealt to as many tasks as their updates need, not as their bytes do.
     """
     day = F.concat(F.lit("date given twice: "), F.col("date").cast("string"))
     once = (
@@ -51,6 +56,9 @@ def season_updates(sheet: DataFrame, targets: DataFrame, value: str = "VP", on:
         .agg(F.collect_list(F.struct("date", value)).alias("_days"))
     )
     wanted = targets.select(*on, "place", F.col("year").cast("int").alias("year")).distinct()
+    tasks = ceil(targets.count() * SEASON_DAYS / TASK_UPDATES)
+    if tasks > 1:
+        wanted = wanted.repartition(tasks, *on, "place", "year")
     return (
         wanted.join(broadcast_if_small(seasons, SEASON_ROWS), [*on, "year"])
         .select(*on, "place", "year", F.explode("_days").alias("_day"))

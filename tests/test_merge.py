@@ -109,3 +109,13 @@ def test_stored_table_is_backfilled_in_place(spark, tmp_path):
     merge.apply_backfill(spark.read.schema(df.schema).parquet(path), path)
     got = spark.read.schema(df.schema).parquet(path).collect()
     assert {r.year: r.OPR for r in got} == {2016: 1.0, 2017: 5.0, 2018: None}
+
+
+def test_updates_of_many_targets_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(merge, "TASK_UPDATES", 50 * 366)
+    many = spark.createDataFrame([(f"P{k}", 2018) for k in range(400)] * 2, "place string, year int")
+    updates = merge.season_updates(sheet(spark), many)
+    assert updates.count() == 800 and updates.distinct().count() == 800
+    # Before, adaptive execution made the few bytes of all targets one task.
+    rows = [len(p) for p in updates.rdd.glom().collect()]
+    assert len(rows) > 8 and max(rows) < 400
