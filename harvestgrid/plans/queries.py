@@ -96,13 +96,16 @@ def _long_panel_steps(sequences: DataFrame, digits: int | None) -> DataFrame:
     )
 
 
-def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared = stored(_prepared(spark, sf_dir), "prepared_panel")
+def _stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared panel; the raw one is stored too, as its statistics take two passes before the one that scales it."""
+    return stored(P.prepare_panel(stored(S.panel(spark, sf_dir), "panel"), S.CUT_YEAR), "prepared_panel")
+
+
+def _training(prepared: DataFrame) -> DataFrame:
     return Q.training_sequences(prepared, P.year_scalars(prepared, S.HOLDOUT_YEAR), S.HOLDOUT_YEAR, S.PANEL_SIZES)
 
 
-def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared = stored(_prepared(spark, sf_dir), "prepared_panel")
+def _holdout(prepared: DataFrame) -> DataFrame:
     scalars = P.year_scalars(prepared, S.HOLDOUT_YEAR)
     means = P.mean_year_steps(prepared, scalars, S.MEAN_YEARS, sum(S.PANEL_SIZES))
     return Q.holdout_sequences(prepared, scalars, means, S.HOLDOUT_YEAR, S.PANEL_SIZES)
@@ -110,12 +113,12 @@ def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def train_sequences(spark, sf_dir):
-    return _long_panel_steps(_training(spark, sf_dir), None)
+    return _long_panel_steps(_training(_stored_panel(spark, sf_dir)), None)
 
 
 @_query
 def holdout_sequences(spark, sf_dir):
-    return _long_panel_steps(_holdout(spark, sf_dir), 6)
+    return _long_panel_steps(_holdout(_stored_panel(spark, sf_dir)), 6)
 
 
 @_query
@@ -741,13 +744,16 @@ PATIENCE, STEP = 5, 0.5
 
 
 def _model_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return stored(_training(spark, sf_dir), "training"), stored(_holdout(spark, sf_dir), "holdout")
+    """Training and hold-out sequences of one prepared panel."""
+    prepared = _stored_panel(spark, sf_dir)
+    return stored(_training(prepared), "training"), stored(_holdout(prepared), "holdout")
 
 
 @_query
 def yield_model_score(spark, sf_dir):
     """The training job: trees that stop on the year before the hold-out, saved, loaded and scored on the hold-out."""
-    training, holdout = _model_tables(spark, sf_dir)
+    prepared = _stored_panel(spark, sf_dir)
+    training, holdout = _training(prepared), stored(_holdout(prepared), "holdout")  # the job stores the training rows itself
     path, out = new_table_path(spark, "yield_model"), new_table_path(spark, "predictions")
     train_and_score(training, holdout, path, out, validation_year=S.HOLDOUT_YEAR - 1, patience=PATIENCE, step=STEP)
     trees = M.load_model(path).stages[0].getNumTrees
@@ -757,7 +763,8 @@ def yield_model_score(spark, sf_dir):
 @_query
 def yield_model_keys(spark, sf_dir):
     """The training job without a validation year, on the first group alone: what its stored predictions were made for."""
-    training, holdout = _model_tables(spark, sf_dir)
+    prepared = _stored_panel(spark, sf_dir)
+    training, holdout = _training(prepared), stored(_holdout(prepared), "holdout")  # the job stores the training rows itself
     path, out = new_table_path(spark, "yield_model"), new_table_path(spark, "predictions")
     train_and_score(training, holdout, path, out, keep=("e",))
     return spark.read.parquet(out).where(F.col("y_pred").isNotNull()).select("loc_id", "year", "y_true")

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -198,3 +199,22 @@ def test_prepared_panel_has_no_shuffle_or_python(spark, panel):
     plan = P.prepare_panel(panel, 2017)._jdf.queryExecution().executedPlan().toString()
     main = plan.split("Subquery")[0]
     assert "Exchange" not in main and "Python" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["yield_model_score", "yield_model_keys", "model_compare", "joint_outputs"])
+def test_registered_fits_derive_the_panel_once(spark, monkeypatch, name):
+    from harvestgrid.plans import queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("test tables absent")
+    panel, written = queries.S.panel, []
+    monkeypatch.setattr(queries.S, "panel", lambda *a: written.append(a) or panel(*a))
+
+    def fit(*args, **kwargs):
+        raise InterruptedError
+
+    for where, what in ((queries, "train_and_score"), (queries.M, "compare_models"), (queries.J, "fit_joint")):
+        monkeypatch.setattr(where, what, fit)
+    with pytest.raises(InterruptedError):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(written) == 1
