@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from harvestgrid.llm.decontaminate import align, contaminated, drift, seeds_needed
+from harvestgrid.llm.decontaminate import Seeds, align, contaminated, drift, seeds_needed
 from harvestgrid.llm.words import word_hashes
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
@@ -114,3 +115,24 @@ def test_seeds_of_an_alignment_are_as_many_as_said():
             if 2 * matched - penalty >= 2 * least * size:
                 assert sum(i == 1 and d <= 2 for i, d in gaps) >= seeds_needed(size, least)
                 assert max(j - i for i, j in at) - min(j - i for i, j in at) < drift(size, least)
+
+
+def test_no_count_comes_from_a_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"common start w{k} x{k} y{k} z{k} common end") for k in range(40)], DOCS)
+    items = spark.createDataFrame([(k, f"common start w{k} x{k} y{k} z{k} common end") for k in range(0, 40, 2)], ITEMS)
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a sample was drawn")
+
+    monkeypatch.setattr(type(docs), "sample", refused)
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items).where("score = 1").collect()}
+    assert found == {(k, k) for k in range(0, 40, 2)}
+
+
+def test_first_look_leaves_out_what_most_items_have():
+    ids = pa.array(range(20))
+    seeds = Seeds.of(ids, [f"common start of a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k}" for k in range(20)], 0.5)
+    seeds.rank()
+    shared = {int(k) for k in np.flatnonzero(np.bincount(seeds.key) == 20)}
+    looked = np.flatnonzero(np.diff(seeds.look_first))
+    assert len(shared) == 2 and not shared & set(looked.tolist())
