@@ -110,6 +110,8 @@ def compare_blocks(
 
 # A node with more edges than this, and than a part in SHARE of all, is heavy; so there are at most 2 * SHARE heavy nodes.
 HEAVY, SHARE = 64, 5000
+# Up to so many edges the least neighbours of all nodes, 16 bytes a node, are looked up by broadcast and no edge is dealt by its node.
+FEW_EDGES = 200_000
 
 
 def _with_least(rows: DataFrame, least: DataFrame, bound: int) -> DataFrame:
@@ -124,28 +126,42 @@ def _with_least(rows: DataFrame, least: DataFrame, bound: int) -> DataFrame:
     return dealt.join(light, ["_u", "_by_u"], "left").select("u", "v", F.coalesce("_m", "m").alias("m"))
 
 
+def _few_step(both: DataFrame) -> DataFrame:
+    """A large-star and a small-star step on few edges, both ways round: three exchanges, none of them by a node's rows."""
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    large = both.where("v > u").join(F.broadcast(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    return large.join(F.broadcast(low), "u").select(
+        F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
+    )
+
+
+def _step(both: DataFrame, bound: int) -> DataFrame:
+    """The same step on any number of edges; the centre of a star with more than ``bound`` of them is heavy."""
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    large = _with_least(both.where("v > u"), least, bound).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return _with_least(large, low, bound).select(
+        F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node that each node of ``edges`` (a long, b long, a <> b) reaches: (node, root).
 
     Alternates large-star and small-star steps until the edges no longer change; each step is joins and
     aggregates, and its edges go to the shared folder. The centre of a large star is one of at most 2 * SHARE heavy nodes,
-    whose edges are spread over the tasks. Nodes without an edge are not in the result.
+    whose edges are spread over the tasks; up to ``FEW_EDGES`` edges stay where they are. Nodes without an edge are not in the result.
     """
     pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    both_ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
     seen = None
     while True:
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if state == seen or not state[0]:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         seen = state
-        bound = max(HEAVY, state[0] // SHARE)
-        both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.where("v > u"), least, bound).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, low, bound).select(
-            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
-        )
-        pairs = cut(small.distinct())
+        both = pairs.select(both_ways).select("e.u", "e.v")
+        pairs = cut((_few_step(both) if state[0] <= FEW_EDGES else _step(both, max(HEAVY, state[0] // SHARE))).distinct())

@@ -6,6 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from harvestgrid.llm import links
 from harvestgrid.llm.links import compare_blocks, components
 from harvestgrid.llm.ngram_join import forest_recall, jaccard_at_least, prefix_depth, shingle_set
 from harvestgrid.llm.words import gram_hashes, word_hashes
@@ -86,3 +87,17 @@ def test_components_with_heavy_nodes(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
     low, high = [*range(300), *range(500, 700), 999], [*range(1400, 1600), -5]
     assert got == {**dict.fromkeys(low, 0), **dict.fromkeys(high, -5)}
+
+
+def test_few_and_many_edges_give_the_same_components(spark, monkeypatch):
+    edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 330)] + [(900, k) for k in range(150, 320)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    few = sorted(components(frame).collect())
+    monkeypatch.setattr(links, "FEW_EDGES", 0)
+    assert few == sorted(components(frame).collect()) and {r["root"] for r in few} == {0}
+
+
+def test_few_edges_take_few_exchanges(spark):
+    plan = links._few_step(spark.createDataFrame([(1, 2), (2, 1)], "u long, v long"))._jdf.queryExecution().executedPlan().toString()
+    # The least neighbours stand in the plan twice, the second time as a reused exchange.
+    assert plan.count(" Exchange hashpartitioning") == 3 and "SortMergeJoin" not in plan
